@@ -1,0 +1,4 @@
+"""All queries of the scan engine by name."""
+
+QUERIES = {}
+ORACLE_SQL = {}
