@@ -2,7 +2,7 @@
 
 A page becomes the sequence of its text blocks (leaves between block-level
 tags). Each block is a vector: the mean of learned vectors of its hashed tag
-path (tags, class and id words), the mean of those of its hashed words, and a
+path (tags, class and id words, and pairs of them), the mean of those of its hashed words, and a
 few measures. A bidirectional LSTM in numpy reads the whole sequence, so every
 block is judged with the document around it. It is trained on pages that are
 made up here, whose labels are known: menus, notices, adverts, sidebars, forms,
@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from larkspur.runtime import ensure_importable
 
-TAGS, WORDS, MEASURES = 1024, 2048, 4
+TAGS, WORDS, MEASURES = 4096, 2048, 4
 TAG_SIZE, WORD_SIZE, HIDDEN = 16, 8, 16
 INPUT = TAG_SIZE + WORD_SIZE + MEASURES
 #: Blocks of a batch, with padding, at most.
@@ -141,7 +142,8 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
 
 @lru_cache(maxsize=100_000)
 def tag_buckets(path: tuple[str, ...]) -> np.ndarray:
-    return np.array([xxhash.xxh32_intdigest(w) % TAGS for w in path] or [0], np.int64)
+    pairs = [f"{a} {b}" for a, b in pairwise(path)]
+    return np.array([xxhash.xxh32_intdigest(w) % TAGS for w in (*path, *pairs)] or [0], np.int64)
 
 
 class _WordBuckets(dict):
