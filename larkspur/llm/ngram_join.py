@@ -12,7 +12,8 @@ n - ceil(t n) + 1 of each; documents meet on those prefix n-grams.
 2. A second pass emits prefix n-grams, once per task and distinct set, so
    copies don't multiply. N-grams that only one set has go at once.
 3. First round: every set meets the smallest id of each of its n-grams. Pairs
-   that pass the length and positional filters are verified, each once.
+   that pass the length and positional filters, and share enough of their
+   prefixes, are verified, each once.
    Components of these links bring dense groups of near copies together.
 4. Second round: n-grams whose sets are still in several components give the
    pairs across components, all of them, to the same filters and verification.
@@ -45,30 +46,69 @@ from larkspur.runtime import ensure_importable, written
 #: Counters of the table that orders n-grams; fixed, so its size is too.
 COUNTERS, BLOCK = 1 << 18, 1 << 12
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Words that a task remembers the hashes of.
-REMEMBERED = 400_000
+#: Bytes of a text that are hashed at once, about.
+SEGMENT = 1 << 18
 PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingles(data: bytes, n: int, hashes: dict) -> np.ndarray:
+class Words:
+    """64-bit hashes of the words of a text, all at once in numpy.
+
+    A word's hash is the sum of a random number for each byte times the power
+    of an odd number for its place, modulo 2^64; running sums over the text
+    give it for every word. A-Z have the numbers of a-z.
+    """
+
+    def __init__(self, seed: int = 17):
+        r = np.random.default_rng(seed)
+        self.letters = r.integers(0, 1 << 64, 256, np.uint64)
+        self.letters[65:91] = self.letters[97:123]
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.base = int(r.integers(1 << 62, 1 << 63)) | 1
+        self.powers = self.inverses = np.ones(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            n = max(n, 2 * len(self.powers), 1 << 14)
+            down = pow(self.base, -1, 1 << 64)
+            # cumprod wraps around, as the sums do
+            self.powers, self.inverses = (np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (self.base, down))
+
+    def hashes(self, data: bytes) -> np.ndarray:
+        out, at = [], 0
+        while at < len(data):  # in segments that end with a word
+            end = at + SEGMENT
+            while end < len(data) and not self.space[data[end]]:
+                end += 1
+            out.append(self._segment(np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)))
+            at = end
+        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint64)
+
+    def _segment(self, b: np.ndarray) -> np.ndarray:
+        self._grow(len(b))
+        inside = np.empty(len(b) + 2, np.int8)
+        inside[0] = inside[-1] = 0
+        inside[1:-1] = ~self.space[b]
+        edges = np.flatnonzero(np.diff(inside))
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(self.letters[b] * self.powers[: len(b)], out=sums[1:])
+        return (sums[ends] - sums[starts]) * self.inverses[starts]
+
+
+def shingles(data: bytes, n: int, words: Words) -> np.ndarray:
     """Distinct hashes of the word n-grams, sorted; A-Z count as a-z."""
-    words = data.lower().split()  # bytes.lower() and split() are ASCII only
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return np.unique(combine(h, min(n, len(words))))
+    h = words.hashes(data)
+    if not len(h):
+        return h
+    out = np.sort(combine(h, min(n, len(h))))
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def combine(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the windows of n word hashes."""
+    h = (h ^ (h >> np.uint64(31))) * MIX
     out = h[: len(h) - n + 1] ^ np.uint64(n)
     for k in range(1, n):
         out = (out ^ (out >> np.uint64(29))) * MIX + h[k : len(h) - n + 1 + k]
@@ -96,12 +136,12 @@ PROFILE = "doc_id bigint, n int, f1 bigint, f2 bigint, block int, counts binary"
 
 def _profile(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = _Hashes(), np.zeros(COUNTERS, np.int64)
+        words, counts = Words(), np.zeros(COUNTERS, np.int64)
         for batch in batches:
             ids, sizes, f1, f2 = [], [], [], []
             own = []
             for i, data in _rows(batch):
-                s = shingles(data, n, hashes)
+                s = shingles(data, n, words)
                 a, b = fingerprint(s)
                 ids.append(i), sizes.append(len(s)), f1.append(a), f2.append(b)
                 own.append((s & np.uint64(COUNTERS - 1)).astype(np.int64))
@@ -141,7 +181,7 @@ def _order(profile: DataFrame) -> np.ndarray:
     total = np.zeros(COUNTERS, np.int64)
     for row in blocks.collect():
         total[row.block * BLOCK : (row.block + 1) * BLOCK] += np.frombuffer(row.counts, np.int64)
-    return total
+    return np.minimum(total, (1 << 31) - 1)
 
 
 PREFIX = "gram bigint, doc_id bigint, n int, at int, f1 bigint"
@@ -149,18 +189,19 @@ PREFIX = "gram bigint, doc_id bigint, n int, at int, f1 bigint"
 
 def _prefixes(n: int, percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, seen = _Hashes(), order.value, set()
+        words, counts, seen = Words(), order.value, set()
         for batch in batches:
             grams, ids, sizes, places, prints = [], [], [], [], []
             for i, data in _rows(batch):
-                s = shingles(data, n, hashes)
+                s = shingles(data, n, words)
                 size = len(s)
                 f = fingerprint(s)
                 if not size or f in seen:
                     continue
                 seen.add(f)
                 k = size - (percent * size + 99) // 100 + 1
-                rare = np.argsort(counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:k]
+                rare = (counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)] << 32) | np.arange(size)
+                rare = np.sort(np.partition(rare, k - 1)[:k]) & 0xFFFFFFFF
                 grams.append(s[rare].view(np.int64))
                 ids.append(np.full(k, i)), sizes.append(np.full(k, size, np.int32)), places.append(np.arange(k, dtype=np.int32)), prints.append(np.full(k, f[0]))
             if grams:
@@ -171,11 +212,11 @@ def _prefixes(n: int, percent: int, order):
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        words = Words()
         for batch in batches:
             ids, sets = [], []
             for i, data in _rows(batch):
-                ids.append(i), sets.append(shingles(data, n, hashes).tobytes())
+                ids.append(i), sets.append(shingles(data, n, words).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "grams"])
 
     return run
@@ -209,11 +250,65 @@ def _may_link(percent: int, a: str, b: str):
     return length & ((100 + percent) * most >= percent * (na + nb))
 
 
+def _shared(percent: int, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share enough prefix n-grams, each once.
+
+    Beyond the prefixes a pair can share no more n-grams than the larger of
+    the rests has; the prefixes must share what else it needs.
+    """
+    rest = lambda n: F.floor((percent * F.col(n).cast("long") + 99) / 100) - 1
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"))
+    most = F.col("shared") + F.greatest(rest("a_n"), rest("b_n"))
+    return pairs.where((100 + percent) * most >= percent * (F.col("a_n").cast("long") + F.col("b_n"))).select("a", "b")
+
+
+MARKS = 1 << 23
+
+
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Two places of each id in the table of marks."""
+    h = (ids.astype(np.int64).view(np.uint64) + np.uint64(1)) * MIX
+    return np.stack([h >> np.uint64(41), (h >> np.uint64(18)) & np.uint64(MARKS - 1)]).astype(np.int64)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(MARKS, bool)
+    for batch in batches:
+        table[_marks(batch.column(0).to_numpy()).ravel()] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], names=["marks"])
+
+
+def _joined_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(MARKS // 8, np.uint8)
+    for batch in batches:
+        for marks in batch.column(0):
+            table |= np.frombuffer(marks.as_py(), np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["marks"])
+
+
+def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose id may be in ids: a Bloom filter of a fixed 1 MiB
+    spares the shuffle of most other texts; a join afterwards is exact."""
+    marks = ids.select("doc_id").mapInArrow(_marked, "marks binary").repartition(8).mapInArrow(_joined_marks, "marks binary")
+    table = np.zeros(MARKS // 8, np.uint8)
+    for row in marks.collect():
+        table |= np.frombuffer(row.marks, np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(table)
+
+    def hit(own: pa.Array) -> pa.Array:
+        x, y = _marks(own.fill_null(-1).to_numpy(zero_copy_only=False))
+        bits = lambda k: (held.value[k >> 3] >> (7 - (k & 7))) & 1
+        return pa.array((bits(x) & bits(y)).astype(bool))
+
+    return docs.where(F.arrow_udf(hit, "boolean")("doc_id"))
+
+
 def _links(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
-    pairs = written(pairs.distinct(), "pairs")
+    pairs = written(_shared(percent, pairs), "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id bigint, grams binary"), "sets")
+    wanted = written(wanted, "wanted")
+    sets = written(_maybe(docs, wanted).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id bigint, grams binary"), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("a_grams")), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("b_grams")), "b")
     return both.where(F.arrow_udf(_verified(percent), "boolean")("a_grams", "b_grams")).select("a", "b")
@@ -237,7 +332,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
         F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"),
         F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("a_n"), F.col("hub.at").alias("a_at"),
     )
-    first = written(_links(first.where("a < b").where(_may_link(percent, "a", "b")).select("a", "b"), docs, n, percent), "links")
+    first = written(_links(first.where("a < b").where(_may_link(percent, "a", "b")), docs, n, percent), "links")
 
     labels = written(components(first), "labels").withColumnRenamed("node", "doc_id")
     meet = meet.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
@@ -248,7 +343,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
     left = meet.select("gram", "label", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
     right = meet.select("gram", F.col("label").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
     second = across.join(left, ["gram", "label"]).join(right, ["gram", "other"]).where(_may_link(percent, "a", "b"))
-    second = _links(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, n, percent)
+    second = _links(second, docs, n, percent)
 
     labels = written(components(first.unionByName(second)), "labels")
     return _classes(docs, profile, labels)
