@@ -250,6 +250,14 @@ def _may_link(percent: int, a: str, b: str):
     return length & ((100 + percent) * most >= percent * (na + nb))
 
 
+def _groups_may_link(percent: int):
+    """The same filters for the best that two groups of sets could do."""
+    c = lambda name: F.col(name).cast("long")
+    length = (100 * c("most") >= percent * c("o_least")) & (100 * c("o_most") >= percent * c("least"))
+    most = F.least(c("at"), c("o_at")) + 1 + F.least(c("rest"), c("o_rest"))
+    return length & ((100 + percent) * most >= percent * (c("least") + c("o_least")))
+
+
 def _shared(percent: int, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) that share enough prefix n-grams, each once.
 
@@ -338,8 +346,11 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
     meet = meet.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     spread = meet.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
     meet = written(meet.join(spread, "gram", "left_semi"), "spread")
-    groups = meet.select("gram", "label").distinct()
-    across = groups.join(groups.withColumnRenamed("label", "other"), "gram").where("label < other")
+    rest = F.col("n") - F.col("at") - 1
+    groups = meet.groupBy("gram", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("at").alias("at"), F.max(rest).alias("rest"))
+    others = groups.select("gram", *(F.col(c).alias(f"o_{c}") for c in ("label", "least", "most", "at", "rest")))
+    across = groups.join(others, "gram").where("label < o_label").where(_groups_may_link(percent))
+    across = across.select("gram", "label", F.col("o_label").alias("other"))
     left = meet.select("gram", "label", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
     right = meet.select("gram", F.col("label").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
     second = across.join(left, ["gram", "label"]).join(right, ["gram", "other"]).where(_may_link(percent, "a", "b"))
@@ -359,7 +370,7 @@ def _classes(docs: DataFrame, profile: DataFrame, labels: DataFrame) -> DataFram
     labelled = linked.join(linked.groupBy("label").agg(F.min("least").alias("component_id")), "label").select(*key, "component_id")
     # an id with several rows may be in several classes; each of them gets the smallest
     found = classes.join(labelled.groupBy(*key).agg(F.min("component_id").alias("component_id")), key, "left")
-    found = found.select(*key, F.coalesce("component_id", "least").alias("component_id"))
+    found = written(found.select(*key, F.coalesce("component_id", "least").alias("component_id")), "classes")
     out = sets.join(found, key, "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
