@@ -11,8 +11,9 @@ projected distance lies beyond the CONFIDENCE quantile of chi-square for the
 k-th distance found: a point nearer than that would, with that probability,
 have come before.
 
-On Spark: a query first searches its own cell, which bounds the k-th distance;
-then every cell whose box the stopping test doesn't exclude. Cells of many
+On Spark: a query first searches the nearest cells (the root of their number),
+which bounds the k-th distance; then every other cell whose box the stopping
+test doesn't exclude. Cells of many
 vectors are dealt over several tasks by hash, and queries come in blocks.
 
 Defined results: vectors that are null, zero, of another length than the most
@@ -68,10 +69,10 @@ class Tree:
             node = 2 * node + (points[np.arange(len(points)), self.axis[node]] > self.at[node])
         return node - (1 << self.depth)
 
-    def near(self, point: np.ndarray, radius2: float) -> np.ndarray:
-        """Cells whose boxes come within the radius."""
+    def gaps(self, point: np.ndarray) -> np.ndarray:
+        """Squared distance of a point from each cell's box."""
         gap = np.maximum(0, np.maximum(self.low - point, point - self.high))
-        return np.flatnonzero((gap * gap).sum(1) <= radius2)
+        return (gap * gap).sum(1)
 
 
 def matrix(vectors: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -169,7 +170,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     placed = written(vectors.withColumn("cell", F.arrow_udf(cell_of, "bigint")("embedding")), "cells")
     sizes = placed.groupBy("cell").agg((1 + F.floor(F.count("*") / CHUNK)).alias("chunks"))  # 2^MAX_DEPTH rows at most
     sizes = written(sizes, "sizes")
-    queries = placed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("cell").alias("home"))
+    queries = placed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     blocks = 1 + queries.count() // BLOCK
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     points = placed.join(F.broadcast(sizes), "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks"))
@@ -182,26 +183,36 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
         both = asked.groupBy(*key).cogroup(points.select(*key, "vec_id", "embedding").groupBy(*key))
         return both.applyInArrow(_search(k, projection, largest), FOUND)
 
-    first = search(queries.select("query_id", "query", F.col("home").alias("cell"), F.lit(NO_BOUND).alias("bound")))
-    first = written(_ranked(first, k), "first")
+    # with h of the cells first, a query finds about k h rows there and k cells / h in the others
+    homes = int(np.ceil(np.sqrt(1 << depth)))
+
+    def cells_of(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                q = matrix(batch.column(1), batch.num_rows) if batch.num_rows else np.empty((0, d))
+                norm = np.sqrt((q * q).sum(1))
+                p = np.hstack([q / norm[:, None], np.zeros((len(q), 1))]) @ projection.value
+                at, cells = [], []
+                for i, bound in enumerate(batch.column(2).to_pylist()):
+                    gaps = tree.value.gaps(p[i])
+                    order = np.argsort(gaps, kind="stable")
+                    own = order[:homes]
+                    if not first:
+                        own = order[homes:]
+                        own = own[gaps[own] <= CONFIDENCE_QUANTILE * max(0.0, 2 - 2 * bound / (largest * norm[i])) + 1e-12]
+                    at.append(np.full(len(own), i)), cells.append(own)
+                rows = batch.take(pa.array(np.concatenate(at) if at else [], pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), rows.column(1), rows.column(2), pa.array(np.concatenate(cells) if cells else [], pa.int64())], names=["query_id", "query", "bound", "cell"]
+                )
+
+        return run
+
+    kind = "query_id bigint, query array<double>, bound double, cell bigint"
+    asked = queries.withColumn("bound", F.lit(NO_BOUND)).mapInArrow(cells_of(True), kind)
+    first = written(_ranked(search(asked), k), "first")
     bounds = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-
-    def cells_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = matrix(batch.column(1), batch.num_rows) if batch.num_rows else np.empty((0, d))
-            norm = np.sqrt((q * q).sum(1))
-            p = np.hstack([q / norm[:, None], np.zeros((len(q), 1))]) @ projection.value
-            at, cells = [], []
-            for i, (home, bound) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                radius2 = np.inf if bound is None else CONFIDENCE_QUANTILE * max(0.0, 2 - 2 * bound / (largest * norm[i])) + 1e-12
-                own = tree.value.near(p[i], radius2)
-                own = own[own != home]
-                at.append(np.full(len(own), i)), cells.append(own)
-            take = pa.array(np.concatenate(at) if at else [], pa.int64())
-            rows = batch.take(take)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.concatenate(cells) if cells else [], pa.int64()), rows.column(3)], names=["query_id", "query", "cell", "bound"])
-
-    asked = queries.join(bounds, "query_id", "left").select("query_id", "query", "home", "bound")
-    asked = asked.mapInArrow(cells_near, "query_id bigint, query array<double>, cell bigint, bound double").fillna(NO_BOUND, "bound")
+    asked = queries.join(bounds, "query_id", "left").select("query_id", "query", F.coalesce("bound", F.lit(NO_BOUND)).alias("bound"))
+    asked = asked.mapInArrow(cells_of(False), kind)
     found = _ranked(search(asked).unionByName(first.select("query_id", "vec_id", "score")), k)
     return found.select("query_id", "rank", "vec_id", "score")
