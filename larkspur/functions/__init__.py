@@ -1 +1 @@
-"""Column expressions."""
+"""Column expressions of the scan: text, entropy, context signals, severity."""
