@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this library from where the driver has it.
+    """Let Python workers import this library from where the driver has it, and
+    take rows of whole documents in smaller batches unless the session says how.
 
     On a cluster the package is installed or sent with ``--py-files``; then
     this entry of PYTHONPATH is one more place that is looked at.
@@ -21,6 +25,8 @@ def ensure_importable(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
 
 
 def shared_dir(spark: SparkSession) -> str:
