@@ -31,7 +31,7 @@ SAMPLE = 4000
 EPOCHS = 60
 #: Words of no weight that every text has besides its own; few words decide little.
 SMOOTH = 10
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 GOOD, BAD, NONE = 1, 0, 2
 LABELLERS = 8
 UPPER = bytes(range(65, 91))
