@@ -11,11 +11,11 @@ n - ceil(t n) + 1 of each; documents meet on those prefix n-grams.
    the counters (a fixed 1 MiB a task, summed by Spark, then broadcast).
 2. A second pass emits prefix n-grams, once per task and distinct set, so
    copies don't multiply. N-grams that only one set has go at once.
-3. First round: every set meets the smallest id of each of its n-grams. Pairs
-   that pass the length and positional filters, and share enough of their
-   prefixes, are verified, each once.
-   Components of these links bring dense groups of near copies together.
-4. Second round: n-grams whose sets are still in several components give the
+3. A few rounds: every set meets one hub of each of its n-grams, of another
+   component. Pairs that pass the length and positional filters, and share
+   enough of their prefixes, are verified, each once in a round. Components of
+   these links bring dense groups of near copies together.
+4. All that is left: n-grams whose sets are still in several components give the
    pairs across components, all of them, to the same filters and verification.
    A pair within a component can't change any component, so none is lost.
 5. Components of all links, by alternating stars; classes of equal sets join
@@ -46,6 +46,8 @@ from larkspur.runtime import ensure_importable, written
 #: Counters of the table that orders n-grams; fixed, so its size is too.
 COUNTERS, BLOCK = 1 << 18, 1 << 12
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Rounds with one partner for each n-gram, before all that is left is joined.
+ROUNDS = 3
 #: Bytes of a text that are hashed at once, about.
 SEGMENT = 1 << 18
 PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
@@ -322,6 +324,27 @@ def _links(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
     return both.where(F.arrow_udf(_verified(percent), "boolean")("a_grams", "b_grams")).select("a", "b")
 
 
+def _spread(meet: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Meetings, with the component of each set, on n-grams of several components."""
+    if labels is None:
+        meet = meet.withColumn("label", F.col("doc_id"))
+    else:
+        meet = meet.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    several = meet.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    return meet.join(several.select("gram"), "gram", "left_semi")
+
+
+def _to_hubs(spread: DataFrame, k: int) -> DataFrame:
+    """Every set with the hub of each of its n-grams, the first in the k-th
+    random order of all sets, if that is of another component."""
+    first = F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id", "n", "at", "label"))
+    hubs = spread.groupBy("gram").agg(first.alias("hub"))
+    return spread.join(hubs, "gram").where("label <> hub.label").select(
+        F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"),
+        F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("a_n"), F.col("hub.at").alias("a_at"),
+    )
+
+
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
@@ -335,17 +358,13 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
     rows = rows.groupBy("gram", "f1", "n").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"))
     meet = written(rows.select("gram", "doc_id", "n", "at"), "prefixes")
 
-    hubs = meet.groupBy("gram").agg(F.min(F.struct("doc_id", "n", "at")).alias("hub"), F.count("*").alias("sets")).where("sets > 1")
-    first = meet.join(hubs, "gram").select(
-        F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"),
-        F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("a_n"), F.col("hub.at").alias("a_at"),
-    )
-    first = written(_links(first.where("a < b").where(_may_link(percent, "a", "b")), docs, n, percent), "links")
-
-    labels = written(components(first), "labels").withColumnRenamed("node", "doc_id")
-    meet = meet.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    spread = meet.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-    meet = written(meet.join(spread, "gram", "left_semi"), "spread")
+    links = labels = None
+    for k in range(ROUNDS):
+        spread = _spread(meet, labels)
+        found = written(_links(_to_hubs(spread, k).where(_may_link(percent, "a", "b")), docs, n, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = written(components(links), "labels")
+    meet = written(_spread(meet, labels), "spread")
     rest = F.col("n") - F.col("at") - 1
     groups = meet.groupBy("gram", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("at").alias("at"), F.max(rest).alias("rest"))
     others = groups.select("gram", *(F.col(c).alias(f"o_{c}") for c in ("label", "least", "most", "at", "rest")))
@@ -356,7 +375,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
     second = across.join(left, ["gram", "label"]).join(right, ["gram", "other"]).where(_may_link(percent, "a", "b"))
     second = _links(second, docs, n, percent)
 
-    labels = written(components(first.unionByName(second)), "labels")
+    labels = written(components(links.unionByName(second)), "labels")
     return _classes(docs, profile, labels)
 
 
