@@ -1,21 +1,21 @@
-"""Files as rows (path, text, mtime, size), read by Spark's binaryFile source.
+"""Files as rows (path, text, mtime, size).
 
 Files that are too large or binary are left out; text is UTF-8, else Latin-1.
-Size and age are columns that are read without the content, so an incremental
-scan drops unchanged files before their bytes are read.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import stat
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import basename, is_env_name
 from larkspur.operators import summaries
+from larkspur.runtime import ensure_importable
 
 MAX_BYTES = 10 * 1024 * 1024
 MAX_DEPTH = 10
@@ -42,21 +42,61 @@ def as_text(binary: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return rows.select(path.alias("path"), text.alias("text"), F.col("modificationTime").cast("long").alias("mtime"), F.col("length").alias("size"))
 
 
-def read_files(spark: SparkSession, paths: Iterable[str], max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The files of a list that exist."""
-    paths = [p for p in paths if os.path.isfile(p)]
-    if not paths:
-        return spark.createDataFrame([], "path string, text string, mtime bigint, size bigint")
-    return as_text(spark.read.format("binaryFile").load(paths), max_bytes)
+ROWS = "path string, text string, mtime bigint, size bigint"
 
 
-def env_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_depth: int = MAX_DEPTH, folders: list[str] = (), patterns: list[str] = ()) -> DataFrame:
-    """.env files below a folder; folders of dependencies and builds are skipped."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.env*").load(root)
-    path = F.regexp_replace("path", "^file:(//)?(?=/)", "")
-    depth = F.size(F.split(path, "/")) - len(root.rstrip("/").split("/"))
-    wanted = is_env_name(basename(path)) & (depth <= max_depth) & ~F.coalesce(summaries.in_skipped_folder(path, root), F.lit(False))
-    return as_text(found.where(wanted & ~summaries.excluded(path, list(folders), list(patterns))), max_bytes)
+def _read(max_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    info = os.stat(path)
+                    if not stat.S_ISREG(info.st_mode) or info.st_size > max_bytes:
+                        continue
+                    with open(path, "rb") as f:
+                        data = f.read()
+                except OSError:
+                    continue  # gone or forbidden: no item
+                if b"\0" in data[:512]:
+                    continue
+                try:
+                    text = data.decode("utf-8")
+                except UnicodeDecodeError:
+                    text = data.decode("latin-1")
+                yield pa.RecordBatch.from_pydict({"path": [path], "text": [text], "mtime": [int(info.st_mtime)], "size": [info.st_size]})
+
+    return run
+
+
+def read_files(spark: SparkSession, paths: Iterable[str], max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The files of a list that exist, read by tasks from a mounted file system.
+
+    Spark's own file sources skip names that start with a dot, which is what
+    most of these files have; ``as_text`` serves stores without such names.
+    """
+    ensure_importable(spark)
+    rows = [(p,) for p in paths if os.path.isfile(p)]
+    if not rows:
+        return spark.createDataFrame([], ROWS)
+    return spark.createDataFrame(rows, "path string").repartition(min(len(rows), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(_read(max_bytes), ROWS)
+
+
+def env_paths(root: str, max_depth: int = MAX_DEPTH, folders: Iterable[str] = (), patterns: Iterable[str] = (), follow_links: bool = False) -> Iterator[str]:
+    """.env files below a folder; folders of dependencies, builds and excluded ones aren't entered."""
+    root = root.rstrip("/")
+    inside = [f.rstrip("/") for f in folders]
+    out = lambda p: any(p == f or p.startswith(f + "/") for f in inside)
+    for folder, below, names in os.walk(root, followlinks=follow_links):
+        depth = folder.count("/") - root.count("/")
+        below[:] = [d for d in sorted(below) if depth + 1 < max_depth and d not in summaries.SKIPPED_FOLDERS and not out(f"{folder}/{d}")]
+        for name in sorted(names):
+            path = f"{folder}/{name}"
+            if (name == ".env" or name.startswith(".env.") or (name.endswith(".env") and len(name.encode()) > 4)) and not out(path) and not any(re.search(x, path) for x in patterns):
+                yield path
+
+
+def env_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_depth: int = MAX_DEPTH, folders: Iterable[str] = (), patterns: Iterable[str] = ()) -> DataFrame:
+    return read_files(spark, env_paths(root, max_depth, folders, patterns), max_bytes)
 
 
 def targets(spark: SparkSession, home: str, table: tuple[tuple[str, str], ...], source_type: str, max_bytes: int = MAX_BYTES) -> DataFrame:
