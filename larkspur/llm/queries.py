@@ -59,4 +59,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_nearest, op4_sharding, op5_url_filter, op6_quality_model, op7_html_extract, op8_mixing, op9_packing, op10_warc)}
-ORACLE_SQL: dict[str, str] = {}
+#: The others depend on trained models, hashes, tokens or links that SQL can't say
+#: on whole tables; tests hold them against brute force, round trips or held-out data.
+ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": """
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
+w as (
+    select source, source_size, [5, 2, 1][(row_number() over (order by source is null, source) - 1) % 3 + 1] as weight
+    from (select source, sum(size)::bigint as source_size from d group by source) x
+),
+f as (select *, (3 * source_size)::double / weight as full_at from w),
+l as (
+    select *, (sum(source_size) over ()
+        - 3 * coalesce(sum(source_size) over (order by full_at, source is null, source rows between unbounded preceding and 1 preceding), 0))::double
+        / sum(weight) over (order by full_at, source is null, source rows between current row and unbounded following) as level
+    from f
+),
+t as (
+    select source, source_size, least(3.0::double * source_size, weight * (select arg_min(level, full_at) from l where level <= full_at)) as target from l
+),
+r as (
+    select doc_id, size, source_size, target, case when source_size > 0 then least(target / source_size, 3.0::double) else 0.0::double end as rate,
+        ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double as draw
+    from d join t on d.source is not distinct from t.source
+)
+select doc_id, size, source_size, target, ((floor(rate)::bigint + case when draw < rate - floor(rate) then 1 else 0 end) * size)::bigint as taken from r""",
+}
