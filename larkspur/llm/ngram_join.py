@@ -16,8 +16,14 @@ n - ceil(t n) + 1 of each; documents meet on those prefix n-grams.
    enough of their prefixes, are verified, each once in a round. Components of
    these links bring dense groups of near copies together.
 4. All that is left: n-grams whose sets are still in several components give the
-   pairs across components, all of them, to the same filters and verification.
-   A pair within a component can't change any component, so none is lost.
+   pairs across components. What follows the m-th n-gram that two sets share,
+   in the global order, must hold all but m of their overlap: this bound
+   decides where a pair can meet at all, for groups of sets and then for sets,
+   and keeps the common end of the prefixes of near copies from pairing
+   everything. A similar pair passes it at its first m shared n-grams, so pairs
+   with fewer such meetings go and none is lost. m is about 2 % of the overlap
+   needed, as far as the prefixes reach. A pair within a component can't change
+   any component.
 5. Components of all links, by alternating stars; classes of equal sets join
    their representative.
 
@@ -49,6 +55,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rounds with one partner for each n-gram, before all that is left is joined; more
 #: found next to no further links on the test tables.
 ROUNDS = 1
+#: One n-gram more must be shared early for so many of the overlap needed.
+SHARE = 50
 #: Bytes of a text that are hashed at once, about.
 SEGMENT = 1 << 18
 PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
@@ -253,12 +261,31 @@ def _may_link(percent: int, a: str, b: str):
     return length & ((100 + percent) * most >= percent * (na + nb))
 
 
-def _groups_may_link(percent: int):
-    """The same filters for the best that two groups of sets could do."""
-    c = lambda name: F.col(name).cast("long")
-    length = (100 * c("most") >= percent * c("o_least")) & (100 * c("o_most") >= percent * c("least"))
-    most = F.least(c("at"), c("o_at")) + 1 + F.least(c("rest"), c("o_rest"))
-    return length & ((100 + percent) * most >= percent * (c("least") + c("o_least")))
+def _need(percent: int, a, b):
+    """Overlap that sets of sizes a and b need."""
+    return F.ceil(percent * (a + b) / (100 + percent))
+
+
+def _after(percent: int, a, b):
+    """N-grams that must follow each of the first m = need - after shared ones
+    in both sets. Prefixes hold those m; it grows with either size."""
+    need = _need(percent, a, b)
+    return F.greatest(need - 1 - F.floor(need / SHARE), F.ceil(percent * F.greatest(a, b) / 100) - 1)
+
+
+def _may_meet(percent: int):
+    """Length filter and positional filter at the first m meetings, for the
+    best that two groups of sets could do."""
+    least, most, o_least, o_most = (F.col(k).cast("long") for k in ("least", "most", "o_least", "o_most"))
+    length = (100 * most >= percent * o_least) & (100 * o_most >= percent * least)
+    return length & (F.least("rest", "o_rest") >= _after(percent, least, o_least))
+
+
+def _met(percent: int, meetings: DataFrame) -> DataFrame:
+    """Pairs (a, b) with at least m meetings, each once."""
+    pairs = meetings.groupBy("a", "b", "least", "o_least").agg(F.count("*").alias("shared"))
+    least, o_least = F.col("least").cast("long"), F.col("o_least").cast("long")
+    return pairs.where(F.col("shared") >= _need(percent, least, o_least) - _after(percent, least, o_least)).select("a", "b").distinct()
 
 
 def _shared(percent: int, pairs: DataFrame) -> DataFrame:
@@ -315,8 +342,8 @@ def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    pairs = written(_shared(percent, pairs), "pairs")
+    """Those of the pairs (a, b), each given once, whose sets are similar."""
+    pairs = written(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     wanted = written(wanted, "wanted")
     sets = written(_maybe(docs, wanted).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id bigint, grams binary"), "sets")
@@ -368,19 +395,20 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
     links = labels = None
     for _ in range(ROUNDS):
         spread = _spread(meet, labels)
-        found = written(_links(_to_hubs(spread, links).where(_may_link(percent, "a", "b")), docs, n, percent), "links")
+        pairs = _shared(percent, _to_hubs(spread, links).where(_may_link(percent, "a", "b")))
+        found = written(_links(pairs, docs, n, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = written(components(links), "labels")
     meet = written(_spread(meet, labels), "spread")
-    rest = F.col("n") - F.col("at") - 1
-    groups = meet.groupBy("gram", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("at").alias("at"), F.max(rest).alias("rest"))
-    others = groups.select("gram", *(F.col(c).alias(f"o_{c}") for c in ("label", "least", "most", "at", "rest")))
-    across = groups.join(others, "gram").where("label < o_label").where(_groups_may_link(percent))
-    across = across.select("gram", "label", F.col("o_label").alias("other"))
-    left = meet.select("gram", "label", F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
-    right = meet.select("gram", F.col("label").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
-    second = across.join(left, ["gram", "label"]).join(right, ["gram", "other"]).where(_may_link(percent, "a", "b"))
-    second = _links(second, docs, n, percent)
+    meet = meet.withColumn("rest", F.col("n") - F.col("at") - 1)
+    groups = meet.groupBy("gram", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    others = groups.select("gram", *(F.col(c).alias(f"o_{c}") for c in ("label", "least", "most", "rest")))
+    across = groups.join(others, "gram").where("label < o_label").where(_may_meet(percent))
+    across = across.select("gram", "label", "o_label")
+    left = meet.select("gram", "label", F.col("doc_id").alias("a"), F.col("n").alias("least"), F.col("n").alias("most"), "rest")
+    right = left.select("gram", F.col("label").alias("o_label"), F.col("a").alias("b"), *(F.col(c).alias(f"o_{c}") for c in ("least", "most", "rest")))
+    meetings = across.join(left, ["gram", "label"]).join(right, ["gram", "o_label"]).where(_may_meet(percent))
+    second = _links(_met(percent, meetings), docs, n, percent)
 
     labels = written(components(links.unionByName(second)), "labels")
     return _classes(docs, profile, labels)

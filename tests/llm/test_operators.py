@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 
 import numpy as np
@@ -78,6 +79,24 @@ def test_ngram_join_against_brute_force(spark, docs, hard):
     assert ngram_join.ngram_join(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_of_dense_near_copies(spark):
+    """Copies with so many edits that most are just beyond the limit of each other."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(4000)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rnd.randrange(1, 9)):
+            k = rnd.randrange(len(own))
+            own[k : k + rnd.randrange(1, 3)] = [f"w{rnd.randrange(4000)}"]
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for n, percent in ((4, 85), (5, 80)):
+        expected = brute_components(rows, n, percent)
+        assert 10 < len({c for _, c in expected.values()}) < 150
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(df, n, percent).collect()} == expected
+
+
 def test_nearest_recall_and_odd_vectors(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     odd = spark.createDataFrame([(9000, None, 0), (9020, [0.0] * 64, 0), (9040, [float("nan")] * 64, 0), (9060, [1.0, None] * 32, 0)], "vec_id bigint, embedding array<float>, label int")
