@@ -223,6 +223,26 @@ def line_context(spark, sf):
     return lines.join(long_, "doc_id", "left_anti").select("doc_id", "line_number", "context_before", "context_after")
 
 
+#: The byte cut: as many whole characters as fit into 4096 bytes.
+_WHOLE_CUT = "case when strlen(line) > 4096 then left(line, list_max(list_filter(range(1024, 4097), lambda n: strlen(left(line, n)) <= 4096))) || '  [truncated]' else line end"
+_CUT_LINES = f"(select doc_id, line_number, strlen(line) > 4096 as too_long, {_WHOLE_CUT} as line from {_LINES} x)"
+
+
+@query(f"select doc_id, cast(line_number as int) as line_number, too_long, md5(line) as line_md5 from {_CUT_LINES} l")
+def line_split_all(spark, sf):
+    """Every line with the digest of its cut text, those of non-ASCII lines too."""
+    return _document_lines(spark, sf).select("doc_id", "line_number", (F.octet_length("line") > text.MAX_LINE_BYTES).alias("too_long"), F.md5(F.encode("line", "UTF-8")).alias("line_md5"))
+
+
+@query(
+    f"select doc_id, cast(line_number as int) as line_number, coalesce(list(line) over (partition by doc_id order by line_number rows between 2 preceding and 1 preceding), []) as context_before, "
+    f"coalesce(list(line) over (partition by doc_id order by line_number rows between 1 following and 2 following), []) as context_after from {_CUT_LINES} l"
+)
+def line_context_all(spark, sf):
+    """Context of every line of every document, cut lines among them."""
+    return _document_lines(spark, sf).select("doc_id", "line_number", "context_before", "context_after")
+
+
 @query(f"select doc_id, cast(line_number as int) as line_number, regexp_extract(line, {sql.text(TOKEN_ASSIGNMENT.regex)}, 1) as value from {_LINES} l where regexp_extract(line, {sql.text(TOKEN_ASSIGNMENT.regex)}, 1) <> ''")
 def doc_custom_rule(spark, sf):
     """A rule of one's own over whole documents."""

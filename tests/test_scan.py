@@ -1,3 +1,4 @@
+import hashlib
 import os
 import stat
 
@@ -81,6 +82,21 @@ def test_lines_and_context(spark):
     assert text_lines(df).where("path <> 'p'").count() == 0
 
 
+def test_documents_with_long_lines_keep_all_lines(spark, tmp_path):
+    """Lines and contexts against brute force; long lines are cut to whole characters."""
+    texts = {1: "a\n" + "x" * 5000 + "\nb\nc", 2: "é" * 3000, 3: "short\nlines", 4: "x" + "€" * 1400 + "\r\nend\n"}
+    df = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    want, digests = [], []
+    for i, t in texts.items():
+        own = [x.removesuffix("\r") for x in t.removesuffix("\n").split("\n")]
+        cut = [x if len(x.encode()) <= 4096 else x.encode()[:4096].decode(errors="ignore") + text.CUT for x in own]
+        want += [(i, k + 1, cut[max(k - 2, 0) : k], cut[k + 1 : k + 3]) for k in range(len(cut))]
+        digests += [(i, k + 1, x != y, hashlib.md5(y.encode()).hexdigest()) for k, (x, y) in enumerate(zip(own, cut, strict=True))]
+    assert sorted(map(tuple, registry.QUERIES["line_context_all"](spark, str(tmp_path)).collect())) == want
+    assert sorted(map(tuple, registry.QUERIES["line_split_all"](spark, str(tmp_path)).collect())) == digests
+
+
 def commands(spark, shell, s):
     df = spark.createDataFrame([("h", s)], "path string, text string")
     return [(r.line_number, r.line) for r in histories.history_items(df, shell).orderBy("line_number").collect()]
