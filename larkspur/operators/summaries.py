@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.scoring import RANK
 from larkspur.functions.text import below
+from larkspur.runtime import written
 
 SHOWN_FROM = {"quiet": 99, "normal": RANK["medium"], "verbose": 0}
 #: Folders that the search for env files doesn't enter.
@@ -26,6 +29,20 @@ def in_report_order(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.desc("severity_rank"), F.split("path", "/"), F.asc_nulls_first("line_number"), "rule_id")
 
 
+def with_places(findings: DataFrame) -> DataFrame:
+    """Findings with their places in the report, from 1. Each task numbers the
+    range that it has sorted; counts of the ranges give their first places."""
+    number = F.monotonically_increasing_id()
+    rows = written(in_report_order(findings).withColumn("__number", number), "report-order")
+    task = F.shiftright("__number", 33)
+    counts = rows.groupBy(task.alias("__task")).agg(F.count("*").alias("n")).orderBy("__task").collect()
+    firsts = [(r["__task"], first) for r, first in zip(counts, accumulate((r.n for r in counts), initial=1), strict=False)]
+    firsts = findings.sparkSession.createDataFrame(firsts, "__task long, __first long")
+    # one row for each task of the sort
+    rows = rows.withColumn("__task", task).join(F.broadcast(firsts), "__task")
+    return rows.withColumn("place", F.col("__first") + F.col("__number").bitwiseAND((1 << 33) - 1)).drop("__number", "__task", "__first")
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     return findings.agg(*(F.count_if(F.col("severity") == s).alias(s) for s in RANK))
 

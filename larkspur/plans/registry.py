@@ -113,6 +113,12 @@ def final_sort(spark, sf):
     return top.withColumn("place", F.row_number().over(order).cast("long")).select("id", "path", "line_number", "matched_pattern", "place")
 
 
+@query(f"select id, path, line_number, matched_pattern, row_number() over (order by severity_rank desc, string_split(path, '/'), line_number, rule_id) as place from {sql.findings()} f")
+def report_order(spark, sf):
+    """All findings of a report, with their places."""
+    return summaries.with_places(detect.findings(corpus.items(spark, sf))).select("id", "path", "line_number", "matched_pattern", "place")
+
+
 @query("select " + ", ".join(f"count(*) filter (severity = '{s}') as {s}" for s in scoring.RANK) + f" from {sql.findings()} f")
 def severity_summary(spark, sf):
     return summaries.severity_counts(detect.findings(corpus.items(spark, sf)))
