@@ -5,8 +5,10 @@ URLs that no rule fits are judged by boosted trees on lexical features: length,
 depth, labels of the host, digit ratio, character entropy, counts of parameters
 and hyphens, and block rates of the host's suffix, alone and with the path's
 first folder. The trees are trained on
-URLs that rules have labelled, at most SAMPLE of them in hash order; suffix
-rates count all labelled URLs.
+URLs that rules have labelled, at most SAMPLE of them: the first ones by a hash
+of url, page_id and the number of the copy among equal rows. Every suffix and
+section has its own rate, which counts all labelled URLs; those without
+labelled URLs get the mean.
 
 Defined results: a null url, or one without ://, has an empty host and path and
 fits no rule. Without labelled URLs everything else is allowed; if all labels
@@ -35,8 +37,12 @@ RULES = (
 )
 #: Labelled URLs that the trees are trained on, at most.
 SAMPLE = 20_000
-#: Suffixes with rates of their own, the most frequent ones; others get the mean.
-MAX_SUFFIXES = 1000
+#: Copies of equal rows that one row stands for while they are spread out.
+BLOCK = 1000
+#: More rates than this, of keys of at most 64 bytes, are joined by a shuffle.
+MAX_BROADCAST = 100_000
+#: A key with more than this part of the rows is hot in that shuffle.
+HOT_PART = 1000
 TREES, DEPTH = 15, 4
 FEATURES = ["f_length", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_last", "f_fragment", "f_suffix", "f_section"]
 
@@ -89,21 +95,60 @@ def lexical(pages: DataFrame) -> DataFrame:
         .withColumn("f_last", F.length(F.substring_index(F.col("path"), "/", -1)).cast("double"))
         .withColumn("f_fragment", F.contains(url, F.lit("#")).cast("double"))
         .withColumn("suffix", F.substring_index("host", ".", -1))
-        .withColumn("section", F.concat_ws("/", "suffix", F.regexp_extract("path", "^/([^/]*)/", 1)))
+        .withColumn("section", bounded(F.concat_ws("/", "suffix", F.regexp_extract("path", "^/([^/]*)/", 1))))
+        .withColumn("suffix", bounded(F.col("suffix")))
     )
 
 
+def bounded(key: Column) -> Column:
+    """A key of at most 64 bytes; only digests have 64."""
+    return F.when(F.octet_length(key) < 64, key).otherwise(F.sha2(key, 256))
+
+
+def suffix_rates(labelled: DataFrame) -> tuple[float, dict[str, DataFrame]]:
+    """Mean block rate, and smoothed rates of every suffix and section."""
+    mean = float(labelled.agg(F.avg("label")).first()[0] or 0.0)
+    rates = {}
+    for key, name in (("suffix", "f_suffix"), ("section", "f_section")):
+        sums = labelled.groupBy(key).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+        rates[name] = written(sums.select(key, ((F.col("blocked") + 4 * mean) / (F.col("n") + 4)).alias(name)), "rates")
+    return mean, rates
+
+
+def _with_rate(pages: DataFrame, rates: DataFrame, mean: float) -> DataFrame:
+    key, name = rates.columns
+    if rates.count() <= MAX_BROADCAST:
+        return pages.join(F.broadcast(rates), key, "left").withColumn(name, F.coalesce(name, F.lit(mean)))
+    hot = pages.groupBy(key).count().where(F.col("count") * HOT_PART > pages.count())
+    hot = written(hot.join(rates, key, "left").select(key, F.coalesce(name, F.lit(mean)).alias("hot_rate")), "hot-rates")
+    # fewer than HOT_PART rows; rows of hot keys are spread, whatever they then meet is not used
+    pages = pages.join(F.broadcast(hot), key, "left")
+    pages = pages.withColumn("rate_key", F.when(F.col("hot_rate").isNull(), F.col(key)).otherwise(F.col("spread").cast("string")))
+    pages = pages.join(rates.withColumnRenamed(key, "rate_key"), "rate_key", "left")
+    return pages.withColumn(name, F.coalesce("hot_rate", name, F.lit(mean))).drop("rate_key", "hot_rate")
+
+
+def with_rates(pages: DataFrame, mean: float, rates: dict[str, DataFrame]) -> DataFrame:
+    pages = pages.withColumn("spread", F.monotonically_increasing_id())
+    for own in rates.values():
+        pages = _with_rate(pages, own, mean)
+    return pages.drop("spread")
+
+
 def with_suffix_rates(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """f_suffix, f_section: smoothed block rates among labelled URLs of the
     host's suffix, and of the suffix with the first folder of the path."""
-    mean = float(labelled.agg(F.avg("label")).first()[0] or 0.0)
-    for key, name in (("suffix", "f_suffix"), ("section", "f_section")):
-        rates = labelled.groupBy(key).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
-        rates = rates.orderBy(F.desc("n"), key).limit(MAX_SUFFIXES)
-        rates = rates.select(key, ((F.col("blocked") + 4 * mean) / (F.col("n") + 4)).alias(name))
-        # at most MAX_SUFFIXES rows
-        pages = pages.join(F.broadcast(rates), key, "left").withColumn(name, F.coalesce(name, F.lit(mean)))
-    return pages
+    return with_rates(pages, *suffix_rates(labelled))
+
+
+def drawn(labelled: DataFrame) -> DataFrame:
+    """(page_id, url) of SAMPLE labelled rows at most; copies of a row are drawn
+    one by one, and spread over tasks in blocks before that."""
+    equal = labelled.groupBy("url", "page_id").agg(F.count("*").alias("n"))
+    blocks = equal.select("url", "page_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))).alias("block"))
+    blocks = blocks.where(F.col("n") <= BLOCK).unionAll(blocks.where(F.col("n") > BLOCK).repartition("url", "page_id", "block"))
+    copies = blocks.select("url", "page_id", F.explode(F.sequence("block", F.least(F.col("block") + BLOCK, "n") - 1)).alias("copy"))
+    return copies.orderBy(F.xxhash64("url", "page_id", "copy"), "url", "page_id", "copy").limit(SAMPLE).select("page_id", "url")
 
 
 def fit(sample: DataFrame):
@@ -120,9 +165,12 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = lexical(ruled(pages.select("page_id", "url"), rules))
     labelled = rows.where("listed is not null").withColumn("label", (F.col("listed") == "block").cast("double"))
     counts = labelled.agg(F.count("*").alias("n"), F.avg("label").alias("mean")).first()
-    rows = with_suffix_rates(rows, labelled)
-    sample = labelled.orderBy(F.xxhash64("url"), "url").limit(SAMPLE)
-    model = fit(with_suffix_rates(sample, labelled)) if counts.n else None
+    mean, rates = suffix_rates(labelled)
+    rows = with_rates(rows, mean, rates)
+    model = None
+    if counts.n:
+        sample = lexical(ruled(written(drawn(labelled), "drawn-urls"), rules)).withColumn("label", (F.col("listed") == "block").cast("double"))
+        model = fit(with_rates(sample, mean, rates))
     if model is None:
         scored = rows.withColumn("block_score", F.lit(float(counts["mean"] or 0.0)))
     else:

@@ -142,6 +142,34 @@ def test_url_rules_and_held_out_accuracy(spark):
     assert scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] >= 0.95
 
 
+def test_url_rates_of_all_sections_and_copies(spark, monkeypatch):
+    """Sections beyond the first 1,000 have rates of their own, in both joins; copies of a url are drawn one by one."""
+    rows = [(i, f"http://a.{'net' if i % 2 else 'com'}/{'f' * (i % 90)}{i // 4}/x") for i in range(6000)] + [(i, "http://hot.com/same/x") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string").repartition(4)
+    rows = url_filter.lexical(url_filter.ruled(pages)).withColumn("label", (F.col("page_id") % 3 == 0).cast("double"))
+    labelled = rows.where("page_id % 5 > 0")
+    data = rows.toPandas()
+    known = data[data.page_id % 5 > 0]
+    mean = known.label.mean()
+    want = {}
+    for key in ("suffix", "section"):
+        sums = known.groupby(key).label.agg(["size", "sum"])
+        want[key] = ((sums["sum"] + 4 * mean) / (sums["size"] + 4)).to_dict()
+    assert len(want["section"]) > 2500 and data.section.str.len().max() == 64
+    for most in (100_000, 5, 1):
+        monkeypatch.setattr(url_filter, "MAX_BROADCAST", most)
+        got = url_filter.with_suffix_rates(rows, labelled).toPandas()
+        assert len(got) == len(data) and sorted(got.page_id) == sorted(data.page_id)
+        for key in want:
+            assert np.allclose(got[f"f_{key}"], [want[key].get(k, mean) for k in got[key]])
+    monkeypatch.setattr(url_filter, "SAMPLE", 900)
+    copies = rows.where("url = 'http://hot.com/same/x'").withColumn("page_id", F.lit(None).cast("long"))
+    for hot in (rows.where("url = 'http://hot.com/same/x'"), copies):
+        sample = url_filter.drawn(rows.where("url <> 'http://hot.com/same/x'").unionByName(hot)).toPandas()
+        assert len(sample) == 900 and 240 < (sample.url == "http://hot.com/same/x").sum() < 360
+    assert url_filter.drawn(rows.limit(0)).count() == 0
+
+
 def test_quality_model_against_labels(spark, hard):
     d = "/root/testdata/sf0.01"
     got = quality_model.quality_scores(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
