@@ -44,9 +44,10 @@ def entropy(v: Column) -> Column:
 
 
 def widest_entropy(v: Column) -> Column:
-    """The largest entropy of the windows of WINDOW characters."""
+    """The largest entropy of the windows of WINDOW characters; of the whole
+    value if it has no more."""
     windows = F.transform(F.sequence(F.lit(1), F.length(v) - (WINDOW - 1)), lambda i: F.substring(v, i, F.lit(WINDOW)))
-    return F.array_max(F.transform(windows, entropy))
+    return F.when(F.length(v) <= WINDOW, entropy(v)).otherwise(F.array_max(F.transform(windows, entropy)))
 
 
 def entropy_delta(v: Column) -> Column:

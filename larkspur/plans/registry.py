@@ -73,6 +73,12 @@ def entropy_window(spark, sf):
     return _values(spark, sf).where("length(value) >= 64").select("path", "line_number", "rule_id", F.round(scoring.widest_entropy(F.col("value")), 9).alias("widest"))
 
 
+@query(f"select path, line_number, rule_id, round(case when length(value) <= {scoring.WINDOW} then {sql.entropy('value')} else {sql.widest('value')} end, 9) as widest from {sql.matches()} m")
+def entropy_window_all(spark, sf):
+    """All matches; the whole value counts where it is no longer than a window."""
+    return _values(spark, sf).select("path", "line_number", "rule_id", F.round(scoring.widest_entropy(F.col("value")), 9).alias("widest"))
+
+
 def _signal(name):
     def run(spark, sf):
         m = detect.rule_matches(corpus.items(spark, sf))
