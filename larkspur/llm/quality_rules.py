@@ -2,8 +2,10 @@
 
 Every line of a document is judged by three kinds of rules: punctuation
 (no sentence end on a short line, shouted or symbol-ridden words), navigation
-(separators, menu words) and boilerplate (legal and interface phrases). Lines
-that fail are removed; a document that loses too large a part of its words is
+(separators, menu words) and boilerplate (legal and interface phrases). A line
+of up to PHRASE_WORDS words is boilerplate if it holds a phrase; a longer one if
+its sentences with phrases make up more than half of its words, where a phrase
+counts for PHRASE_WORDS words of its sentence at most. Lines that fail are removed; a document that loses too large a part of its words is
 rejected, as is one that fails the base measures.
 
 Defined results: a null or empty text has no words, measures of 0, fails the
@@ -33,8 +35,11 @@ MAX_REPEAT_PERCENT = 50
 MAX_LOSS = 0.5
 #: A line of fewer words needs a sentence end.
 SHORT_LINE = 6
+#: Words that one boilerplate phrase can condemn.
+PHRASE_WORDS = 60
 
 SENTENCE_END = re.compile(r"""[.!?:;…。][)\]"'”’»]*$|["”»]$""")
+SENTENCE_GAP = re.compile(r"""(?<=[.!?;…。])[)\]"'”’»]*\s+""")
 NAVIGATION_MARKS = {b"|", b">", b"<", b">>", b"<<", b"/", "»".encode(), "«".encode(), "›".encode(), "•".encode(), "·".encode()}
 #: Phrases of interfaces and legal notes, lower case.
 BOILERPLATE = re.compile(
@@ -76,6 +81,12 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def phrase_words(text: str) -> int:
+    """Words of the sentences that hold boilerplate phrases."""
+    hits = ((len(BOILERPLATE.findall(s)), len(s.split())) for s in SENTENCE_GAP.split(text))
+    return sum(min(words, PHRASE_WORDS * n) for n, words in hits)
+
+
 def line_fails(line: bytes, words: list[bytes]) -> str:
     """Which kind of rule a line with words breaks, or ''."""
     n = len(words)
@@ -90,7 +101,8 @@ def line_fails(line: bytes, words: list[bytes]) -> str:
     text = line.decode("utf-8", "replace").strip()
     if n < SHORT_LINE and not SENTENCE_END.search(text):
         return "punctuation"
-    if n <= 60 and BOILERPLATE.search(text.lower()):
+    text = text.lower()
+    if BOILERPLATE.search(text) and (n <= PHRASE_WORDS or 2 * phrase_words(text) > n):
         return "boilerplate"
     return ""
 

@@ -45,6 +45,16 @@ def test_quality_rules_against_brute_force(spark, docs, hard):
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_boilerplate_on_long_lines():
+    """Cookie paragraphs of any length are judged; one phrase doesn't condemn a long text."""
+    legal, story = "This site uses cookies to tell visitors apart and to count them. ", "The river ran past the mill and on to the sea that day. "
+    fails = lambda line: quality_rules.line_fails(line.encode(), line.encode().split())
+    assert [fails(legal * k) for k in (1, 5, 6, 50)] == ["boilerplate"] * 4
+    assert fails(legal * 20 + story * 8) == "boilerplate" and fails(legal * 8 + story * 20) == "" and fails(story * 50) == ""
+    assert fails("word " * 65 + "click here") == "boilerplate" and fails("word " * 500 + "click here") == ""
+    assert not quality_rules.judge((legal * 20).encode())[0][6] and quality_rules.judge((story * 3 + "\n" + legal * 6).encode())[1] == [(story * 3).encode()]
+
+
 def brute_components(rows, n, percent):
     sets = {}
     for i, t in rows:
