@@ -1,43 +1,47 @@
 """N-gram Jaccard join of documents, exact, by prefix filtering.
 
-A document is its set of distinct word n-grams (64-bit hashes). All sets are
-ordered by one global order, rare n-grams first: by the count of the n-gram in
-a fixed table of counters over the whole corpus, then by hash. Any total order
-gives exact results; counts in a shared table only decide how well it prunes.
-Two sets with Jaccard similarity of at least t share an n-gram among the first
-n - ceil(t n) + 1 of each; documents meet on those prefix n-grams.
-
-1. One pass over the texts: set size and set fingerprint of each document, and
-   the counters (a fixed 1 MiB a task, summed by Spark, then broadcast).
-2. A second pass emits prefix n-grams, once per task and distinct set, so
-   copies don't multiply. N-grams that only one set has go at once.
-3. A few rounds: every set meets one hub of each of its n-grams, of another
-   component. Pairs that pass the length and positional filters, and share
-   enough of their prefixes, are verified, each once in a round. Components of
-   these links bring dense groups of near copies together.
-4. All that is left: n-grams whose sets are still in several components give the
-   pairs across components. What follows the m-th n-gram that two sets share,
-   in the global order, must hold all but m of their overlap: this bound
-   decides where a pair can meet at all, for groups of sets and then for sets,
-   and keeps the common end of the prefixes of near copies from pairing
-   everything. A similar pair passes it at its first m shared n-grams, so pairs
-   with fewer such meetings go and none is lost. m is about 2 % of the overlap
-   needed, as far as the prefixes reach. A pair within a component can't change
-   any component.
-5. Components of all links, by alternating stars; classes of equal sets join
-   their representative.
+A document is its set of distinct word n-grams (64-bit hashes); sets are known
+by a 64-bit fingerprint, so copies, and ids that many rows repeat, cost nothing
+more. All sets are ordered by one global order, rare n-grams first: by the count
+of the n-gram in a fixed table of counters over the whole corpus, then by hash.
+Any total order gives exact results; the counters only decide how well it
+prunes. Two sets with Jaccard similarity of at least t share an n-gram among the
+first n - ceil(t n) + 1 of each; sets meet on those prefix n-grams.
+
+1. One pass over the texts: size and fingerprint of each document's set, and the
+   counters (a fixed 1 MiB a task, summed by Spark, then broadcast).
+2. A second pass emits prefix n-grams, once per task and set. N-grams that only
+   one row has go at once.
+3. Every set is compared with one hub of each of its n-grams. An n-gram of few
+   sets has one hub, which meets those that pass the length and positional
+   filters. One of many sets has a hub for each size band, of the sets in it and
+   in the band below, so that two similar sets always share a hub.
+4. Components of these links bring groups of near copies together. Few sets on
+   an n-gram that are still in several components are paired there.
+5. Many sets on an n-gram are compared by what they differ in from the hub they
+   share: |A - B| + |B - A| is |Da| + |Db| - 2 |Da and Db| for their symmetric
+   differences D with the hub. Sets whose differences are small enough together
+   are similar without a look. All others need a common part of Da and Db, which
+   is found by prefix and positional filtering once more, on the differences.
+   Near copies of one text share the text, but not their edits: this is what
+   keeps a dense group from pairing everything with everything.
+6. Pairs must also pass a parity filter: two sets differ in at least as many
+   n-grams as the XOR of their 256 parity bits has ones.
 
 Verification joins the two whole sets of a pair, bounds their overlap by the
-sizes of their parts between fixed pivots (suffix filter) and then intersects.
+sizes of their parts between fixed pivots (suffix filter) and then intersects;
+each pair is verified once. A pair within a component can't change any
+component, and is left out.
 
 Defined results: null text, or text without words: set of size 0, linked with
-nothing. Null ids: the row keeps a null component and links nothing. Rows that
-repeat an id are one document: linked. An empty table gives an empty table.
-Only id and text are read, so further columns can't clash.
+nothing. Null ids: the row has its set size, a null component, and links
+nothing. Rows that repeat an id are one document: linked. An empty table gives
+an empty table. Only id and text are read, so further columns can't clash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,11 +56,12 @@ from larkspur.runtime import ensure_importable, written
 #: Counters of the table that orders n-grams; fixed, so its size is too.
 COUNTERS, BLOCK = 1 << 18, 1 << 12
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Rounds with one partner for each n-gram, before all that is left is joined; more
-#: found next to no further links on the test tables.
-ROUNDS = 1
-#: One n-gram more must be shared early for so many of the overlap needed.
-SHARE = 50
+#: An n-gram of more rows has hubs that its sets are compared with by differences.
+FEW = 64
+#: Sets that a task remembers, so as to emit each once.
+REMEMBERED = 1 << 18
+#: Rows of a batch of differences, about.
+ROWS = 100_000
 #: Bytes of a text that are hashed at once, about.
 SEGMENT = 1 << 18
 PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
@@ -86,25 +91,33 @@ class Words:
             # cumprod wraps around, as the sums do
             self.powers, self.inverses = (np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (self.base, down))
 
-    def hashes(self, data: bytes) -> np.ndarray:
-        out, at = [], 0
-        while at < len(data):  # in segments that end with a word
+    def segments(self, data: bytes) -> Iterator[np.ndarray]:
+        """The bytes in parts that end with a word."""
+        at = 0
+        while at < len(data):
             end = at + SEGMENT
             while end < len(data) and not self.space[data[end]]:
                 end += 1
-            out.append(self._segment(np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)))
+            yield np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)
             at = end
+
+    def hashes(self, data: bytes) -> np.ndarray:
+        out = [self.sums(self.letters[b], *self.places(b)) for b in self.segments(data)]
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint64)
 
-    def _segment(self, b: np.ndarray) -> np.ndarray:
-        self._grow(len(b))
+    def places(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start and end."""
         inside = np.empty(len(b) + 2, np.int8)
         inside[0] = inside[-1] = 0
         inside[1:-1] = ~self.space[b]
         edges = np.flatnonzero(np.diff(inside))
-        starts, ends = edges[::2], edges[1::2]
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(self.letters[b] * self.powers[: len(b)], out=sums[1:])
+        return edges[::2], edges[1::2]
+
+    def sums(self, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the parts from starts to ends."""
+        self._grow(len(numbers))
+        sums = np.zeros(len(numbers) + 1, np.uint64)
+        np.cumsum(numbers * self.powers[: len(numbers)], out=sums[1:])
         return (sums[ends] - sums[starts]) * self.inverses[starts]
 
 
@@ -134,41 +147,47 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-    """(id, text) of rows that have an id."""
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+    """(id, text) of all rows."""
     texts = batch.column(1).cast(pa.large_binary())
     for i, data in zip(batch.column(0).to_pylist(), texts, strict=True):
-        if i is not None:
-            yield i, data.as_py() or b""
+        yield i, data.as_py() or b""
+
+
+def _counter(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """256 parity bits, as four longs: each n-gram flips one of them."""
+    bits = np.bincount(((s * MIX) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-PROFILE = "doc_id bigint, n int, f1 bigint, f2 bigint, block int, counts binary"
+PARITY = ["s0", "s1", "s2", "s3"]
+PROFILE = "doc_id bigint, n int, f1 bigint, f2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, block int, counts binary"
 
 
 def _profile(n: int):
+    names = ["doc_id", "n", "f1", "f2", *PARITY, "block", "counts"]
+    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.int32(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = Words(), np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            ids, sizes, f1, f2 = [], [], [], []
-            own = []
+            rows, own = [], []
             for i, data in _rows(batch):
                 s = shingles(data, n, words)
-                a, b = fingerprint(s)
-                ids.append(i), sizes.append(len(s)), f1.append(a), f2.append(b)
-                own.append((s & np.uint64(COUNTERS - 1)).astype(np.int64))
+                rows.append((i, len(s), *fingerprint(s), *map(int, parity(s)), None, None))
+                if i is not None:
+                    own.append(_counter(s))
             if own:
                 counts += np.bincount(np.concatenate(own), minlength=COUNTERS)
-            k = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                names=["doc_id", "n", "f1", "f2", "block", "counts"],
-            )
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
         k = COUNTERS // BLOCK
         blocks = [counts[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(k)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(blocks, pa.binary())],
-            names=["doc_id", "n", "f1", "f2", "block", "counts"],
-        )
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds[:-2]), pa.array(range(k), pa.int32()), pa.array(blocks, pa.binary())], names=names)
 
     return run
 
@@ -195,97 +214,107 @@ def _order(profile: DataFrame) -> np.ndarray:
     return np.minimum(total, (1 << 31) - 1)
 
 
-PREFIX = "gram bigint, doc_id bigint, n int, at int, f1 bigint"
+PREFIX = "gram bigint, doc_id bigint, key bigint, n int, at int"
+
+
+class _Seen(set):
+    """Fingerprints that were met before; it forgets all when it is full."""
+
+    def met(self, f) -> bool:
+        if f in self:
+            return True
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self.add(f)
+        return False
 
 
 def _prefixes(n: int, percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, seen = Words(), order.value, set()
+        words, counts, seen = Words(), order.value, _Seen()
         for batch in batches:
-            grams, ids, sizes, places, prints = [], [], [], [], []
+            grams, ids, keys, sizes, places = [], [], [], [], []
             for i, data in _rows(batch):
                 s = shingles(data, n, words)
                 size = len(s)
-                f = fingerprint(s)
-                if not size or f in seen:
+                if i is None or not size or seen.met(f := fingerprint(s)[0]):
                     continue
-                seen.add(f)
                 k = size - (percent * size + 99) // 100 + 1
-                rare = (counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)] << 32) | np.arange(size)
+                rare = (counts[_counter(s)] << 32) | np.arange(size)
                 rare = np.sort(np.partition(rare, k - 1)[:k]) & 0xFFFFFFFF
                 grams.append(s[rare].view(np.int64))
-                ids.append(np.full(k, i)), sizes.append(np.full(k, size, np.int32)), places.append(np.arange(k, dtype=np.int32)), prints.append(np.full(k, f[0]))
+                ids.append(np.full(k, i)), keys.append(np.full(k, f)), sizes.append(np.full(k, size, np.int32)), places.append(np.arange(k, dtype=np.int32))
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, ids, sizes, places, prints)], names=["gram", "doc_id", "n", "at", "f1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, ids, keys, sizes, places)], names=["gram", "doc_id", "key", "n", "at"])
 
     return run
 
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, seen = Words(), _Seen()
         for batch in batches:
-            ids, sets = [], []
-            for i, data in _rows(batch):
-                ids.append(i), sets.append(shingles(data, n, words).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "grams"])
+            keys, sets = [], []
+            for _, data in _rows(batch):
+                s = shingles(data, n, words)
+                if not seen.met(f := fingerprint(s)[0]):
+                    keys.append(f), sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "grams"])
 
     return run
 
 
-def _verified(percent: int):
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b, strict=True):
+COMPARED = "struct<linked:boolean,n:int,d:int,tokens:binary,s0:bigint,s1:bigint,s2:bigint,s3:bigint>"
+
+
+def _compared(percent: int, order):
+    """Are two sets similar? If asked, also what the second differs in from the
+    first, in an order that depends on the first and the n-gram alone: rarely
+    different ones first, as far as the counters tell."""
+
+    def run(a: pa.Array, b: pa.Array, many: pa.Array) -> pa.Array:
+        rows = []
+        for x, y, full in zip(a, b, many.to_pylist(), strict=True):
             s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
             total = len(s) + len(t)
             need = -(-percent * total // (100 + percent))
-            parts = [np.diff(np.searchsorted(u, PIVOTS), prepend=0, append=len(u)) for u in (s, t)]
-            if np.minimum(*parts).sum() < need:
-                out.append(False)
-                continue
+            if not full:
+                parts = [np.diff(np.searchsorted(u, PIVOTS), prepend=0, append=len(u)) for u in (s, t)]
+                if np.minimum(*parts).sum() < need:
+                    rows.append((False, len(t), None, None, None, None, None, None))
+                    continue
             both = np.sort(np.concatenate([s, t]))
-            same = int((both[1:] == both[:-1]).sum())
-            out.append(100 * same >= percent * (total - same))
-        return pa.array(out, pa.bool_())
+            same = both[1:] == both[:-1]
+            linked = int(same.sum()) >= need
+            if not full:
+                rows.append((linked, len(t), None, None, None, None, None, None))
+                continue
+            own = both[~(np.append(same, False) | np.append(False, same))]
+            counts = order.value
+            rare = counts[_counter(own)]
+            in_hub = s[np.minimum(np.searchsorted(s, own), len(s) - 1)] == own
+            rare[in_hub] = counts[_counter(s)].max() - rare[in_hub]
+            rows.append((linked, len(t), len(own), own[np.lexsort((own, rare))].tobytes(), *map(int, parity(t))))
+        kinds = [pa.bool_(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4]
+        columns = list(zip(*rows, strict=True)) or [()] * 8
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["linked", "n", "d", "tokens", "s0", "s1", "s2", "s3"])
 
     return run
 
 
-def _may_link(percent: int, a: str, b: str):
-    """Length and positional filters on columns n and at of both sides."""
-    c = {k: F.col(k).cast("long") for k in (f"{a}_n", f"{b}_n", f"{a}_at", f"{b}_at")}
-    na, nb, pa_, pb = c.values()
-    length = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    return length & ((100 + percent) * most >= percent * (na + nb))
-
+def _sum(n: str, m: str):
+    return F.col(n).cast("long") + F.col(m)
 
-def _need(percent: int, a, b):
-    """Overlap that sets of sizes a and b need."""
-    return F.ceil(percent * (a + b) / (100 + percent))
 
+def _of_like_size(percent: int, n: str, m: str):
+    return 100 * F.least(F.col(n).cast("long"), F.col(m).cast("long")) >= percent * F.greatest(F.col(n).cast("long"), F.col(m).cast("long"))
 
-def _after(percent: int, a, b):
-    """N-grams that must follow each of the first m = need - after shared ones
-    in both sets. Prefixes hold those m; it grows with either size."""
-    need = _need(percent, a, b)
-    return F.greatest(need - 1 - F.floor(need / SHARE), F.ceil(percent * F.greatest(a, b) / 100) - 1)
 
-
-def _may_meet(percent: int):
-    """Length filter and positional filter at the first m meetings, for the
-    best that two groups of sets could do."""
-    least, most, o_least, o_most = (F.col(k).cast("long") for k in ("least", "most", "o_least", "o_most"))
-    length = (100 * most >= percent * o_least) & (100 * o_most >= percent * least)
-    return length & (F.least("rest", "o_rest") >= _after(percent, least, o_least))
-
-
-def _met(percent: int, meetings: DataFrame) -> DataFrame:
-    """Pairs (a, b) with at least m meetings, each once."""
-    pairs = meetings.groupBy("a", "b", "least", "o_least").agg(F.count("*").alias("shared"))
-    least, o_least = F.col("least").cast("long"), F.col("o_least").cast("long")
-    return pairs.where(F.col("shared") >= _need(percent, least, o_least) - _after(percent, least, o_least)).select("a", "b").distinct()
+def _may_link(percent: int, a: str, b: str):
+    """Length and positional filters on columns n and at of both sides."""
+    na, nb, pa_, pb = (F.col(k).cast("long") for k in (f"{a}_n", f"{b}_n", f"{a}_at", f"{b}_at"))
+    most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
+    return _of_like_size(percent, f"{a}_n", f"{b}_n") & ((100 + percent) * most >= percent * (na + nb))
 
 
 def _shared(percent: int, pairs: DataFrame) -> DataFrame:
@@ -297,7 +326,7 @@ def _shared(percent: int, pairs: DataFrame) -> DataFrame:
     rest = lambda n: F.floor((percent * F.col(n).cast("long") + 99) / 100) - 1
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("a_n").alias("a_n"), F.max("b_n").alias("b_n"))
     most = F.col("shared") + F.greatest(rest("a_n"), rest("b_n"))
-    return pairs.where((100 + percent) * most >= percent * (F.col("a_n").cast("long") + F.col("b_n"))).select("a", "b")
+    return pairs.where((100 + percent) * most >= percent * _sum("a_n", "b_n")).select("a", "b")
 
 
 MARKS = 1 << 23
@@ -341,42 +370,130 @@ def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where(F.arrow_udf(hit, "boolean")("doc_id"))
 
 
-def _links(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b), each given once, whose sets are similar."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = written(wanted, "wanted")
-    sets = written(_maybe(docs, wanted).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id bigint, grams binary"), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("a_grams")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("b_grams")), "b")
-    return both.where(F.arrow_udf(_verified(percent), "boolean")("a_grams", "b_grams")).select("a", "b")
-
-
-def _spread(meet: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Meetings, with the component of each set, on n-grams of several components."""
-    if labels is None:
-        meet = meet.withColumn("label", F.col("doc_id"))
-    else:
-        meet = meet.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    several = meet.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-    return meet.join(several.select("gram"), "gram", "left_semi")
-
-
-def _to_hubs(spread: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Every set with the hub of each of its n-grams, if that is of another
-    component: the set with most links so far, of equals the smallest id, for
-    copies mostly come after what they are copies of."""
-    if links is None:
-        spread = spread.withColumn("order", F.lit(0).cast("long"))
-    else:
-        linked = links.select(F.col("a").alias("doc_id")).unionAll(links.select("b")).groupBy("doc_id").agg((-F.count("*")).alias("order"))
-        spread = spread.join(linked, "doc_id", "left").withColumn("order", F.coalesce("order", F.lit(0)))
-    first = F.min(F.struct("order", "doc_id", "n", "at", "label"))
-    hubs = spread.groupBy("gram").agg(first.alias("hub"))
-    return spread.join(hubs, "gram").where("label <> hub.label").select(
-        F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"),
-        F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("a_n"), F.col("hub.at").alias("a_at"),
-    )
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int, order) -> DataFrame:
+    """The pairs (a, b, many) of set keys, each given once, with what comparing them found."""
+    pairs = written(pairs.select("a", "b", "many"), "pairs")
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = written(classes.join(wanted, classes.f1 == wanted.key).select("key", F.col("least").alias("doc_id")), "wanted")
+    texts = _maybe(docs, wanted).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(n), "key bigint, grams binary").join(wanted.select("key").distinct(), "key", "left_semi")
+    sets = written(sets.groupBy("key").agg(F.first("grams").alias("grams")), "sets")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("a_grams")), "a")
+    both = both.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("b_grams")), "b")
+    found = both.withColumn("found", F.arrow_udf(_compared(percent, order), COMPARED)("a_grams", "b_grams", "many"))
+    return written(found.select("a", "b", "many", "found.*"), "compared")
+
+
+def _meetings(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
+    """Sets on their prefix n-grams, without n-grams of a single row; ``together`` counts the rows of the n-gram."""
+    rows = written(docs.mapInArrow(_prefixes(n, percent, order), PREFIX), "prefixes")
+    counts = rows.groupBy("gram").agg(F.count("*").alias("together")).where("together > 1")
+    rows = rows.join(counts, "gram").groupBy("gram", "key", "n").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.first("together").alias("together"))
+    # sizes of similar sets differ by one band at most; a little more than 100 / percent a band is safe from rounding
+    band = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int")
+    return written(rows.withColumn("band", band), "meetings")
+
+
+def _hub_pairs(meet: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, many): every set b with hubs a of its n-grams, each pair once."""
+    first = F.min(F.struct("doc_id", "key", "n", "at")).alias("hub")
+    few = meet.where(f"together <= {FEW}")
+    few = few.join(few.groupBy("gram").agg(first), "gram").select(
+        F.col("key").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("hub.key").alias("a"), F.col("hub.n").alias("a_n"), F.col("hub.at").alias("a_at")
+    )
+    few = _worth_comparing(_shared(percent, few.where("a <> b").where(_may_link(percent, "a", "b"))), classes, percent)
+    many = meet.where(f"together > {FEW}").withColumn("cell", F.explode(F.array("band", F.col("band") + 1)))
+    many = many.join(many.groupBy("gram", "cell").agg(first), ["gram", "cell"]).select(F.col("hub.key").alias("a"), F.col("key").alias("b")).where("a <> b")
+    both = few.withColumn("many", F.lit(False)).unionByName(many.distinct().withColumn("many", F.lit(True)))
+    return both.groupBy("a", "b").agg(F.max("many").alias("many"))
+
+
+def _excess(percent: int):
+    """x of a set: two sets that share a hub are surely similar if their x sum to
+    0 or less, and else need (xa + xb) / (2 (100 + percent)) common differences."""
+    return (100 + percent) * F.col("d").cast("long") - (100 - percent) * F.col("n").cast("long")
+
+
+def _around_hubs(compared: DataFrame, percent: int) -> DataFrame:
+    """Sets with many others on an n-gram: (hub, key, x, star, bound, ...).
+
+    ``star``: surely similar to the set ``centre`` of least x. ``bound``: the
+    least x of a set that such a one may still have to be compared with.
+    """
+    own = compared.where("many").select(F.col("a").alias("hub"), F.col("b").alias("key"), _excess(percent).alias("x"), "n", "d", "tokens", "s0", "s1", "s2", "s3")
+    least = own.groupBy("hub").agg(F.min(F.struct("x", "key")).alias("least"))
+    own = own.join(least, "hub").withColumn("star", F.col("x") + F.col("least.x") <= 0)
+    outside = own.where("not star").groupBy("hub").agg(F.min("x").alias("outside"))
+    own = own.join(outside, "hub", "left").withColumn("bound", F.when(F.col("star"), F.col("outside")).otherwise(F.col("least.x")))
+    return written(own.withColumn("centre", F.col("least.key")).drop("least", "outside"), "around")
+
+
+DIFFERENCES = "hub bigint, gram bigint, key bigint, label bigint, n int, d int, x bigint, at int, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+
+
+def _differences(percent: int):
+    """Prefixes of the differences with the hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, x, bound = (batch.column(k).to_numpy().astype(np.int64) for k in (4, 5, 6))
+            length = np.maximum(0, d - np.maximum(1, -(-(x + bound) // (2 * (100 + percent)))) + 1)
+            part = np.cumsum(length) // ROWS
+            for k in np.unique(part):
+                rows = np.flatnonzero(part == k)
+                tokens = [np.frombuffer(batch.column(7)[int(r)].as_py(), np.int64)[: length[r]] for r in rows]
+                again = pa.array(np.repeat(rows, length[rows]))
+                own = [batch.column(c).take(again) if c not in (6, 7) else None for c in range(12)]
+                at = np.concatenate([np.arange(length[r], dtype=np.int32) for r in rows])
+                columns = [own[0], pa.array(np.concatenate(tokens)), *own[1:6], pa.array(at), *own[8:12]]
+                yield pa.RecordBatch.from_arrays(columns, names=["hub", "gram", "key", "label", "n", "d", "x", "at", "s0", "s1", "s2", "s3"])
+
+    return run
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def _spread(rows: DataFrame, *on: str) -> DataFrame:
+    """Rows whose n-gram is in several components."""
+    several = rows.groupBy(*on).agg(F.min("label").alias("x0"), F.max("label").alias("x1")).where("x0 < x1")
+    return rows.join(several.select(*on), [*on], "left_semi")
+
+
+def _other(rows: DataFrame, *on: str) -> DataFrame:
+    return rows.select(*on, *(F.col(c).alias(f"b_{c}") for c in rows.columns if c not in on))
+
+
+def _near(percent: int, a: str = "a_", b: str = "b_"):
+    """The parity filter on n and the parity bits of both sides."""
+    apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in PARITY), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * _sum(f"{a}n", f"{b}n")
+
+
+def _worth_comparing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of set keys that pass the parity filter."""
+    bits = classes.select("f1", "n", *PARITY).dropDuplicates(["f1"])
+    side = lambda k: bits.select(F.col("f1").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("n", *PARITY)))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_near(percent)).select("a", "b")
+
+
+def _few_pairs(meet: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    few = written(_spread(_labelled(meet.where(f"together <= {FEW}"), labels), "gram"), "few").select("gram", "key", "label", "n", "at")
+    one = few.select("gram", *(F.col(c).alias(f"a_{c}") for c in ("key", "label", "n", "at")))
+    met = one.join(_other(few, "gram"), "gram").where("a_label < b_label").where(_may_link(percent, "a", "b"))
+    return _shared(percent, met.withColumn("a", F.col("a_key")).withColumn("b", F.col("b_key")))
+
+
+def _many_pairs(around: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a hub, by their differences with it."""
+    rows = _labelled(around.where("bound is not null"), labels).select("hub", "key", "label", "n", "d", "x", "bound", "tokens", "s0", "s1", "s2", "s3")
+    rows = _spread(written(rows.mapInArrow(_differences(percent), DIFFERENCES), "differences"), "hub", "gram")
+    one = rows.select("hub", "gram", *(F.col(c).alias(f"a_{c}") for c in rows.columns if c not in ("hub", "gram")))
+    rest = F.least(F.col("a_d") - F.col("a_at"), F.col("b_d") - F.col("b_at")) - 1
+    enough = 2 * (100 + percent) * (F.least("a_at", "b_at") + 1 + rest).cast("long") >= F.col("a_x") + F.col("b_x")
+    met = one.join(_other(rows, "hub", "gram"), ["hub", "gram"]).where("a_label < b_label").where(_of_like_size(percent, "a_n", "b_n") & enough & _near(percent))
+    return met.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -384,49 +501,35 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
     spark = docs.sparkSession
     ensure_importable(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = written(docs.where("doc_id is not null").mapInArrow(_profile(n), PROFILE), "profile")
+    profile = written(docs.mapInArrow(_profile(n), PROFILE), "profile")
     order = spark.sparkContext.broadcast(_order(profile))
-
-    rows = docs.mapInArrow(_prefixes(n, percent, order), PREFIX)
-    rows = rows.withColumn("together", F.expr("count(1) over (partition by gram)")).where("together > 1")
-    rows = rows.groupBy("gram", "f1", "n").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"))
-    meet = written(rows.select("gram", "doc_id", "n", "at"), "prefixes")
-
-    links = labels = None
-    for _ in range(ROUNDS):
-        spread = _spread(meet, labels)
-        pairs = _shared(percent, _to_hubs(spread, links).where(_may_link(percent, "a", "b")))
-        found = written(_links(pairs, docs, n, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = written(components(links), "labels")
-    meet = written(_spread(meet, labels), "spread")
-    meet = meet.withColumn("rest", F.col("n") - F.col("at") - 1)
-    groups = meet.groupBy("gram", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
-    others = groups.select("gram", *(F.col(c).alias(f"o_{c}") for c in ("label", "least", "most", "rest")))
-    across = groups.join(others, "gram").where("label < o_label").where(_may_meet(percent))
-    across = across.select("gram", "label", "o_label")
-    left = meet.select("gram", "label", F.col("doc_id").alias("a"), F.col("n").alias("least"), F.col("n").alias("most"), "rest")
-    right = left.select("gram", F.col("label").alias("o_label"), F.col("a").alias("b"), *(F.col(c).alias(f"o_{c}") for c in ("least", "most", "rest")))
-    meetings = across.join(left, ["gram", "label"]).join(right, ["gram", "o_label"]).where(_may_meet(percent))
-    second = _links(_met(percent, meetings), docs, n, percent)
-
-    labels = written(components(links.unionByName(second)), "labels")
-    return _classes(docs, profile, labels)
-
-
-def _classes(docs: DataFrame, profile: DataFrame, labels: DataFrame) -> DataFrame:
-    """Components of representatives -> of every row."""
     key = ["n", "f1", "f2"]
     sets = profile.where("block is null").select("doc_id", *key)
-    classes = sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("least"))
-    linked = labels.join(sets, labels.node == sets.doc_id).select(*key, "label").distinct()
-    linked = linked.join(classes, key)
-    labelled = linked.join(linked.groupBy("label").agg(F.min("least").alias("component_id")), "label").select(*key, "component_id")
-    # an id with several rows may be in several classes; each of them gets the smallest
-    found = classes.join(labelled.groupBy(*key).agg(F.min("component_id").alias("component_id")), key, "left")
-    found = written(found.select(*key, F.coalesce("component_id", "least").alias("component_id")), "classes")
-    out = sets.join(found, key, "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
-    nameless = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(nameless)
+    known = profile.where("block is null").where("n > 0 and doc_id is not null")
+    classes = written(known.groupBy(*key).agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in PARITY)), "classes")
+
+    meet = _meetings(docs, n, percent, order)
+    compared = _verified(_hub_pairs(meet, classes, percent), docs, classes, n, percent, order)
+    around = _around_hubs(compared, percent)
+    sure = around.where("star and key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b"))
+    # an id of several sets is one document
+    ids = known.groupBy("doc_id").agg(F.min("f1").alias("a"), F.max("f1").alias("top")).where("a < top")
+    ids = known.join(ids, "doc_id").select("a", F.col("f1").alias("b")).where("a <> b").distinct()
+    links = written(compared.where("linked").select("a", "b").unionByName(sure).unionByName(ids), "links")
+    labels = written(components(links), "labels")
+
+    few = _worth_comparing(_few_pairs(meet, labels, percent), classes, percent)
+    pairs = few.unionByName(_many_pairs(around, labels, percent)).distinct()
+    more = _verified(pairs.withColumn("many", F.lit(False)), docs, classes, n, percent, order).where("linked").select("a", "b")
+    labels = written(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more)), "labels")
+
+    found = _least(classes, labels)
+    out = sets.join(found, key, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+
+
+def _least(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The smallest id of the component of each class of equal sets."""
+    labelled = classes.join(labels, classes.f1 == labels.node, "left").withColumn("label", F.coalesce("label", "f1"))
+    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    return written(labelled.join(least, "label").select("n", "f1", "f2", "component_id"), "components")
