@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import CONTEXT, lines, truncated
 
 
-def with_context(df: DataFrame, entries: Column, keep: list[str], line: str = "line") -> DataFrame:
-    """Explode an array of struct<line_number, line> with its neighbours."""
+def with_context(df: DataFrame, entries: Column, keep: list[str], line: str = "line", more: tuple[str, ...] = ()) -> DataFrame:
+    """Explode an array of struct<line_number, line> (and ``more``) with its neighbours."""
     df = df.withColumn("__entries", entries)
     at = F.posexplode("__entries").alias("__at", "__entry")
     df = df.select(*keep, "__entries", at)
     first = F.greatest(F.col("__at") - CONTEXT, F.lit(0))
-    texts = F.col("__entries.line")
+    # slices first: taking the texts of all entries for every row would be quadratic
+    texts = lambda start, length: F.slice("__entries", start, length)["line"]
     return df.select(
         *keep,
         F.col("__entry.line_number").cast("int").alias("line_number"),
         F.col("__entry.line").alias(line),
-        F.slice(texts, first + 1, F.col("__at") - first).alias("context_before"),
-        F.slice(texts, F.col("__at") + 2, F.lit(CONTEXT)).alias("context_after"),
+        *(F.col(f"__entry.{c}").alias(c) for c in more),
+        texts(first + 1, F.col("__at") - first).alias("context_before"),
+        texts(F.col("__at") + 2, F.lit(CONTEXT)).alias("context_after"),
     )
 
 

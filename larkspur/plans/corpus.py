@@ -1,5 +1,8 @@
 """Scan lines made from the driver's ``orders``, the same in Spark and DuckDB.
 
+Each customer has up to seven files, so there are more files, not larger ones,
+where the table is larger.
+
 The built-in rules match nothing in the driver's tables, so lines of many
 shapes are derived from order keys by hashing: one or more for each rule, and
 comments, placeholders, versions, URLs and plain text. No line holds a real
@@ -9,7 +12,9 @@ credential.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from larkspur.operators.lines import with_context
 from larkspur.runtime import table
 
 #: SQL of the line shapes; h is an MD5 and s a SHA-256 in hex, both of the key.
@@ -70,29 +75,37 @@ NAMES = ("/.env", "/deploy.sh", "/credentials", "/app.py", "/notes.txt", "/.env.
 SOURCE_TYPES = ("env_file", "dotfile", "cloud_config", "dotfile", "dotfile", "env_file", "application_config")
 
 
-def items_sql(engine: str) -> str:
-    """SELECT of the lines with context, for 'spark' or 'duckdb'."""
-    sha = "sha2(cast(o_orderkey as string), 256)" if engine == "spark" else "sha256(cast(o_orderkey as string))"
-    gather = "collect_list(line)" if engine == "spark" else "list(line)"
-    empty = "array()" if engine == "spark" else "[]"
-    shape = " ".join(f"when {k} then {s}" for k, s in enumerate(SHAPES))
-    name = " ".join(f"when {k} then '{s}'" for k, s in enumerate(NAMES))
-    source = " ".join(f"when {k} then '{s}'" for k, s in enumerate(SOURCE_TYPES))
-    frame = lambda a, b: f"coalesce({gather} over (partition by path order by k rows between {a} and {b}), {empty})"
+def _columns(engine: str) -> tuple[list[str], list[str]]:
+    """SELECT lists over ``orders``, and over the first one's result: (k, path, source_type, line)."""
+    case = lambda values: " ".join(f"when {k} then {v}" for k, v in enumerate(values))
+    quoted = lambda values: [f"'{v}'" for v in values]
+    first = [
+        "o_orderkey as k", "md5(cast(o_orderkey as string)) as h",
+        ("sha2(cast(o_orderkey as string), 256)" if engine == "spark" else "sha256(cast(o_orderkey as string))") + " as s",
+        f"case o_orderkey % {len(NAMES)} {case(quoted(SOURCE_TYPES))} end as source_type",
+        f"'/home/u' || cast(o_custkey as string) || case o_orderkey % {len(NAMES)} {case(quoted(NAMES))} end as path",
+    ]
+    return first, ["k", "source_type", "path", f"case k % {len(SHAPES)} {case(SHAPES)} end as line"]
+
+
+def items_sql() -> str:
+    """DuckDB's lines with context, by windows."""
+    first, second = _columns("duckdb")
+    frame = lambda a, b: f"coalesce(list(line) over (partition by path order by k rows between {a} and {b}), [])"
     return f"""
     select path, source_type, k, cast(row_number() over (partition by path order by k) as int) as line_number, line,
         {frame("2 preceding", "1 preceding")} as context_before, {frame("1 following", "2 following")} as context_after
-    from (
-        select k, source_type, path, case k % {len(SHAPES)} {shape} end as line
-        from (
-            select o_orderkey as k, md5(cast(o_orderkey as string)) as h, {sha} as s,
-                case o_orderkey % {len(NAMES)} {source} end as source_type,
-                '/home/u' || cast(o_custkey % 40 as string) || case o_orderkey % {len(NAMES)} {name} end as path
-            from orders
-        ) a
-    ) b"""
+    from (select {", ".join(second)} from (select {", ".join(first)} from orders) a) b"""
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, source_type, rows): the lines of each path, as array<struct<k, line>>."""
+    first, second = _columns("spark")
+    made = table(spark, sf_dir, "orders").selectExpr(*first).selectExpr(*second)
+    return made.groupBy("path", "source_type").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("rows"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "orders").createOrReplaceTempView("larkspur_orders")
-    return spark.sql(items_sql("spark").replace("from orders", "from larkspur_orders"))
+    """Lines with context from the arrays of their files, as of files that are read."""
+    entries = F.transform("rows", lambda x, i: F.struct((i + 1).alias("line_number"), x["line"].alias("line"), x["k"].alias("k")))
+    return with_context(files(spark, sf_dir), entries, ["path", "source_type"], more=("k",))

@@ -61,7 +61,7 @@ FINGERPRINT = "'sha256:' || sha256(path || ':' || cast(line_number as string) ||
 
 def matches(items: str | None = None, rules: tuple[Rule, ...] = BUILT_IN) -> str:
     hits = ", ".join(f"struct_pack(rule_id := {k}, rule := {text(r.name)}, value := regexp_extract(line, {text(r.regex)}, 1))" for k, r in enumerate(rules, 1))
-    return f"(select * exclude (m), m.rule_id as rule_id, m.rule as rule, m.value as value from (select *, unnest([{hits}]) as m from ({items or items_sql('duckdb')}) i) x where m.value <> '')"
+    return f"(select * exclude (m), m.rule_id as rule_id, m.rule as rule, m.value as value from (select *, unnest([{hits}]) as m from ({items or items_sql()}) i) x where m.value <> '')"
 
 
 def scored(full: bool = True, items: str | None = None, rules: tuple[Rule, ...] = BUILT_IN) -> str:

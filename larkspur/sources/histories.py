@@ -1,4 +1,8 @@
-"""Shell histories -> commands, as array expressions: one row per file, no shuffle."""
+"""Shell histories -> commands, as array expressions: one row per file, no shuffle.
+
+Commands of several lines are found by where they start and end, so a file takes
+time in proportion to its length.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +12,6 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import lines, truncated
 from larkspur.operators.lines import with_context
 
-COMMANDS = "array<struct<line_number:int,line:string>>"
-
 
 def _numbered(text: Column) -> Column:
     return F.transform(lines(text), lambda s, i: F.struct((i + 1).cast("int").alias("line_number"), s.alias("line")))
@@ -26,54 +28,53 @@ def without_timestamp(line: Column) -> Column:
     return F.regexp_replace(line, r"^: [0-9]+:[0-9]+;", "")
 
 
-def _fold(text: Column, step, finish) -> Column:
-    """A left fold over the lines; the state is (open, start, held, out)."""
-    state = "struct<open:boolean,start:int,held:string,meta:boolean,out:" + COMMANDS + ">"
-    start = F.struct(F.lit(False).alias("open"), F.lit(0).alias("start"), F.lit("").alias("held"), F.lit(False).alias("meta"), F.array().cast(COMMANDS).alias("out")).cast(state)
-    return F.aggregate(_numbered(text), start, lambda a, x: step(a, x).cast(state), finish)
+def _spans(at: Column, ends: Column, command) -> Column:
+    """command(first, last) for each pair of places in the two arrays."""
+    return F.zip_with(at, ends, lambda i, j: F.struct(i.cast("int").alias("line_number"), command(i, j).alias("line")))
 
 
-def _state(is_open, start, held, meta, out) -> Column:
-    c = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(c(is_open).alias("open"), c(start).cast("int").alias("start"), c(held).alias("held"), c(meta).alias("meta"), out.alias("out"))
+def _places(rows: Column, which) -> Column:
+    """Places, from 1, of the lines that are asked for."""
+    all_ = F.filter(F.sequence(F.lit(0), F.size(rows)), lambda i: i > 0)
+    return F.filter(all_, lambda i: which(i))
 
 
-def _push(out: Column, number: Column, line: Column) -> Column:
-    return F.concat(out, F.array(F.struct(number.cast("int").alias("line_number"), line.alias("line"))))
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def zsh_commands(text: Column) -> Column:
     """Commands that end with a backslash go on in the next line."""
+    return _let(F.transform(lines(text), without_timestamp), _zsh)
 
-    def step(a: Column, x: Column) -> Column:
-        line = without_timestamp(x["line"])
-        goes_on = line.endswith("\\")
-        bare = F.when(goes_on, F.left(line, F.length(line) - 1)).otherwise(line)
-        held = F.when(a["open"], F.concat(a["held"], F.lit("\n"), bare)).otherwise(bare)
-        number = F.when(a["open"], a["start"]).otherwise(x["line_number"])
-        done = ~goes_on & (a["open"] | (line != ""))
-        return F.when(goes_on, _state(True, number, held, False, a["out"])).when(done, _state(False, 0, "", False, _push(a["out"], number, held))).otherwise(_state(False, 0, "", False, a["out"]))
 
-    return _fold(text, step, lambda a: F.when(a["open"] & (a["held"] != ""), _push(a["out"], a["start"], a["held"])).otherwise(a["out"]))
+def _zsh(rows: Column) -> Column:
+    goes_on = lambda i: F.coalesce(F.get(rows, i - 1).endswith("\\"), F.lit(False))
+    bare = lambda line: F.when(line.endswith("\\"), F.left(line, F.length(line) - 1)).otherwise(line)
+    starts = _places(rows, lambda i: (i == 1) | ~goes_on(i - 1))
+    ends = _places(rows, lambda i: (i == F.size(rows)) | ~goes_on(i))
+    commands = _spans(starts, ends, lambda i, j: F.array_join(F.transform(F.slice(rows, i, j - i + 1), bare), "\n"))
+    return F.filter(commands, lambda x: x["line"] != "")
 
 
 def fish_commands(text: Column) -> Column:
-    """``- cmd:`` entries with their indented continuation lines."""
-
-    def step(a: Column, x: Column) -> Column:
-        line = x["line"]
-        closed = F.when(a["open"], _push(a["out"], a["start"], a["held"])).otherwise(a["out"])
-        more = F.concat(a["held"], F.lit("\n"), F.regexp_replace(line, r"^(?U)\s+", ""))
-        return (
-            F.when(line.startswith("- cmd: "), _state(True, x["line_number"], line.substr(F.lit(8), F.length(line)), False, closed))
-            .when(line.startswith("  when:") | line.startswith("  paths:"), _state(a["open"], a["start"], a["held"], True, a["out"]))
-            .when(line.startswith("    - "), _state(a["open"], a["start"], a["held"], a["meta"], a["out"]))
-            .when(line.startswith("- "), _state(False, 0, "", False, closed))
-            .when(~a["meta"] & line.startswith("  ") & a["open"], _state(True, a["start"], more, a["meta"], a["out"]))
-            .otherwise(_state(a["open"], a["start"], a["held"], a["meta"], a["out"]))
-        )
-
-    return _fold(text, step, lambda a: F.when(a["open"], _push(a["out"], a["start"], a["held"])).otherwise(a["out"]))
+    """``- cmd:`` entries with their indented continuation lines, up to a line of metadata."""
+    return _let(lines(text), lambda rows: _let(_places(rows, lambda i: F.get(rows, i - 1).startswith("- ")), lambda entries: _fish(rows, entries)))
+
+
+def _fish(rows: Column, entries: Column) -> Column:
+    ends = F.concat(F.transform(F.slice(entries, F.lit(2), F.greatest(F.size(entries) - 1, F.lit(0))), lambda i: i - 1), F.when(F.size(entries) > 0, F.array(F.size(rows))).otherwise(F.array().cast("array<int>")))
+
+    def command(i: Column, j: Column) -> Column:
+        first, rest = F.get(rows, i - 1), F.slice(rows, i + 1, j - i)
+        meta = F.array_position(F.transform(rest, lambda s: s.startswith("  when:") | s.startswith("  paths:")), True).cast("int")
+        rest = F.when(meta > 0, F.slice(rest, F.lit(1), meta - 1)).otherwise(rest)
+        more = F.filter(rest, lambda s: s.startswith("  ") & ~s.startswith("    - "))
+        more = F.transform(more, lambda s: F.regexp_replace(s, r"^(?U)\s+", ""))
+        return F.when(first.startswith("- cmd: "), F.array_join(F.concat(F.array(first.substr(F.lit(8), F.length(first))), more), "\n"))
+
+    return F.filter(_spans(entries, ends, command), lambda x: x["line"].isNotNull())
 
 
 PARSERS = {"bash": bash_commands, "zsh": zsh_commands, "fish": fish_commands}
