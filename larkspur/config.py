@@ -12,6 +12,16 @@ FORMATS = ("terminal", "json", "html")
 VERBOSITIES = ("quiet", "normal", "verbose")
 
 
+#: Shell and tool files that are read as lines, and folders that env files are looked for in.
+DOTFILES = ("~/.bashrc", "~/.zshrc", "~/.profile", "~/.bash_profile", "~/.zprofile", "~/.exports", "~/.gitconfig", "~/.config/fish/config.fish")
+SEARCH_ROOTS = ("~/projects", "~/code", "~/dev", "~/repos", "~/src")
+
+
+def in_home(path: str, home: str) -> str:
+    """The path with a leading ``~`` or ``~/`` spelled out; others stay as they are."""
+    return home if path == "~" else f"{home.rstrip('/')}/{path[2:]}" if path.startswith("~/") else path
+
+
 class ConfigError(ValueError):
     """A setting that can't be read."""
 
@@ -28,7 +38,9 @@ def byte_size(text: str | int) -> int:
 class Settings:
     max_file_size: int = 10 * 2**20
     max_depth: int = 10
-    follow_links: bool = False
+    follow_links: bool = True
+    dotfiles: tuple[str, ...] = DOTFILES
+    search_roots: tuple[str, ...] = SEARCH_ROOTS
     exclude_paths: tuple[str, ...] = ()
     exclude_patterns: tuple[str, ...] = ()
     extra_paths: tuple[str, ...] = ()
@@ -55,6 +67,11 @@ class Settings:
             raise ConfigError("unknown format or verbosity")
         return replace(self, **own)
 
+    def at_home(self, home: str) -> Settings:
+        """With ``~`` spelled out in all paths."""
+        paths = ("dotfiles", "search_roots", "exclude_paths", "extra_paths")
+        return replace(self, **{k: tuple(in_home(p, home) for p in getattr(self, k)) for k in paths})
+
 
 @dataclass
 class Layers:

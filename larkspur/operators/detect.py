@@ -1,26 +1,53 @@
 """Rules over lines: matches, scores, findings. Narrow: nothing is shuffled.
 
-A rule takes the first match in a line, its group 1. A regex is tried only on
-lines that hold one of the rule's literals; all regexes are literals of one
-projection, so each is compiled once and lines are read once.
+A rule takes the first match in a line: its group 1, or all of it if the regex
+has no group. A regex is tried only on lines that hold one of the rule's
+literals; all regexes are literals of one projection, so each is compiled once
+and lines are read once. Rules whose regex can't be compiled are left out with a
+warning; the others keep their numbers.
+
+Extensions are functions of columns: ``Signal`` adds to the score where it fires,
+and any function of the value can stand in for the entropy measure.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import scoring
+from larkspur.functions.patterns import groups
 from larkspur.functions.rules import BUILT_IN, Rule, remediation
 from larkspur.functions.text import basename, fingerprint, redacted
 
 
+class Match(NamedTuple):
+    """The columns that a signal may look at."""
+
+    value: Column
+    line: Column
+    context_before: Column
+    context_after: Column
+    path: Column
+    rule: Column
+
+
+class Signal(NamedTuple):
+    """A context signal of one's own: what it adds, and where it fires."""
+
+    name: str
+    delta: float
+    fires: Callable[[Match], Column]
+
+
 def holds_literal(rule: Rule, line: Column) -> Column:
     # ſ is an s to case-insensitive Unicode patterns
     where = F.translate(F.lower(line), "ſ", "s") if rule.regex.startswith("(?i)") else line
-    out = F.lit(False)
+    out = F.lit(not rule.literals)  # a rule without literals is tried on every line
     for literal in rule.literals:
         out = out | F.contains(where, F.lit(literal))
     return out
@@ -28,33 +55,43 @@ def holds_literal(rule: Rule, line: Column) -> Column:
 
 def rule_matches(items: DataFrame, rules: Sequence[Rule] = BUILT_IN) -> DataFrame:
     """Items with rule_id (from 1), rule and value: a row for each line and rule that match."""
-    line = F.col("line")
-    hits = F.array(*(
-        F.struct(F.lit(k).alias("rule_id"), F.lit(r.name).alias("rule"), F.when(holds_literal(r, line), F.regexp_extract(line, scoring.FLAGS + r.regex, 1)).alias("value"))
-        for k, r in enumerate(rules, 1)
-    ))
+    line, found = F.col("line"), []
+    for k, r in enumerate(rules, 1):
+        n = groups(scoring.FLAGS + r.regex)
+        if n is None:
+            warnings.warn(f"rule {r.name!r} is left out, its regex can't be compiled: {r.regex!r}", stacklevel=2)
+            continue
+        value = F.when(holds_literal(r, line), F.regexp_extract(line, scoring.FLAGS + r.regex, min(n, 1)))
+        found.append(F.struct(F.lit(k).alias("rule_id"), F.lit(r.name).alias("rule"), value.alias("value")))
+    hits = F.array(*found) if found else F.array().cast("array<struct<rule_id:int,rule:string,value:string>>")
     hits = F.filter(hits, lambda x: x["value"] != "")
     return items.withColumn("hit", F.explode(hits)).select(*items.columns, "hit.*")
 
 
-def scored(matches: DataFrame, rules: Sequence[Rule] = BUILT_IN, use_entropy: bool = True, use_context: bool = True) -> DataFrame:
+def scored(
+    matches: DataFrame, rules: Sequence[Rule] = BUILT_IN, use_entropy: bool = True, use_context: bool = True,
+    entropy: Callable[[Column], Column] = scoring.entropy_delta, more: Sequence[Signal] = (),
+) -> DataFrame:
     """Matches with confidence (unrounded), severity and severity_rank."""
     base = F.element_at(F.array(*(F.lit(r.confidence) for r in rules)), F.col("rule_id"))
     value = F.col("value")
-    score = base + scoring.entropy_delta(value) if use_entropy else base
+    score = base + entropy(value) if use_entropy else base
     if use_context:
         for name, fires in scoring.signals(value, F.col("line"), F.col("context_before"), F.col("context_after"), basename(F.col("path"))):
             score = score + F.when(fires, scoring.DELTAS[name]).otherwise(0.0)
+        own = Match(value, *map(F.col, ("line", "context_before", "context_after", "path", "rule")))
+        for signal in more:
+            score = score + F.when(signal.fires(own), float(signal.delta)).otherwise(0.0)
     # through a generator, so that filters on the score don't compute it again
     out = matches.select("*", F.inline(F.array(F.struct(scoring.clamped(score).alias("confidence")))))
     out = out.withColumn("severity", scoring.severity(F.col("confidence")))
     return out.withColumn("severity_rank", scoring.severity_rank(F.col("severity")))
 
 
-def findings(items: DataFrame, rules: Sequence[Rule] = BUILT_IN, full: bool = True, redact: bool = True, use_entropy: bool | None = None, use_context: bool | None = None) -> DataFrame:
-    """Lines -> findings. ``full=False`` scores by the rule alone."""
+def findings(items: DataFrame, rules: Sequence[Rule] = BUILT_IN, full: bool = True, redact: bool = True, use_entropy: bool | None = None, use_context: bool | None = None, **extensions) -> DataFrame:
+    """Lines -> findings. ``full=False`` scores by the rule alone; ``entropy`` and ``more`` are those of ``scored``."""
     use_entropy, use_context = (full if x is None else x for x in (use_entropy, use_context))
-    found = scored(rule_matches(items, rules), rules, use_entropy, use_context)
+    found = scored(rule_matches(items, rules), rules, use_entropy, use_context, **extensions)
     of_rule = lambda what: F.element_at(F.array(*(F.lit(what(r)) for r in rules)), F.col("rule_id"))
     return found.select(
         fingerprint(F.col("path"), F.col("line_number"), F.col("rule")).alias("id"),

@@ -7,7 +7,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.scoring import RANK
+from larkspur.functions.patterns import usable
+from larkspur.functions.scoring import FLAGS, RANK
 from larkspur.functions.text import below
 from larkspur.runtime import written
 
@@ -65,14 +66,25 @@ def files_scanned(items: DataFrame) -> DataFrame:
 
 
 def excluded(path: Column, folders: list[str], patterns: list[str]) -> Column:
+    """Below one of the folders, or found by a pattern; patterns that can't be compiled are left out."""
     out = F.lit(False)
     for f in folders:
         out = out | below(path, f)
-    for p in patterns:
-        out = out | path.rlike("(?dU)" + p)
+    for p in usable([FLAGS + p for p in patterns]):
+        out = out | path.rlike(p)
     return out
 
 
+def scan_facts(items: DataFrame) -> DataFrame:
+    """One row: files_scanned and files_cached (distinct paths of each source, summed),
+    and bytes_scanned, of items with ``source`` and ``cached``."""
+    by_source = items.groupBy("source").agg(
+        F.countDistinct("path").alias("files"), F.countDistinct(F.when(F.col("cached"), F.col("path"))).alias("cached"), F.sum(F.when(~F.col("cached"), F.octet_length("line"))).alias("bytes")
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return by_source.agg(total("files").alias("files_scanned"), total("cached").alias("files_cached"), total("bytes").alias("bytes_scanned"))
+
+
 def in_skipped_folder(path: Column, root: str = "/") -> Column:
     inner = F.split(path.substr(F.lit(len(root.rstrip("/")) + 2), F.length(path)), "/")
     return F.arrays_overlap(F.slice(inner, 1, F.size(inner) - 1), F.array(*map(F.lit, SKIPPED_FOLDERS)))

@@ -1,10 +1,17 @@
-"""A scan of a home folder, or of any files: sources -> findings -> report."""
+"""A scan of a home folder, or of any files: sources -> findings -> report.
+
+A source is a value of ``Source``: how it is called, what its items are, whether
+it is there at all. ``SOURCES`` are the built-in ones in the order of the report's
+targets; a scan takes any others beside or instead of them.
+"""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import groupby
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +23,32 @@ from larkspur.operators import detect, ssh, state, summaries
 from larkspur.operators.lines import text_lines
 from larkspur.sources import files, histories, structured
 
-#: Shell and tool files that are read as lines.
-DOTFILES = (".bashrc", ".bash_profile", ".profile", ".zshrc", ".zshenv", ".zprofile", ".config/fish/config.fish", ".gitconfig", ".git-credentials", ".wgetrc", ".curlrc")
 STATE = "path string, mtime bigint, size bigint, findings_count bigint"
+CHECK_RULE = 1000
+
+
+class Place(NamedTuple):
+    """Where a scan looks, with ``~`` spelled out in the settings."""
+
+    spark: SparkSession
+    home: str
+    settings: Settings
+
+    def kept(self, rows: DataFrame) -> DataFrame:
+        s = self.settings
+        return rows.where(~summaries.excluded(F.col("path"), list(s.exclude_paths), list(s.exclude_patterns)))
+
+
+class Source(NamedTuple):
+    """``read`` gives files (path, mtime, size, ...), ``items`` turns them into lines
+    with context, and ``checks`` may add findings of its own."""
+
+    name: str
+    source_type: str
+    read: Callable[[Place], DataFrame]
+    items: Callable[[DataFrame], DataFrame] = text_lines
+    is_available: Callable[[Place], bool] = lambda place: True
+    checks: Callable[[Place], DataFrame] | None = None
 
 
 def with_format(rows: DataFrame) -> DataFrame:
@@ -26,58 +56,92 @@ def with_format(rows: DataFrame) -> DataFrame:
     return rows.withColumn("format", structured.file_format(F.col("path"), hint))
 
 
-def file_items(spark: SparkSession, home: str, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(items, files) of all sources below a home folder and of extra paths."""
-    plain = files.read_files(spark, [f"{home}/{p}" for p in DOTFILES], s.max_file_size).withColumn("source_type", F.lit("dotfile"))
-    env = files.env_files(spark, home, s.max_file_size, s.max_depth, list(s.exclude_paths), list(s.exclude_patterns)).withColumn("source_type", F.lit("env_file"))
-    keep = ~summaries.excluded(F.col("path"), list(s.exclude_paths), list(s.exclude_patterns))
-    cloud = files.targets(spark, home, files.CLOUD_TARGETS, "cloud_config", s.max_file_size).where(keep)
-    apps = files.targets(spark, home, files.APP_TARGETS, "application_config", s.max_file_size).where(keep)
-    extra = [files.env_files(spark, p, s.max_file_size, s.max_depth) if os.path.isdir(p) else files.read_files(spark, [p], s.max_file_size) for p in s.extra_paths]
-    as_lines = [plain, env, *(e.withColumn("source_type", F.lit("dotfile")) for e in extra)]
-    keys = ssh_files(spark, home, s)
-    if keys is not None:
-        as_lines.append(keys.withColumn("source_type", F.lit("ssh_key")))
-    shells = [(sh, files.read_files(spark, [f"{home}/{p}"], s.max_file_size)) for sh, p in histories.FILES.items() if os.path.isfile(f"{home}/{p}")]
-    items = [text_lines(f) for f in as_lines] + [structured.structured_items(with_format(f)) for f in (cloud, apps)] + [histories.history_items(f, sh) for sh, f in shells]
-    seen = [f.select("path", "mtime", "size") for f in (*as_lines, cloud, apps, *(f for _, f in shells))]
-    return reduce(DataFrame.unionByName, items), reduce(DataFrame.unionByName, seen).dropDuplicates(["path"])
-
-
-def ssh_files(spark: SparkSession, home: str, s: Settings) -> DataFrame | None:
-    folder = f"{home}/.ssh"
-    if not os.path.isdir(folder):
-        return None
-    keep = ~summaries.excluded(F.col("path"), list(s.exclude_paths), list(s.exclude_patterns))
-    found = [e.path for e in os.scandir(folder) if e.is_file(follow_symlinks=s.follow_links)]
-    return files.read_files(spark, found, s.max_file_size).where(keep)
-
-
-def posture(spark: SparkSession, home: str, s: Settings) -> DataFrame | None:
-    folder = f"{home}/.ssh"
-    texts = ssh_files(spark, home, s)
-    if texts is None:
-        return None
-    rows = files.folder_listing(spark, folder, s.follow_links).join(texts.select("path", lines(F.col("text")).alias("lines")), "path", "left")
+def _structured(rows: DataFrame) -> DataFrame:
+    return structured.structured_items(with_format(rows))
+
+
+def _walk(s: Settings) -> dict:
+    return {"max_depth": s.max_depth, "folders": s.exclude_paths, "patterns": s.exclude_patterns, "follow_links": s.follow_links}
+
+
+def dotfiles(p: Place) -> DataFrame:
+    """Fixed files; exclusions don't hold for them. Extra paths are files, or folders with env files."""
+    folders = [x for x in p.settings.extra_paths if os.path.isdir(x)]
+    single = [x for x in (*p.settings.dotfiles, *p.settings.extra_paths) if x not in folders]
+    more = files.env_files(p.spark, folders, p.settings.max_file_size, **_walk(p.settings))
+    return files.read_files(p.spark, dict.fromkeys(single), p.settings.max_file_size).unionByName(more)
+
+
+def ssh_folder(p: Place) -> str:
+    return f"{p.home}/.ssh"
+
+
+def ssh_files(p: Place) -> DataFrame:
+    found = [e.path for e in os.scandir(ssh_folder(p)) if e.is_file(follow_symlinks=p.settings.follow_links)]
+    return p.kept(files.read_files(p.spark, found, p.settings.max_file_size))
+
+
+def posture(p: Place) -> DataFrame:
+    rows = files.folder_listing(p.spark, ssh_folder(p), p.settings.follow_links)
+    rows = rows.join(ssh_files(p).select("path", lines(F.col("text")).alias("lines")), "path", "left")
     rows = rows.where(F.col("is_dir") | F.col("lines").isNotNull()).withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
     return ssh.ssh_checks(rows)
 
 
-def scan(spark: SparkSession, home: str, s: Settings = Settings(), rules: Sequence[Rule] = BUILT_IN, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(findings in report order, state for the next scan)."""
-    items, seen = file_items(spark, home, s)
-    if old is not None and s.incremental:
-        fresh = state.stale(seen, old)
-        items = items.join(fresh.select("path"), "path", "left_semi")
-    else:
-        fresh = seen
+def _history(shell: str) -> Source:
+    path = lambda p: f"{p.home}/{histories.FILES[shell]}"
+    return Source(
+        f"{shell}_history", "shell_history", lambda p: files.read_files(p.spark, [path(p)], p.settings.max_file_size),
+        lambda rows: histories.history_items(rows, shell), lambda p: os.path.isfile(path(p)),
+    )
+
+
+SOURCES = (
+    Source("dotfiles", "dotfile", dotfiles),
+    Source("env_files", "env_file", lambda p: files.env_files(p.spark, p.settings.search_roots, p.settings.max_file_size, **_walk(p.settings))),
+    Source("cloud", "cloud_config", lambda p: p.kept(files.targets(p.spark, p.home, files.CLOUD_TARGETS, "cloud_config", p.settings.max_file_size)), _structured),
+    Source("applications", "application_config", lambda p: p.kept(files.targets(p.spark, p.home, files.APP_TARGETS, "application_config", p.settings.max_file_size)), _structured),
+    Source("ssh", "ssh_key", ssh_files, text_lines, lambda p: os.path.isdir(ssh_folder(p)), posture),
+    *map(_history, histories.FILES),
+)
+
+
+def available(p: Place, sources: Sequence[Source] = SOURCES) -> list[Source]:
+    return [s for s in sources if s.is_available(p)]
+
+
+def targets_scanned(sources: Sequence[Source]) -> list[str]:
+    """Their types in order; neighbours of one type count once."""
+    return [kind for kind, _ in groupby(s.source_type for s in sources)]
+
+
+class Scanned(NamedTuple):
+    """Findings in report order, the state for the next scan, and what was scanned."""
+
+    findings: DataFrame
+    state: DataFrame
+    facts: DataFrame
+    targets: list[str]
+
+
+def scan(spark: SparkSession, home: str, s: Settings = Settings(), rules: Sequence[Rule] = BUILT_IN, old: DataFrame | None = None, sources: Sequence[Source] = SOURCES, **extensions) -> Scanned:
+    p = Place(spark, home.rstrip("/"), s.at_home(home))
+    own = available(p, sources)
+    old = old if old is not None and s.incremental else spark.createDataFrame([], STATE)
+    read = [(x, x.read(p)) for x in own]
+    empty = spark.createDataFrame([], "path string, mtime bigint, size bigint")
+    seen = reduce(DataFrame.unionByName, [f.select("path", "mtime", "size") for _, f in read], empty).dropDuplicates(["path"])
+    fresh = state.stale(seen, old)
+    kept = ["path", "line_number", "line", "context_before", "context_after", "source_type"]
+    items = [x.items(f.withColumn("source_type", F.lit(x.source_type))).select(*kept).withColumn("source", F.lit(x.name)) for x, f in read]
+    if not items:
+        items = [spark.createDataFrame([], "path string, line_number int, line string, context_before array<string>, context_after array<string>, source_type string, source string")]
+    every = reduce(DataFrame.unionByName, items).join(fresh.select("path", F.lit(False).alias("cached")), "path", "left").withColumn("cached", F.coalesce("cached", F.lit(True)))
     # without entropy the bare engine runs, which has no context signals either
-    found = detect.findings(items, rules, redact=s.redact, use_entropy=s.use_entropy, use_context=s.use_context and s.use_entropy)
-    checks = posture(spark, home, s)
-    if checks is not None:
-        extra = checks.withColumn("source_type", F.lit("ssh_key")).withColumn("rule_id", F.lit(1000))
-        found = found.unionByName(extra, allowMissingColumns=True)
+    found = detect.findings(every.where(~F.col("cached")).drop("cached", "source"), rules, redact=s.redact, use_entropy=s.use_entropy, use_context=s.use_context and s.use_entropy, **extensions)
+    for x in own:
+        if x.checks:
+            found = found.unionByName(x.checks(p).withColumn("source_type", F.lit(x.source_type)).withColumn("rule_id", F.lit(CHECK_RULE)), allowMissingColumns=True)
     found = summaries.at_least(found, s.min_confidence)
     counted = state.with_counts(fresh, summaries.per_path(found))
-    old = old if old is not None else spark.createDataFrame([], STATE)
-    return summaries.in_report_order(found), state.updated(state.pruned(old, seen), counted)
+    return Scanned(summaries.in_report_order(found), state.updated(state.pruned(old, seen), counted), summaries.scan_facts(every), targets_scanned(own))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import re
 import stat
+import warnings
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -81,22 +82,37 @@ def read_files(spark: SparkSession, paths: Iterable[str], max_bytes: int = MAX_B
     return spark.createDataFrame(rows, "path string").repartition(min(len(rows), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(_read(max_bytes), ROWS)
 
 
-def env_paths(root: str, max_depth: int = MAX_DEPTH, folders: Iterable[str] = (), patterns: Iterable[str] = (), follow_links: bool = False) -> Iterator[str]:
-    """.env files below a folder; folders of dependencies, builds and excluded ones aren't entered."""
+def env_paths(root: str, max_depth: int = MAX_DEPTH, folders: Iterable[str] = (), patterns: Iterable[str] = (), follow_links: bool = True) -> Iterator[str]:
+    """.env files below a folder; folders of dependencies, builds and excluded ones aren't entered, links only once on each way down."""
     root = root.rstrip("/")
-    inside = [f.rstrip("/") for f in folders]
+    inside, held = [f.rstrip("/") for f in folders], []
+    for p in patterns:
+        try:
+            held.append(re.compile(p))
+        except re.error:
+            warnings.warn(f"not a pattern, left out: {p!r}", stacklevel=2)
     out = lambda p: any(p == f or p.startswith(f + "/") for f in inside)
+
+    def enters(folder: str, name: str) -> bool:
+        path = f"{folder}/{name}"
+        if name in summaries.SKIPPED_FOLDERS or out(path):
+            return False
+        # a link to a folder above it would go round for ever
+        return not os.path.islink(path) or not f"{os.path.realpath(folder)}/".startswith(os.path.realpath(path) + "/")
+
     for folder, below, names in os.walk(root, followlinks=follow_links):
         depth = folder.count("/") - root.count("/")
-        below[:] = [d for d in sorted(below) if depth + 1 < max_depth and d not in summaries.SKIPPED_FOLDERS and not out(f"{folder}/{d}")]
+        below[:] = [d for d in sorted(below) if depth + 1 < max_depth and enters(folder, d)]
         for name in sorted(names):
             path = f"{folder}/{name}"
-            if (name == ".env" or name.startswith(".env.") or (name.endswith(".env") and len(name.encode()) > 4)) and not out(path) and not any(re.search(x, path) for x in patterns):
-                yield path
+            if (name == ".env" or name.startswith(".env.") or (name.endswith(".env") and len(name.encode()) > 4)) and not out(path) and not any(x.search(path) for x in held):
+                if follow_links or not os.path.islink(path):
+                    yield path
 
 
-def env_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_depth: int = MAX_DEPTH, folders: Iterable[str] = (), patterns: Iterable[str] = ()) -> DataFrame:
-    return read_files(spark, env_paths(root, max_depth, folders, patterns), max_bytes)
+def env_files(spark: SparkSession, roots: Iterable[str], max_bytes: int = MAX_BYTES, **walk) -> DataFrame:
+    """The .env files below those of the roots that are folders."""
+    return read_files(spark, dict.fromkeys(p for root in roots if os.path.isdir(root) for p in env_paths(root, **walk)), max_bytes)
 
 
 def targets(spark: SparkSession, home: str, table: tuple[tuple[str, str], ...], source_type: str, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -106,7 +122,7 @@ def targets(spark: SparkSession, home: str, table: tuple[tuple[str, str], ...],
     return files.withColumn("hint", F.element_at(formats, F.col("path"))).withColumn("source_type", F.lit(source_type))
 
 
-def folder_listing(spark: SparkSession, folder: str, follow_links: bool = False) -> DataFrame:
+def folder_listing(spark: SparkSession, folder: str, follow_links: bool = True) -> DataFrame:
     """(path, is_dir, mode) of a folder and its files; Spark's reader has no modes."""
     rows = [(folder, True, stat.S_IMODE(os.stat(folder).st_mode))]
     for entry in sorted(os.scandir(folder), key=lambda e: e.name):

@@ -1,14 +1,24 @@
-"""Reports: JSON out and in, plain text and HTML out."""
+"""Reports: JSON out and in, plain text and HTML out.
+
+Rows are made in tasks and come to the writer one task at a time, so a report may be
+larger than the driver's memory. A reporter is a function of a ``Report`` that gives
+the parts of its text; ``REPORTERS`` has the built-in ones by format.
+"""
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Callable, Iterable, Iterator
+from datetime import datetime
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import scoring
 from larkspur.functions.text import home_shortened, html_escaped
+from larkspur.operators.summaries import shown
 
 VERSION = "0.1.0"
 FINDING = (
@@ -54,31 +64,88 @@ def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return meta, parse_findings(doc.select(F.explode("findings").alias("f")).select(F.to_json("f").alias("finding")))
 
 
+def label(name: Column) -> Column:
+    """A type or source as a reader sees it: ``aws-access-key-id`` as Aws Access Key Id."""
+    return F.initcap(F.translate(name, "-_", "  "))
+
+
 def text_lines(findings: DataFrame, home: str = "") -> DataFrame:
-    """A line of plain text for each finding."""
+    """(severity, line): a line of plain text for each finding."""
     path = home_shortened(F.col("path"), home) if home else F.col("path")
     place = F.concat(path, F.coalesce(F.concat(F.lit(":"), F.col("line_number").cast("string")), F.lit("")))
-    label = F.rpad(F.upper("severity"), 8, " ")
-    return findings.select(F.concat_ws("  ", label, F.format_string("%3d%%", F.round(F.col("confidence") * 100).cast("int")), "secret_type", place, "value").alias("line"))
+    return findings.select("severity", F.concat_ws("  ", F.format_string("%3d%%", F.round(F.col("confidence") * 100).cast("int")), label(F.col("secret_type")), place, "value").alias("line"))
 
 
 def html_rows(findings: DataFrame) -> DataFrame:
     """A table row of HTML for each finding, escaped."""
-    cell = lambda c: F.concat(F.lit("<td>"), html_escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>"))
-    cells = [cell(c) for c in ("severity", "secret_type", "path", "line_number", "value", "description", "remediation")]
+    cell = lambda c: F.concat(F.lit("<td>"), html_escaped(F.coalesce(c.cast("string"), F.lit(""))), F.lit("</td>"))
+    cells = [cell(c) for c in (label(F.col("severity")), label(F.col("secret_type")), F.round(F.col("confidence"), 2), F.col("path"), F.col("line_number"), label(F.col("source_type")), F.col("value"), F.col("description"), F.col("remediation"))]
     return findings.select(F.concat(F.lit('<tr class="'), F.col("severity"), F.lit('">'), *cells, F.lit("</tr>")).alias("html"))
 
 
+class Report(NamedTuple):
+    """Findings in report order, and what is said about the scan."""
+
+    findings: DataFrame
+    counts: dict[str, int]
+    facts: dict[str, int]
+    targets: list[str]
+    started_at: datetime
+    completed_at: datetime
+    verbosity: str = "normal"
+    home: str = ""
+
+    @property
+    def seconds(self) -> float:
+        return (self.completed_at - self.started_at).total_seconds()
+
+
+def json_report(r: Report) -> Iterator[str]:
+    scan = {"started_at": r.started_at.isoformat(), "completed_at": r.completed_at.isoformat(), **r.facts, "targets_scanned": r.targets}
+    head = json.dumps({"version": VERSION, "scan": scan, "summary": r.counts}, indent=2)
+    yield head.removesuffix("\n}") + ',\n  "findings": ['
+    for k, row in enumerate(finding_rows(r.findings).toLocalIterator()):
+        yield ("," if k else "") + "\n    " + row.finding
+    yield "\n  ]\n}\n"
+
+
+def terminal_report(r: Report) -> Iterator[str]:
+    yield f"larkspur {VERSION}\n"
+    yield f"Sources: {', '.join(r.targets) or 'none'}\n"
+    yield f"Files: {r.facts['files_scanned']} ({r.facts['files_cached']} cached), {r.facts['bytes_scanned']} bytes, {r.seconds:.1f} s\n"
+    severity = None
+    for row in text_lines(shown(r.findings, r.verbosity), r.home).toLocalIterator():
+        if row.severity != severity:
+            severity = row.severity
+            yield f"\n{severity.upper()} ({r.counts[severity]})\n"
+        yield f"  {row.line}\n"
+    hidden = r.counts["low"] + r.counts["info"] if r.verbosity == "normal" else 0
+    yield "\n" + ", ".join(f"{v} {k}" for k, v in r.counts.items()) + (f" ({hidden} hidden)" if hidden else "") + "\n"
+
+
 PAGE = """<!doctype html><meta charset="utf-8"><title>Findings</title>
-<style>body{{font:14px sans-serif}}td{{padding:.2em .6em;border-bottom:1px solid #ddd}}tr.critical{{background:#fdd}}</style>
-<input placeholder="search" oninput="for(const r of document.querySelectorAll('tr'))r.hidden=!r.textContent.includes(this.value)">
-<p>{summary}</p><table>{rows}</table>
+<style>body{font:14px sans-serif}td{padding:.2em .6em;border-bottom:1px solid #ddd}tr.critical{background:#fdd}tr.high{background:#fed}</style>
+<script>function show(){const q=document.querySelector('#q').value.toLowerCase();
+for(const r of document.querySelectorAll('tr'))r.hidden=!r.textContent.toLowerCase().includes(q)||!document.querySelector('#'+r.className).checked}</script>
+<input id="q" placeholder="search" oninput="show()">
 """
 
 
-def save(path: str, text: str) -> None:
+def html_report(r: Report) -> Iterator[str]:
+    yield PAGE
+    yield "".join(f'<label><input type="checkbox" id="{k}" checked onchange="show()">{k} ({v})</label> ' for k, v in r.counts.items())
+    yield f"<p>{r.facts['files_scanned']} files, {r.facts['files_cached']} cached, {r.seconds:.1f} s</p><table>\n"
+    for row in html_rows(r.findings).toLocalIterator():
+        yield row.html + "\n"
+    yield "</table>\n"
+
+
+REPORTERS: dict[str, Callable[[Report], Iterable[str]]] = {"terminal": terminal_report, "json": json_report, "html": html_report}
+
+
+def save(path: str, parts: Iterable[str]) -> None:
     """Write a report that only its owner can read."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with os.fdopen(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w") as f:
         os.fchmod(f.fileno(), 0o600)
-        f.write(text)
+        f.writelines([parts] if isinstance(parts, str) else parts)

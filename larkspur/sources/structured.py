@@ -34,14 +34,13 @@ def scalar(v: object) -> str:
     return v if isinstance(v, str) else json.dumps(v) if isinstance(v, float) else str(v)
 
 
-def leaves(v: object, path: str, in_order: bool) -> Iterator[Leaf]:
-    """Leaves of a tree, nulls left out; keys sorted unless ``in_order``."""
+def leaves(v: object, path: str) -> Iterator[Leaf]:
+    """Leaves of a tree, keys sorted, nulls left out."""
     todo = [(path, v)]
     while todo:
         path, v = todo.pop()
         if isinstance(v, dict):
-            keys = list(v) if in_order else sorted(v, key=str)
-            todo += [(f"{path}.{scalar(k)}" if path else scalar(k), v[k]) for k in reversed(keys)]
+            todo += [(f"{path}.{scalar(k)}" if path else scalar(k), v[k]) for k in sorted(v, key=str, reverse=True)]
         elif isinstance(v, list):
             todo += [(f"{path}[{i}]", x) for i, x in reversed(list(enumerate(v)))]
         elif v is not None:
@@ -49,15 +48,54 @@ def leaves(v: object, path: str, in_order: bool) -> Iterator[Leaf]:
 
 
 def json_leaves(text: str) -> list[Leaf]:
-    return list(leaves(json.loads(text), "", False))
+    return list(leaves(json.loads(text), ""))
+
+
+def _yaml_value(loader: yaml.SafeLoader, node: yaml.ScalarNode) -> object:
+    """A scalar; an unknown tag counts for nothing."""
+    tag = node.tag
+    if tag not in loader.yaml_constructors:
+        tag = loader.resolve(yaml.ScalarNode, node.value, (node.style is None, node.style is not None))
+    return loader.construct_object(yaml.ScalarNode(tag, node.value, node.start_mark, node.end_mark, node.style))
+
+
+def _yaml_key(loader: yaml.SafeLoader, node: yaml.Node) -> str:
+    if isinstance(node, yaml.ScalarNode):
+        value = _yaml_value(loader, node)
+        return "null" if value is None else scalar(value)
+    if isinstance(node, yaml.SequenceNode):
+        return "[" + ", ".join(_yaml_key(loader, x) for x in node.value) + "]"
+    return "{" + ", ".join(f"{_yaml_key(loader, k)}: {_yaml_key(loader, v)}" for k, v in node.value) + "}"
 
 
 def yaml_leaves(text: str) -> list[Leaf]:
-    return [leaf for doc in yaml.safe_load_all(text) for leaf in leaves(doc, "", True)]
+    """Leaves of all documents in order, from nodes: keys may be of any kind, tags are taken off."""
+    loader, out = yaml.SafeLoader(text), []
+
+    def walk(node: yaml.Node, path: str, above: frozenset[int]) -> None:
+        if id(node) in above:
+            raise ValueError("an anchor that holds itself")
+        above = above | {id(node)}
+        if isinstance(node, yaml.MappingNode):
+            for k, v in node.value:
+                key = _yaml_key(loader, k)
+                walk(v, f"{path}.{key}" if path else key, above)
+        elif isinstance(node, yaml.SequenceNode):
+            for i, x in enumerate(node.value):
+                walk(x, f"{path}[{i}]", above)
+        elif (value := _yaml_value(loader, node)) is not None:
+            out.append((path, scalar(value)))
+
+    try:
+        while loader.check_node():
+            walk(loader.get_node(), "", frozenset())
+    finally:
+        loader.dispose()
+    return out
 
 
 def toml_leaves(text: str) -> list[Leaf]:
-    return list(leaves(tomllib.loads(text), "", False))
+    return list(leaves(tomllib.loads(text), ""))
 
 
 def ini_leaves(text: str) -> list[Leaf]:
