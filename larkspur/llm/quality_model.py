@@ -3,26 +3,24 @@
 Eight heuristic labellers vote good, bad or nothing on every document. Spark
 counts the vote patterns over all documents (at most 3^8 of them), and
 expectation-maximisation over the counts estimates how often each labeller
-votes what on good documents and on each kind of bad ones. The posteriors label a hash sample of
-about SAMPLE documents, on which a logistic scorer over hashed words and word
-shapes and over how much a text repeats
-itself is trained. The scorer then reads every whole text.
+votes what on good documents and on each kind of bad ones. The posteriors label
+a hash sample of about SAMPLE documents, 2 SAMPLE at most, on which a logistic
+scorer over hashed words and word shapes and over how much a text repeats itself
+is trained. The scorer then reads every whole text; words are hashed in numpy.
 
 Defined results: null and empty texts have no words; their score is that of the
 bias alone and they are rejected. Rows are judged one by one; repeated rows get
 equal results. An empty table gives an empty table. All input columns pass on.
 """
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.ngram_join import Words
 from larkspur.runtime import ensure_importable, written
 
 BUCKETS = 1 << 16
@@ -31,7 +29,6 @@ SAMPLE = 4000
 EPOCHS = 60
 #: Words of no weight that every text has besides its own; few words decide little.
 SMOOTH = 10
-REMEMBERED = 250_000
 GOOD, BAD, NONE = 1, 0, 2
 LABELLERS = 8
 UPPER = bytes(range(65, 91))
@@ -46,12 +43,63 @@ STOP_WORDS = frozenset(
         "el los las y que en un una por con para es del se no al"
     ).split()
 )
+MARKS = (b"|", b"-", b">")
 
 
-def votes(data: bytes) -> int:
+class Read:
+    """The words of a text as arrays: hash (A-Z count as a-z), hash of the shape, bytes."""
+
+    def __init__(self, data: bytes, reader: "Reader"):
+        parts = [reader.segment(part) for part in reader.words.segments(data)]
+        self.hashes, self.shapes, self.sizes = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0, t) for t in (np.uint64, np.uint64, np.int64))
+
+
+class Reader:
+    """Hashes of words and of their shapes, whole texts at a time in numpy.
+
+    A shape has one sign for a run of small letters (and of all bytes beyond
+    ASCII), of capitals and of digits; of other characters' runs two stay.
+    """
+
+    SMALL, CAPITAL, DIGIT = 1, 2, 3
+
+    def __init__(self):
+        self.words, self.signs = Words(), Words(seed=18)
+        self.classes = np.arange(256, dtype=np.int64) + 256
+        for class_, own in ((self.SMALL, [*range(97, 123), *range(128, 256)]), (self.CAPITAL, range(65, 91)), (self.DIGIT, range(48, 58))):
+            self.classes[own] = class_
+        self.numbers = np.random.default_rng(19).integers(0, 1 << 64, 512, np.uint64)
+        self.stop, self.marks = (np.sort(np.concatenate([self.words.hashes(w) for w in own])) for own in (sorted(STOP_WORDS), MARKS))
+
+    def segment(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, ends = self.words.places(b)
+        kind = self.classes[b]
+        same = kind[1:] == kind[:-1]
+        again = np.append(False, same)
+        # the third and later of a run of other characters go, and all but the first of a run of a class
+        drop = again & ((kind <= self.DIGIT) | np.append(False, again[:-1]))
+        drop[starts] = False
+        kept = ~drop
+        place = np.append(0, np.cumsum(kept))
+        shapes = self.signs.sums(self.numbers[kind[kept]], place[starts], place[ends])
+        return self.words.sums(self.words.letters[b], starts, ends), shapes, ends - starts
+
+
+def _part_of(hashes: np.ndarray, known: np.ndarray) -> int:
+    """How many of the hashes are known ones (sorted)."""
+    return int((known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes).sum())
+
+
+def _runs(hashes: np.ndarray) -> np.ndarray:
+    """How often each distinct word comes."""
+    h = np.sort(hashes)
+    edges = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+    return np.diff(np.append(edges, len(h)))
+
+
+def votes(data: bytes, words: Read, reader: Reader) -> int:
     """The labellers' votes as one number in base 3."""
-    words = data.split()
-    n = len(words)
+    n = len(words.hashes)
     if not n:
         return sum(BAD * 3**k for k in range(LABELLERS))
     symbols = (len(data) - len(data.translate(None, b"#*$%&|<>"))) / n
@@ -59,10 +107,10 @@ def votes(data: bytes) -> int:
     upper = (len(data) - len(data.translate(None, UPPER))) / letters
     shouts = data.count(b"!") / n
     ends = data.count(b".") + data.count(b"!") + data.count(b"?")
-    stop = sum(w in STOP_WORDS for w in words) / n
-    marks = sum(map(words.count, (b"|", b"-", b">"))) / n
-    distinct = len(set(words)) / n
-    mean = sum(map(len, words)) / n
+    stop = _part_of(words.hashes, reader.stop) / n
+    marks = _part_of(words.hashes, reader.marks) / n
+    distinct = len(_runs(words.hashes)) / n
+    mean = int(words.sizes.sum()) / n
     out = (
         BAD if symbols > 0.3 else GOOD if symbols < 0.05 else NONE,
         BAD if upper > 0.4 else GOOD if upper < 0.2 else NONE,
@@ -99,40 +147,24 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return p[:, 0]
 
 
-def shape(word: bytes) -> bytes:
-    """Letters, digits and other characters as classes, runs shortened."""
-    s = re.sub(rb"[a-z\x80-\xff]+", b"x", word)
-    s = re.sub(rb"[A-Z]+", b"X", s)
-    s = re.sub(rb"[0-9]+", b"9", s)
-    return re.sub(rb"([^xX9])\1+", rb"\1\1", s)
-
-
-def buckets(word: bytes) -> tuple[int, int]:
-    """Buckets of the word and of its shape."""
-    return xxhash.xxh32_intdigest(word.lower()) % BUCKETS, BUCKETS + xxhash.xxh32_intdigest(shape(word)) % BUCKETS
+def buckets(words: Read) -> np.ndarray:
+    """Buckets of all words, then of all shapes."""
+    top = np.uint64(64 - BUCKETS.bit_length() + 1)
+    return np.concatenate([words.hashes >> top, (words.shapes >> top) + np.uint64(BUCKETS)]).astype(np.int64)
 
 
-class _Buckets(dict):
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = x = buckets(word)
-        return x
-
-
-def whole_text(words: list[bytes]) -> list[int]:
+def whole_text(words: Read) -> np.ndarray:
     """Buckets of what the words of a text share: its length class with how
     often words, and the most frequent word, come again."""
-    n = len(words)
+    n, counts = len(words.hashes), _runs(words.hashes)
     length = sum(n >= k for k in (1, 5, 20, 50, 200, 1000))
-    counts = Counter(words)
-    distinct, top = 10 * len(counts) // max(1, n), 10 * max(counts.values(), default=0) // max(1, n)
-    return [BUCKETS + xxhash.xxh32_intdigest(f"{kind} {length} {x}") % BUCKETS for kind, x in (("distinct", distinct), ("top", top))]
+    distinct, top = 10 * len(counts) // max(1, n), 10 * int(counts.max(initial=0)) // max(1, n)
+    return 2 * BUCKETS + np.array([11 * length + distinct, 100 + 11 * length + top])
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels; docs are (buckets, shares)."""
-    w, b = np.zeros(2 * BUCKETS), 0.0
+    w, b = np.zeros(2 * BUCKETS + 200), 0.0
     if not docs:
         return w, b
     place = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
@@ -148,66 +180,67 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[
     return w, b
 
 
-def _votes(texts: pa.Array) -> pa.Array:
-    return pa.array([votes(d or b"") for d in texts.cast(pa.large_binary()).to_pylist()], pa.int32())
-
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    return (data.as_py() or b"" for data in column.cast(pa.large_binary()))
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Buckets()
-    for batch in batches:
-        index, share = [], []
-        for data in batch.column(0).cast(pa.large_binary()).to_pylist():
-            words = (data or b"").split()
-            i, c = np.unique(np.array([known[w] for w in words], np.int32).reshape(-1), return_counts=True)
-            index.append(np.append(i, whole_text(words)).astype(np.int32).tobytes())
-            share.append(np.append(c / (len(words) + SMOOTH), [1, 1]).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(index, pa.binary()), pa.array(share, pa.binary())], names=["votes", "index", "share"])
 
+def _votes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    reader = Reader()
+    for texts in batches:
+        yield pa.array([votes(data, Read(data, reader), reader) for data in _texts(texts)], pa.int32())
 
-class _Weights(dict):
-    def __init__(self, w: np.ndarray):
-        self.w = w
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        a, b = buckets(word)
-        self[word] = x = float(self.w[a] + self.w[b])
-        return x
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    reader = Reader()
+    for batch in batches:
+        own, index, share = [], [], []
+        for data in _texts(batch.column(0)):
+            words = Read(data, reader)
+            i, c = np.unique(buckets(words), return_counts=True)
+            own.append(votes(data, words, reader))
+            index.append(np.append(i, whole_text(words)).astype(np.int32).tobytes())
+            share.append(np.append(c / (len(words.hashes) + SMOOTH), [1, 1]).astype(np.float32).tobytes())
+        columns = [pa.array(own, pa.int32()), pa.array(index, pa.binary()), pa.array(share, pa.binary()), batch.column(1)]
+        yield pa.RecordBatch.from_arrays(columns, names=["votes", "index", "share", "drawn"])
 
 
 def _scores(model):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        w, b = model.value
-        weight = _Weights(w)
+        reader, (w, b) = Reader(), model.value
         for texts in batches:
             out = []
-            for data in texts.cast(pa.large_binary()).to_pylist():
-                words = (data or b"").split()
-                z = b + sum(map(weight.__getitem__, words)) / (len(words) + SMOOTH) + sum(float(w[k]) for k in whole_text(words))
-                out.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
+            for data in _texts(texts):
+                words = Read(data, reader)
+                z = b + w[buckets(words)].sum() / (len(words.hashes) + SMOOTH) + w[whole_text(words)].sum()
+                out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
             yield pa.array(out, pa.float64())
 
     return run
 
 
+def posteriors(patterns: dict[int, int]) -> dict[int, float]:
+    """Probability of good for each vote pattern, given how often each comes."""
+    rows = sorted(patterns)
+    votes_of = np.array([[v // 3**k % 3 for k in range(LABELLERS)] for v in rows]).reshape(-1, LABELLERS)
+    return dict(zip(rows, expectation_maximisation(votes_of, np.array([patterns[v] for v in rows], float)).tolist(), strict=True))
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
     """Weights and bias of the scorer for a table of documents."""
     ensure_importable(docs.sparkSession)
-    vote = F.arrow_udf(_votes, "int")
-    voted = written(docs.select(F.col(doc_id).alias("doc_id"), vote(F.col(text)).alias("votes")), "votes")
+    voted = written(docs.select(F.arrow_udf(_votes, "int")(F.col(text)).alias("votes")), "votes")
     counted = voted.groupBy("votes").count().collect()  # 3^LABELLERS rows at most
     total = sum(r["count"] for r in counted)
     if not total:
         return fit([], np.empty(0))
-    patterns = np.array([[r["votes"] // 3**k % 3 for k in range(LABELLERS)] for r in counted])
-    posterior = dict(zip((r["votes"] for r in counted), expectation_maximisation(patterns, np.array([r["count"] for r in counted], float)), strict=True))
+    posterior = posteriors({r["votes"]: r["count"] for r in counted})
 
+    # by id and text, so that rows of one id are drawn one by one; the smallest hashes hold the bound
+    by = F.xxhash64(F.col(doc_id), F.col(text), F.lit("sample"))
     part = min(1.0, SAMPLE / total)
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit("sample")), F.lit(1 << 30)) < int(part * (1 << 30)))
-    drawn = drawn.select(F.col(text).alias("text"), vote(F.col(text)).alias("votes")).mapInArrow(_features, "votes int, index binary, share binary")
-    # the limit holds the bound where many rows share one id
-    rows = drawn.limit(2 * SAMPLE).collect()
+    drawn = docs.select(F.col(text).alias("text"), by.alias("drawn")).where(F.pmod("drawn", F.lit(1 << 30)) < int(part * (1 << 30)))
+    drawn = drawn.select("text", "drawn").mapInArrow(_drawn, "votes int, index binary, share binary, drawn bigint")
+    rows = drawn.orderBy("drawn", "votes", "index").limit(2 * SAMPLE).collect()
     labels = np.array([posterior[r["votes"]] for r in rows])
     return fit([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows], labels)
 
