@@ -8,15 +8,19 @@ block is judged with the document around it. It is trained on pages that are
 made up here, whose labels are known: menus, notices, adverts, sidebars, forms,
 comments and footers around an article, in many spellings of tags and classes.
 
-Blocks judged as article are joined in page order. Scripts, styles and markup
-hold no blocks. Character references are decoded, white space becomes single
-spaces.
+Blocks judged as article are joined in page order. Scripts, styles, form
+controls and markup hold no text; all other elements are read, and only those
+of the list BLOCK end a block. Character references are decoded, white space
+becomes single spaces. Reading a page takes time and memory in proportion to its
+length, whatever its markup: each open tag knows its place in a tree of paths.
 
 Defined results: null or empty html, or pages without article blocks, give an
 empty text. Broken markup is read as far as it goes: tags left open end with
-their parent, an unclosed script or comment ends with the page. Rows are
-extracted one by one, so repeated rows and null ids change nothing. An empty
-table gives an empty table. All other columns pass on.
+their parent, an unclosed script, style or comment ends with the page, a tag
+that has no > is text. If quotes hide the end of a tag up to the end of the page,
+quotes count for nothing from there on. Rows are extracted one by one, so
+repeated rows and null ids change nothing. An empty table gives an empty table.
+All other columns pass on; ``main_text`` replaces one of that name.
 """
 
 from __future__ import annotations
@@ -41,16 +45,26 @@ INPUT = TAG_SIZE + WORD_SIZE + MEASURES
 #: Blocks of a batch, with padding, at most.
 BATCH = 40_000
 
+#: Paths that a task remembers between pages.
+REMEMBERED = 200_000
+#: Places of a sequence whose gates are computed at once.
+STEPS = 2048
+
 #: Fixed values of HTML.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+BLOCK = frozenset(
+    "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
+    "head header hgroup hr html legend li listing main menu nav noframes ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead title tr ul xmp".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg math iframe object canvas select".split())
+RAW = {tag: re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.I) for tag in ("script", "style")}
+CONTROLS = frozenset("button datalist select textarea".split())
 CLOSES = {
-    "p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")),
-    "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",)),
+    "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 HOLDS = frozenset("html body article main section div aside nav header footer form table ul ol dl blockquote td th figure fieldset details".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+(?:>|\Z)", re.S)
+TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+HIDDEN_TEXT = re.compile(r"<[!?]")
+TAG_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z0-9]+")
 TERMINAL = re.compile(r"[.!?…。:;][\"'”’)»]*$")
@@ -66,86 +80,154 @@ def names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path words, text, part of the text in links) of each text block."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Node:
+    """A tag below its parent, in the tree of all paths met."""
+
+    __slots__ = ("parent", "words", "below", "total", "count")
+
+    def __init__(self, parent: Node | None = None, words: tuple[str, ...] = ()):
+        self.parent, self.words, self.below = parent, words, {}
+        self.total, self.count = None, 0
+
+    def path(self) -> tuple[str, ...]:
+        out, node = [], self
+        while node:
+            out.append(node.words)
+            node = node.parent
+        return tuple(w for words in reversed(out) for w in words)
+
+
+@lru_cache(maxsize=100_000)
+def own_buckets(before: tuple[str, ...], words: tuple[str, ...]) -> np.ndarray:
+    """Buckets of path words, and of their pairs, the first with the word before."""
+    pairs = [f"{a} {b}" for a, b in pairwise((*before, *words))]
+    return np.array([xxhash.xxh32_intdigest(w) % TAGS for w in (*words, *pairs)], np.int64)
+
+
+def tag_buckets(path: tuple[str, ...]) -> np.ndarray:
+    return own_buckets((), path) if path else np.zeros(1, np.int64)
+
+
+class Paths:
+    """Paths met so far, each with the sum of the learned vectors of its words."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.clear()
+
+    def clear(self) -> None:
+        self.root, self.size = Node(), 0
+        self.root.total = np.zeros(self.table.shape[1])
+
+    def below(self, node: Node, words: tuple[str, ...]) -> Node:
+        found = node.below.get(words)
+        if found is None:
+            found = node.below[words] = Node(node, words)
+            self.size += 1
+        return found
+
+    def mean(self, node: Node) -> np.ndarray:
+        todo, at = [], node
+        while at.total is None:
+            todo.append(at)
+            at = at.parent
+        for at in reversed(todo):
+            own = own_buckets(at.parent.words[-1:], at.words)
+            at.total, at.count = at.parent.total + self.table[own].sum(0), at.parent.count + len(own)
+        return node.total / node.count if node.count else self.table[0]
+
+
+def blocks(html: str, paths: Paths) -> list[tuple[Node, str, float]]:
+    """(path, text, part of the text in links) of each text block."""
+    out: list[tuple[Node, str, float]] = []
+    stack: list[tuple[str, Node]] = []
+    opened: dict[str, list[int]] = {}
+    holding: list[int] = []
+    controls: list[int] = []
     held: list[str] = []
-    path: tuple[str, ...] = ()
+    own: Node | None = None
     linked = links = 0
 
     def text(s: str) -> None:
-        nonlocal path, linked
-        if not s:
+        nonlocal own, linked
+        if not s or controls:
             return
-        if not path and not s.isspace():
-            path = tuple(w for _, own in stack for w in own)
+        if own is None and not s.isspace():
+            own = stack[-1][1] if stack else paths.root
         held.append(s)
         if links:
             linked += len(s)
 
     def flush() -> None:
-        nonlocal path, linked
+        nonlocal own, linked
         if held:
             whole = " ".join(unescape("".join(held)).split())
             if whole:
-                out.append((path or tuple(w for _, own in stack for w in own), whole, min(1.0, linked / len(whole))))
+                out.append((own, whole, min(1.0, linked / len(whole))))
             held.clear()
-        path, linked = (), 0
+        own, linked = None, 0
 
     def pop_to(depth: int) -> None:
         nonlocal links
-        links -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
-
-    at = 0
-    while m := TOKEN.search(html, at):
+        while len(stack) > depth:
+            tag, _ = stack.pop()
+            opened[tag].pop()
+            if holding and holding[-1] == len(stack):
+                holding.pop()
+            if controls and controls[-1] == len(stack):
+                controls.pop()
+            links -= tag == "a"
+
+    at, last, quotes = 0, html.rfind(">"), True
+    while m := TAG.search(html, at):
+        if m.start() > last:  # no tag ends from here on
+            m = HIDDEN_TEXT.search(html, at)
+            text(html[at : m.start() if m else len(html)])
+            at = len(html)
+            break
         text(html[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        tag = m[2]
         if not tag:
+            end = html.find("-->", m.start() + 2) + 3 if m[0] == "<!--" else html.find(">", m.end()) + 1
+            at = end if end > m.start() else len(html)
             continue
-        tag = tag.lower()
-        closing = bool(m[1] or m[4])
+        end = TAG_END.match(html, m.end()) if quotes else None
+        quotes = end is not None
+        at = end.end() if end else html.find(">", m.end()) + 1
+        attributes, tag = html[m.end() : at - 1], tag.lower()
         if tag in RAW:
-            flush()
-            if not closing and not (m[3] or m[6] or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*+(?:>|\Z)", re.I).search(html, at)
+            if not m[1]:
+                end = RAW[tag].search(html, at)
                 at = end.end() if end else len(html)
             continue
-        if tag not in INLINE:
+        block = tag in BLOCK and not (tag == "title" and opened.get("svg"))
+        # what this tag ends: the element that it closes, or an open one that can't hold it
+        ends = -1
+        if m[1]:
+            ends = opened[tag][-1] if opened.get(tag) else -1
+        elif closes := CLOSES.get(tag) or (CLOSES["p"] if block else ()):
+            nearest = max((opened[c][-1] for c in closes if opened.get(c)), default=-1)
+            ends = nearest if nearest >= (holding[-1] if holding else 0) else -1
+        if block and (not controls or 0 <= ends < controls[0]):
             flush()
-        elif tag in ("br", "wbr", "img"):
-            text(" " if tag == "br" else "")
-            continue
-        if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                pop_to(depth)
-            continue
-        if tag in VOID:
+        elif tag == "br":
+            text(" ")
+        if ends >= 0:
+            pop_to(ends)
+        if m[1] or tag in VOID or (attributes.endswith("/") and (opened.get("svg") or opened.get("math"))):
             continue
-        closes = CLOSES.get(tag) or (CLOSES["p"] if tag not in INLINE else None)
-        if closes:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    pop_to(i)
-                    break
-                if stack[i][0] in HOLDS:
-                    break
-        stack.append((tag, names(tag, m[3] or m[6] or "")))
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in HOLDS:
+            holding.append(len(stack))
+        stack.append((tag, paths.below(stack[-1][1] if stack else paths.root, names(tag, attributes))))
+        if tag in CONTROLS or (tag == "title" and opened.get("svg")):  # a picture's title isn't shown
+            controls.append(len(stack) - 1)
         links += tag == "a"
     text(html[at:])
     flush()
     return out
 
 
-@lru_cache(maxsize=100_000)
-def tag_buckets(path: tuple[str, ...]) -> np.ndarray:
-    pairs = [f"{a} {b}" for a, b in pairwise(path)]
-    return np.array([xxhash.xxh32_intdigest(w) % TAGS for w in (*path, *pairs)] or [0], np.int64)
-
-
 class _WordBuckets(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= 400_000:
@@ -154,11 +236,12 @@ class _WordBuckets(dict):
         return b
 
 
-def encoded(block: tuple[tuple[str, ...], str, float], known: dict) -> tuple[np.ndarray, np.ndarray, tuple[float, ...]]:
-    path, text, linked = block
+def encoded(path: np.ndarray, text: str, linked: float, known: dict) -> tuple[np.ndarray, np.ndarray, tuple[float, ...]]:
+    """A block as path (buckets, or the mean of their vectors), buckets of words, and measures."""
     words = text.split()
-    measures = (linked, np.log1p(len(words)) / 4, float(bool(TERMINAL.search(text))), min(1.0, sum(c.isdigit() for c in text[:200]) / 20))
-    return tag_buckets(path), np.array([known[w] for w in words], np.int64), measures
+    digits = sum(map(text.count, "0123456789"))
+    measures = (linked, np.log1p(len(words)) / 4, float(bool(TERMINAL.search(text))), min(1.0, 4 * digits / len(text)))
+    return path, np.array([known[w] for w in words], np.int64), measures
 
 
 class Model(dict):
@@ -193,7 +276,9 @@ def bag_means(table: np.ndarray, bags: list[np.ndarray]) -> np.ndarray:
 def inputs(m: Model, pages: list[list]) -> tuple[np.ndarray, np.ndarray]:
     """(pages, longest, INPUT) with padding, and which places are blocks."""
     flat = [b for page in pages for b in page]
-    x = np.hstack([bag_means(m["tags"], [b[0] for b in flat]), bag_means(m["words"], [b[1] for b in flat]), np.array([b[2] for b in flat])])
+    paths = [b[0] for b in flat]
+    means = np.array(paths) if paths[0].dtype.kind == "f" else bag_means(m["tags"], paths)
+    x = np.hstack([means, bag_means(m["words"], [b[1] for b in flat]), np.array([b[2] for b in flat])])
     longest = max(map(len, pages))
     mask = np.arange(longest) < np.array([len(p) for p in pages])[:, None]
     out = np.zeros((len(pages), longest, INPUT))
@@ -201,8 +286,8 @@ def inputs(m: Model, pages: list[list]) -> tuple[np.ndarray, np.ndarray]:
     return out, mask
 
 
-def lstm(m: Model, way: str, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-    """Hidden states in the order of x; way b reads from the end."""
+def lstm(m: Model, way: str, x: np.ndarray, mask: np.ndarray):
+    """Hidden states in the order of x, and what backpropagation needs; way b reads from the end."""
     n, steps, _ = x.shape
     h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
     out, saved = np.zeros((n, steps, HIDDEN)), []
@@ -214,24 +299,44 @@ def lstm(m: Model, way: str, x: np.ndarray, mask: np.ndarray, keep: bool = False
         on = mask[:, t, None]
         c_new = np.where(on, f * c + i * g, c)
         h_new = np.where(on, o * np.tanh(c_new), h)
-        if keep:
-            saved.append((t, i, f, o, g, c, c_new, h, on))
+        saved.append((t, i, f, o, g, c, c_new, h, on))
         h, c = h_new, c_new
         out[:, t] = h
-    return (out, saved) if keep else out
+    return out, saved
+
+
+def lstm_scores(m: Model, way: str, x: np.ndarray, mask: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Hidden states times weights, without keeping states or all gates."""
+    n, steps, _ = x.shape
+    h, c, out = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), np.zeros((n, steps))
+    starts = range(0, steps, STEPS)
+    for start in starts if way == "f" else reversed(starts):
+        gates = x[:, start : start + STEPS] @ m["w" + way] + m["c" + way]
+        own = range(gates.shape[1])
+        for t in own if way == "f" else reversed(own):
+            z = gates[:, t] + h @ m["u" + way]
+            ifo = sigmoid(z[:, : 3 * HIDDEN])
+            on = mask[:, start + t, None]
+            c_new = ifo[:, HIDDEN : 2 * HIDDEN] * c + ifo[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
+            c = np.where(on, c_new, c)
+            h = np.where(on, ifo[:, 2 * HIDDEN :] * np.tanh(c_new), h)
+            out[:, start + t] = h @ weights
+    return out
 
 
 def probabilities(m: Model, pages: list[list]) -> list[np.ndarray]:
     """Probability of article for every block of each (non-empty) page."""
     x, mask = inputs(m, pages)
-    p = sigmoid(np.concatenate([lstm(m, "f", x, mask), lstm(m, "b", x, mask), x], 2) @ m["out"] + m["bias"])
+    w = m["out"]
+    z = lstm_scores(m, "f", x, mask, w[:HIDDEN]) + lstm_scores(m, "b", x, mask, w[HIDDEN : 2 * HIDDEN]) + x @ w[2 * HIDDEN :]
+    p = sigmoid(z + m["bias"])
     return [p[k, : len(page)] for k, page in enumerate(pages)]
 
 
 def gradients(m: Model, pages: list[list], labels: list[np.ndarray]) -> dict[str, np.ndarray]:
     """Of the mean cross-entropy, by backpropagation through time."""
     x, mask = inputs(m, pages)
-    states = {way: lstm(m, way, x, mask, keep=True) for way in "fb"}
+    states = {way: lstm(m, way, x, mask) for way in "fb"}
     features = np.concatenate([states["f"][0], states["b"][0], x], 2)
     y = np.zeros(mask.shape)
     y[mask] = np.concatenate(labels)
@@ -309,6 +414,8 @@ def made_up_page(r: np.random.Generator) -> tuple[list, np.ndarray]:
 
     def words(n: int, said: list[str], share: float) -> str:
         own = ["".join(letters[r.integers(len(letters), size=int(r.integers(2, 11)))]) for _ in range(n)]
+        numbers = pick([0.0, 0.0, 0.02, 0.1])  # years, dates, prices and counts come in all parts
+        own = [str(r.integers(10 ** int(r.integers(1, 7)))) if r.random() < numbers else w for w in own]
         return " ".join(pick(said) if said and r.random() < share else w for w in own)
 
     def path(*parts: str) -> tuple[str, ...]:
@@ -363,7 +470,7 @@ def trained(seed: int = 5, pages: int = 900, epochs: int = 10, batch: int = 32)
     """The labeller, trained on made-up pages; the same for equal arguments."""
     r, known = np.random.default_rng(seed), _WordBuckets()
     made = [made_up_page(r) for _ in range(pages)]
-    data = [([encoded(b, known) for b in page], labels) for page, labels in made]
+    data = [([encoded(tag_buckets(path), text, linked, known) for path, text, linked in page], labels) for page, labels in made]
     m = Model.new(seed)
     first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
     t = 0
@@ -380,9 +487,12 @@ def trained(seed: int = 5, pages: int = 900, epochs: int = 10, batch: int = 32)
     return m
 
 
-def articles(m: Model, pages: list[str], known: dict) -> list[str]:
+def articles(m: Model, pages: list[str], known: dict, paths: Paths | None = None) -> list[str]:
     """Main texts of a list of pages."""
-    parsed = [blocks(p) for p in pages]
+    paths = paths or Paths(m["tags"])
+    if paths.size > REMEMBERED:
+        paths.clear()
+    parsed = [blocks(p, paths) for p in pages]
     order = sorted((i for i, p in enumerate(parsed) if p), key=lambda i: len(parsed[i]))
     out = [""] * len(pages)
     group: list[int] = []
@@ -390,7 +500,7 @@ def articles(m: Model, pages: list[str], known: dict) -> list[str]:
         group.append(i)
         following = len(parsed[order[place + 1]]) if place + 1 < len(order) else 0
         if not following or (len(group) + 1) * following > BATCH:
-            found = probabilities(m, [[encoded(b, known) for b in parsed[g]] for g in group])
+            found = probabilities(m, [[encoded(paths.mean(node), text, linked, known) for node, text, linked in parsed[g]] for g in group])
             for g, p in zip(group, found, strict=True):
                 out[g] = "\n\n".join(b[1] for b, x in zip(parsed[g], p, strict=True) if x >= 0.5)
             group = []
@@ -399,12 +509,12 @@ def articles(m: Model, pages: list[str], known: dict) -> list[str]:
 
 def _texts(model):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = _WordBuckets()
+        known, paths = _WordBuckets(), Paths(model.value["tags"])
         for pages in batches:
             html = pages.to_pylist()
             out = []
             for start in range(0, len(html), 256):
-                out += articles(model.value, [h or "" for h in html[start : start + 256]], known)
+                out += articles(model.value, [h or "" for h in html[start : start + 256]], known, paths)
             yield pa.array(out, pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
