@@ -8,10 +8,15 @@ the level at which each would be full, one running sum gives the level.
 A document of a source with rate r is taken floor(r) times, and once more if a
 number in [0, 1) from a hash of its id and the seed is below the fraction.
 
+Up to MAX_BROADCAST sources are ordered in one window and broadcast; more are
+ordered by range, with sums of the ranges, and joined by a shuffle, but for the
+fewer than HOT_PART sources that hold more than 1 / HOT_PART of the documents.
+
 Defined results: null text has size 0; documents of size 0 and sources without
 words have rate 0 where the source has no words, and take 0 words in any case.
 A null source is a source. Rows with equal ids draw the same number.
-An empty table gives an empty table. ``mixed`` passes on all columns it gets.
+An empty table gives an empty table. ``rates`` passes on all columns but those
+named like its own results; ``mixed`` passes on exactly the columns it gets.
 """
 
 from __future__ import annotations
@@ -24,60 +29,96 @@ from larkspur.runtime import written
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
-#: More sources than this are joined by a shuffle, the hot ones salted.
 MAX_BROADCAST = 100_000
-SALTS = 64
+HOT_PART = 1000
+RESULTS = ("mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
 
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(totals: DataFrame) -> DataFrame:
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _own_name(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def in_order(rows: DataFrame, order: list[Column], few: bool, *sums: str) -> DataFrame:
+    """``rows`` with their place from 0, and for each of ``sums`` what all rows before sum up to."""
+    if few:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("place", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+        return rows.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums})
+    # written, so that each row keeps its range
+    cut = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ordered")
+    parts = cut.groupBy("part").agg(F.count("*").alias("rows"), *(F.sum(c).alias(c) for c in sums))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = parts.select("part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_start") for c in ("rows", *sums)))
+    inside = Window.partitionBy("part").orderBy(*order)
+    cut = cut.join(F.broadcast(starts), "part").withColumn("place", F.col("rows_start") + F.row_number().over(inside) - 1)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumns({f"{c}_before": F.col(f"{c}_start") + F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums})
+    return cut.drop("part", "rows_start", *(f"{c}_start" for c in sums))
+
+
+def targets(totals: DataFrame, few: bool = True) -> DataFrame:
     """(source, source_size) -> and target, rate."""
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    place = (F.row_number().over(by_name) - 1) % len(WEIGHTS)
-    t = totals.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), place + 1))
-    by_level = Window.orderBy("full_at", F.col("source").isNull(), "source")
-    t = t.withColumn("full_at", MAX_RATE * F.col("source_size") / F.col("weight"))
-    before = F.coalesce(F.sum("source_size").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    weights = F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) - MAX_RATE * before) / weights
-    t = t.withColumn("level", level)
-    t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "level"))).over(everything)["level"])
-    target = F.least(MAX_RATE * F.col("source_size").cast("double"), F.col("level") * F.col("weight"))
+    by_name = [F.col("source").isNull(), F.col("source")]
+    t = in_order(totals, by_name, few)
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
+    t = t.withColumn("weight", weight).withColumn("full_at", MAX_RATE * F.col("source_size") / F.col("weight"))
+    t = in_order(t.drop("place"), [F.col("full_at"), *by_name], few, "source_size", "weight")
+    t = written(t, "source-order")
+    all_words, all_weights = t.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(all_words) - MAX_RATE * F.col("source_size_before")) / (F.lit(all_weights) - F.col("weight_before"))
+    found = t.withColumn("level", level).where("level <= full_at").agg(F.min(F.struct("full_at", "level"))["level"]).first()[0]
+    target = F.least(MAX_RATE * F.col("source_size").cast("double"), F.lit(found).cast("double") * F.col("weight"))
     rate = F.when(F.col("source_size") > 0, F.least(target / F.col("source_size"), F.lit(float(MAX_RATE)))).otherwise(0.0)
     return t.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def _joined(docs: DataFrame, sources: DataFrame, source: str) -> DataFrame:
-    same = docs[source].eqNullSafe(sources["mix_source"])
-    if sources.count() <= MAX_BROADCAST:
-        return docs.join(F.broadcast(sources), same, "left").drop("mix_source")
-    salted = docs.withColumn("mix_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(SALTS)))
-    spread = sources.withColumn("salt_of_source", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    both = salted.join(spread, salted[source].eqNullSafe(spread["mix_source"]) & (salted["mix_salt"] == spread["salt_of_source"]), "left")
-    return both.drop("mix_source", "mix_salt", "salt_of_source")
-
-
-def rates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target, mix_rate and mix_copies."""
-    sized = docs.withColumn("mix_size", word_count(text))
-    totals = sized.groupBy(F.col(source).alias("source")).agg(F.sum("mix_size").alias("source_size"))
-    sources = written(targets(totals), "sources").select(
-        F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate")
-    )
-    both = _joined(sized, sources, source)
-    seeded = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+def rates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, size: Column | None = None) -> DataFrame:
+    """``docs`` with mix_size, mix_source_size, mix_target, mix_rate and mix_copies.
+
+    ``size``: the words of a document, where they have been counted before.
+    """
+    words = word_count(f"`{text}`") if size is None else size
+    totals = docs.groupBy(_column(source).alias("source")).agg(F.sum(words).alias("source_size"), F.count("*").alias("rows"))
+    totals = written(totals, "totals")
+    n_sources, n_rows = totals.agg(F.count("*"), F.sum("rows")).first()
+    few = n_sources <= MAX_BROADCAST
+    held = {c: _own_name(docs, f"__{c}") for c in ("source", "source_size", "target", "rate", "mix_size")}
+    found = written(targets(totals.select("source", "source_size"), few), "sources").select(*(F.col(c).alias(held[c]) for c in ("source", "source_size", "target", "rate")))
+    sized = docs.withColumn(held["mix_size"], words)
+    same = lambda t: _column(source).eqNullSafe(t[held["source"]])
+    if few:
+        both = sized.join(F.broadcast(found), same(found))
+    else:
+        hot = totals.where(F.col("rows") * HOT_PART > n_rows).select(F.col("source").alias(held["source"]))
+        often = found.join(F.broadcast(hot), found[held["source"]].eqNullSafe(hot[held["source"]]), "left_semi")
+        both = sized.join(F.broadcast(often), same(often)).unionByName(sized.join(F.broadcast(hot), same(hot), "left_anti").join(found, same(found)))
+    seeded = F.concat(F.lit(f"{seed}:"), F.coalesce(_column(doc_id).cast("string"), F.lit("")))
     draw = F.conv(F.substring(F.md5(seeded), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    whole = F.floor("mix_rate")
-    return both.withColumn("mix_copies", whole + (draw < F.col("mix_rate") - whole).cast("long"))
+    rate = F.col(held["rate"])
+    whole = F.floor(rate)
+    own = [_column(c) for c in docs.columns if c.lower() not in RESULTS]
+    got = (F.col(held["mix_size"]), F.col(held["source_size"]), F.col(held["target"]), rate, whole + (draw < rate - whole).cast("long"))
+    return both.select(*own, *(c.alias(name) for c, name in zip(got, RESULTS, strict=True)))
 
 
 def mixed(docs: DataFrame, **columns) -> DataFrame:
     """The mix itself: every document as often as it is taken."""
-    own = docs.columns
-    taken = rates(docs, **columns).where("mix_copies > 0")
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))
-    return taken.select(*(F.col(f"`{c}`") for c in own), copies.alias("mix_copy")).drop("mix_copy")
+    names = {c: _own_name(docs, f"__own_{k}") for k, c in enumerate(docs.columns)}
+    given = {"doc_id": "doc_id", "text": "text", "source": "source"} | {k: v for k, v in columns.items() if k in ("doc_id", "text", "source")}
+    rest = {k: v for k, v in columns.items() if k not in given}
+    inner = docs.select(*(_column(c).alias(name) for c, name in names.items()))
+    taken = rates(inner, **{k: names[c] for k, c in given.items()}, **rest).where("mix_copies > 0")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("mix_copy")
+    return taken.select(*names.values(), copies).select(*(F.col(name).alias(c) for c, name in names.items()))

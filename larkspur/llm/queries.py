@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import ann, html_extract, mixing, ngram_join, packing, quality_model, quality_rules, sharding, url_filter, warc_store
-from larkspur.runtime import table
+from larkspur.runtime import table, written
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,10 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.rates(docs).select(
+    docs = table(spark, sf_dir, "documents")
+    # words are counted once; what is left of a document is small
+    docs = written(docs.select("doc_id", "source", mixing.word_count("text").alias("words")), "sizes")
+    return mixing.rates(docs, size=F.col("words")).select(
         "doc_id",
         F.col("mix_size").alias("size"),
         F.col("mix_source_size").alias("source_size"),
