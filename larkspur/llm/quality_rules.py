@@ -2,7 +2,7 @@
 
 Every line of a document is judged by three kinds of rules: punctuation
 (no sentence end on a short line, shouted or symbol-ridden words), navigation
-(separators, menu words) and boilerplate (legal and interface phrases). A line
+(separators between few words) and boilerplate (legal and interface phrases). A line
 of up to PHRASE_WORDS words is boilerplate if it holds a phrase; a longer one if
 its sentences with phrases make up more than half of its words, where a phrase
 counts for PHRASE_WORDS words of its sentence at most. Lines that fail are removed; a document that loses too large a part of its words is
