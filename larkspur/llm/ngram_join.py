@@ -22,7 +22,9 @@ first n - ceil(t n) + 1 of each; sets meet on those prefix n-grams.
    share: |A - B| + |B - A| is |Da| + |Db| - 2 |Da and Db| for their symmetric
    differences D with the hub. Sets whose differences are small enough together
    are similar without a look. All others need a common part of Da and Db, which
-   is found by prefix and positional filtering once more, on the differences.
+   is found by prefix and positional filtering once more, on the differences:
+   first with the set nearest to the hub only, then, across the components that
+   are left, with all.
    Near copies of one text share the text, but not their edits: this is what
    keeps a dense group from pairing everything with everything.
 6. Pairs must also pass a parity filter: two sets differ in at least as many
@@ -428,7 +430,7 @@ def _around_hubs(compared: DataFrame, percent: int) -> DataFrame:
     return written(own.withColumn("centre", F.col("least.key")).drop("least", "outside"), "around")
 
 
-DIFFERENCES = "hub bigint, gram bigint, key bigint, label bigint, n int, d int, x bigint, at int, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+DIFFERENCES = "hub bigint, gram bigint, key bigint, n int, d int, x bigint, at int, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
 
 
 def _differences(percent: int):
@@ -436,17 +438,17 @@ def _differences(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, x, bound = (batch.column(k).to_numpy().astype(np.int64) for k in (4, 5, 6))
+            d, x, bound = (batch.column(k).to_numpy().astype(np.int64) for k in (3, 4, 5))
             length = np.maximum(0, d - np.maximum(1, -(-(x + bound) // (2 * (100 + percent)))) + 1)
             part = np.cumsum(length) // ROWS
             for k in np.unique(part):
                 rows = np.flatnonzero(part == k)
-                tokens = [np.frombuffer(batch.column(7)[int(r)].as_py(), np.int64)[: length[r]] for r in rows]
+                tokens = [np.frombuffer(batch.column(6)[int(r)].as_py(), np.int64)[: length[r]] for r in rows]
                 again = pa.array(np.repeat(rows, length[rows]))
-                own = [batch.column(c).take(again) if c not in (6, 7) else None for c in range(12)]
+                own = [batch.column(c).take(again) if c not in (5, 6) else None for c in range(11)]
                 at = np.concatenate([np.arange(length[r], dtype=np.int32) for r in rows])
-                columns = [own[0], pa.array(np.concatenate(tokens)), *own[1:6], pa.array(at), *own[8:12]]
-                yield pa.RecordBatch.from_arrays(columns, names=["hub", "gram", "key", "label", "n", "d", "x", "at", "s0", "s1", "s2", "s3"])
+                columns = [own[0], pa.array(np.concatenate(tokens)), *own[1:5], pa.array(at), *own[7:11]]
+                yield pa.RecordBatch.from_arrays(columns, names=["hub", "gram", "key", "n", "d", "x", "at", *PARITY])
 
     return run
 
@@ -485,14 +487,33 @@ def _few_pairs(meet: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return _shared(percent, met.withColumn("a", F.col("a_key")).withColumn("b", F.col("b_key")))
 
 
-def _many_pairs(around: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a hub, by their differences with it."""
-    rows = _labelled(around.where("bound is not null"), labels).select("hub", "key", "label", "n", "d", "x", "bound", "tokens", "s0", "s1", "s2", "s3")
-    rows = _spread(written(rows.mapInArrow(_differences(percent), DIFFERENCES), "differences"), "hub", "gram")
-    one = rows.select("hub", "gram", *(F.col(c).alias(f"a_{c}") for c in rows.columns if c not in ("hub", "gram")))
+def _difference_rows(around: DataFrame, percent: int) -> DataFrame:
+    rows = around.where("bound is not null").select("hub", "key", "n", "d", "x", "bound", "tokens", *PARITY)
+    return written(rows.mapInArrow(_differences(percent), DIFFERENCES), "differences")
+
+
+def _may_pair(percent: int):
+    """Length, positional and parity filters on two sets of different components that share a hub."""
     rest = F.least(F.col("a_d") - F.col("a_at"), F.col("b_d") - F.col("b_at")) - 1
     enough = 2 * (100 + percent) * (F.least("a_at", "b_at") + 1 + rest).cast("long") >= F.col("a_x") + F.col("b_x")
-    met = one.join(_other(rows, "hub", "gram"), ["hub", "gram"]).where("a_label < b_label").where(_of_like_size(percent, "a_n", "b_n") & enough & _near(percent))
+    return (F.col("a_label") != F.col("b_label")) & _of_like_size(percent, "a_n", "b_n") & enough & _near(percent)
+
+
+def _central_pairs(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Every set with the one nearest to the hub on each of its differences: one
+    partner for each, after which most of a group is in one component."""
+    rows = _spread(_labelled(rows, labels), "hub", "gram")
+    own = ["x", "key", "label", "n", "d", "at", *PARITY]
+    best = rows.groupBy("hub", "gram").agg(F.min(F.struct(*own)).alias("best")).select("hub", "gram", *(F.col(f"best.{c}").alias(f"a_{c}") for c in own))
+    met = best.join(_other(rows, "hub", "gram"), ["hub", "gram"]).where(_may_pair(percent))
+    return met.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
+
+
+def _many_pairs(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a hub, by their differences with it."""
+    rows = _spread(_labelled(rows, labels), "hub", "gram")
+    one = rows.select("hub", "gram", *(F.col(c).alias(f"a_{c}") for c in rows.columns if c not in ("hub", "gram")))
+    met = one.join(_other(rows, "hub", "gram"), ["hub", "gram"]).where("a_label < b_label").where(_may_pair(percent))
     return met.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
 
 
@@ -518,10 +539,12 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
     links = written(compared.where("linked").select("a", "b").unionByName(sure).unionByName(ids), "links")
     labels = written(components(links), "labels")
 
+    compare = lambda pairs: _verified(pairs.withColumn("many", F.lit(False)), docs, classes, n, percent, order).where("linked").select("a", "b")
+    grown = lambda more: written(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more)), "labels")
+    rows = _difference_rows(around, percent)
+    labels = grown(compare(_central_pairs(rows, labels, percent)))
     few = _worth_comparing(_few_pairs(meet, labels, percent), classes, percent)
-    pairs = few.unionByName(_many_pairs(around, labels, percent)).distinct()
-    more = _verified(pairs.withColumn("many", F.lit(False)), docs, classes, n, percent, order).where("linked").select("a", "b")
-    labels = written(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more)), "labels")
+    labels = grown(compare(few.unionByName(_many_pairs(rows, labels, percent)).distinct()))
 
     found = _least(classes, labels)
     out = sets.join(found, key, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
