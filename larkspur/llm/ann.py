@@ -13,14 +13,16 @@ have come before.
 
 On Spark: a query first searches the nearest cells (the root of their number),
 which bounds the k-th distance; then every other cell whose box the stopping
-test doesn't exclude. Cells of many
-vectors are dealt over several tasks by hash, and queries come in blocks.
-
-Defined results: vectors that are null, zero, of another length than the most
-frequent one, or hold null or non-finite components take no part, nor do rows
-without an id. Ties go to the smaller id. A query has fewer results if there
-are fewer candidates. Rows that repeat an id count once, the largest vector in
-Spark's order. An empty table gives an empty table.
+test doesn't exclude. Cells of many vectors are dealt over several tasks by hash,
+and so are the queries that come to a cell: its vectors are sent once for every
+BLOCK queries that ask for it, and not at all if none does.
+
+Defined results: vectors that are null, zero, or hold null or non-finite
+components take no part, nor do rows without an id. A vector that is shorter than
+another counts as filled up with zeros. Every row counts by itself: rows that
+repeat an id are candidates of each other, and each is a query of its own if its
+id is one. Ties go to the smaller id. A query has fewer results if there are fewer
+candidates. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from larkspur.runtime import ensure_importable, written
 
-DIMENSIONS = 10
-CONFIDENCE_QUANTILE = 16.99  # 0.925 quantile of chi-square with DIMENSIONS degrees of freedom
+DIMENSIONS = 16
+CONFIDENCE_QUANTILE = 23.54  # 0.9 quantile of chi-square with DIMENSIONS degrees of freedom
 SAMPLE = 20_000
 CELL, MAX_DEPTH = 1024, 12
 #: Vectors of a cell, and queries, that meet in one task at most, about.
@@ -75,113 +77,147 @@ class Tree:
         return (gap * gap).sum(1)
 
 
-def matrix(vectors: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+def matrix(vectors: pa.Array | pa.ChunkedArray, least: int = 0) -> np.ndarray:
+    """Rows as a matrix, as wide as the longest of them; shorter ones end in zeros."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+    flat, rows = vectors.flatten().to_numpy(zero_copy_only=False), len(vectors)
+    sizes = np.diff(vectors.offsets.to_numpy()) if rows else np.zeros(0, np.int64)
+    d = max(least, int(sizes.max(initial=0)))
+    if len(flat) == rows * d:
+        return flat.reshape(rows, d)
+    out = np.zeros((rows, d))
+    out[np.arange(d) < sizes[:, None]] = flat
+    return out
 
 
-def lifted(x: np.ndarray, largest: float) -> np.ndarray:
-    y = x.astype(np.float64) / largest
-    return np.hstack([y, np.sqrt(np.maximum(0, 1 - (y * y).sum(1)))[:, None]])
+class Projection:
+    """Gaussian (2-stable) projections of vectors lifted onto the unit sphere, and of queries."""
 
+    def __init__(self, d: int, largest: float, seed: int):
+        gauss = np.random.default_rng(seed).standard_normal((d + 1, DIMENSIONS))
+        self.last, self.body, self.largest = gauss[0], gauss[1:], largest
 
-def usable(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, int]:
-    """(vec_id, embedding as doubles) of the vectors that take part, and their length."""
+    def points(self, x: np.ndarray) -> np.ndarray:
+        y = x / self.largest
+        return y @ self.body[: y.shape[1]] + np.sqrt(np.maximum(0, 1 - (y * y).sum(1)))[:, None] * self.last
+
+    def queries(self, q: np.ndarray) -> np.ndarray:
+        return (q / norms(q)[:, None]) @ self.body[: q.shape[1]]
+
+    def reach(self, bound: float, norm: float) -> float:
+        """Projected squared distance beyond which the stopping test rules a score above the bound out."""
+        return CONFIDENCE_QUANTILE * max(0.0, 2 - 2 * bound / (self.largest * norm)) + 1e-12
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
+
+
+def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """(row, vec_id, embedding as doubles) of the vectors that take part."""
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     sound = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     v = v.where("vec_id is not null and embedding is not null").where(F.coalesce(sound, F.lit(False)))
-    sizes = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = sizes.d if sizes else 0
-    return v.where(F.size("embedding") == d).groupBy("vec_id").agg(F.max("embedding").alias("embedding")), d
+    return v.withColumn("row", F.monotonically_increasing_id())
 
 
-FOUND = "query_id bigint, vec_id bigint, score double"
+FOUND = "query bigint, query_id bigint, vec_id bigint, score double"
 
 
-def _search(k: int, projection, largest: float):
+def _search(k: int, held):
     """Cell-mates of queries: their k best by the stopping test."""
 
     def run(key, queries: pa.Table, points: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
+        projection = held.value
         if queries.num_rows and points.num_rows:
-            x = matrix(points["embedding"], points.num_rows)
-            ids = points["vec_id"].to_numpy()
-            px = lifted(x, largest) @ projection.value
-            q = matrix(queries["query"], queries.num_rows)
-            norm = np.sqrt((q * q).sum(1))
-            pq = np.hstack([q / norm[:, None], np.zeros((len(q), 1))]) @ projection.value
-            bounds, names = queries["bound"].to_numpy(zero_copy_only=False), queries["query_id"].to_numpy()
+            x, q = matrix(points["embedding"]), matrix(queries["embedding"])
+            d = max(x.shape[1], q.shape[1])
+            x, q = (a if a.shape[1] == d else np.pad(a, ((0, 0), (0, d - a.shape[1]))) for a in (x, q))
+            ids, rows, own_rows = points["vec_id"].to_numpy(), points["row"].to_numpy(), queries["row"].to_numpy()
+            px, pq, norm = projection.points(x), projection.queries(q), norms(q)
+            bounds = queries["bound"].to_numpy(zero_copy_only=False)
             square = (px * px).sum(1)
             for i in range(len(q)):
                 d2 = np.maximum(0, square - 2 * (px @ pq[i]) + pq[i] @ pq[i])
                 best_v, best_s = np.empty(0, np.int64), np.empty(0)
                 # scores below the bound can't be among the query's k best
                 bound = bounds[i]
-                order = np.flatnonzero(d2 <= CONFIDENCE_QUANTILE * max(0.0, 2 - 2 * bound / (largest * norm[i])) + 1e-12)
+                order = np.flatnonzero(d2 <= projection.reach(bound, norm[i]))
                 order = order[np.argsort(d2[order])]
+                far = d2[order]
                 start, step = 0, 4 * k
-                while start < len(order):
-                    if d2[order[start]] > CONFIDENCE_QUANTILE * max(0.0, 2 - 2 * bound / (largest * norm[i])) + 1e-12:
-                        break
-                    own = order[start : start + step]
-                    start, step = start + step, 2 * step
-                    s = x[own] @ q[i]
-                    mine = (s >= bound) & (ids[own] != names[i])
-                    best_v, best_s = np.append(best_v, ids[own][mine]), np.append(best_s, s[mine])
+                while start < len(order) and far[start] <= projection.reach(bound, norm[i]):
+                    end = min(start + step, len(order))
+                    end = int(np.searchsorted(far, far[end - 1] + 1e-9, "right"))  # equal vectors together
+                    near = order[start:end]
+                    start, step = end, 2 * step
+                    s = np.einsum("ij,j->i", x[near], q[i])  # row by row, so that equal vectors tie
+                    mine = (s >= bound) & (rows[near] != own_rows[i])
+                    best_v, best_s = np.append(best_v, ids[near][mine]), np.append(best_s, s[mine])
                     if len(best_s) > k:
                         top = np.lexsort((best_v, -best_s))[:k]
                         best_v, best_s = best_v[top], best_s[top]
                     if len(best_s) == k:
                         bound = max(bound, best_s.min())
-                out_q.append(np.full(len(best_v), names[i])), out_v.append(best_v), out_s.append(best_s)
+                out_q.append(np.full(len(best_v), i)), out_v.append(best_v), out_s.append(best_s)
+        at = np.concatenate(out_q) if out_q else np.empty(0, np.int64)
         join = lambda a, kind: pa.array(np.concatenate(a) if a else np.empty(0), kind)
-        return pa.table({"query_id": join(out_q, pa.int64()), "vec_id": join(out_v, pa.int64()), "score": join(out_s, pa.float64())})
+        asked = queries.select(["row", "query_id"]).take(pa.array(at))
+        return pa.table({"query": asked["row"], "query_id": asked["query_id"], "vec_id": join(out_v, pa.int64()), "score": join(out_s, pa.float64())})
 
     return run
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _in_parts(asked: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries and vectors of a cell with the parts (chunk, block) in which they meet."""
+    sizes = points.groupBy("cell").agg((1 + F.floor(F.count("*") / CHUNK)).alias("chunks"))
+    parts = sizes.join(asked.groupBy("cell").agg((1 + F.floor(F.count("*") / BLOCK)).alias("blocks")), "cell")
+    parts = F.broadcast(written(parts, "parts"))  # 2^MAX_DEPTH rows at most
+    own = lambda what, n: F.pmod(F.xxhash64("row"), F.col(n)).alias(what)
+    each = lambda what, n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(what)
+    asked = asked.join(parts, "cell").select("cell", own("block", "blocks"), each("chunk", "chunks"), "row", "query_id", "embedding", "bound")
+    points = points.join(parts, "cell").select("cell", each("block", "blocks"), own("chunk", "chunks"), "row", "vec_id", "embedding")
+    return asked, points
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", seed: int = 3) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row."""
     spark = vectors.sparkSession
     ensure_importable(spark)
-    vectors, d = usable(vectors, vec_id, embedding)
-    vectors = written(vectors, "vectors")
-    facts = vectors.agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("largest")).first()
+    vectors = written(usable(vectors, vec_id, embedding), "vectors")
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    facts = vectors.agg(F.count("*").alias("n"), F.max(square).alias("largest"), F.max(F.size("embedding")).alias("d")).first()
     if not facts.n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    n, largest = facts.n, float(np.sqrt(facts.largest))
-    gauss = np.random.default_rng(seed).standard_normal((d + 1, DIMENSIONS))
-    part = min(1.0, SAMPLE / n)
-    drawn = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) < max(1, int(part * (1 << 30)))).limit(2 * SAMPLE)
-    sample = np.array([r.embedding for r in drawn.collect()]).reshape(-1, d)
-    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(n / CELL)))))
-    projection = spark.sparkContext.broadcast(gauss)
-    tree = spark.sparkContext.broadcast(Tree(lifted(sample, largest) @ gauss, depth))
+    projection = spark.sparkContext.broadcast(Projection(facts.d, float(np.sqrt(facts.largest)), seed))
+
+    def projected(x: pa.Array) -> pa.Array:
+        p = projection.value.points(matrix(x))
+        return pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * DIMENSIONS, pa.array(p.ravel()))
+
+    part = F.pmod(F.xxhash64("row", F.lit("sample")), F.lit(1 << 30))
+    drawn = vectors.where(part < max(1, int(min(1.0, SAMPLE / facts.n) * (1 << 30)))).select(F.arrow_udf(projected, "array<double>")("embedding").alias("p"), part.alias("part"))
+    sample = np.array([r.p for r in drawn.orderBy("part").limit(2 * SAMPLE).collect()]).reshape(-1, DIMENSIONS)
+    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(facts.n / CELL)))))
+    tree = spark.sparkContext.broadcast(Tree(sample, depth))
 
     def cell_of(x: pa.Array) -> pa.Array:
-        return pa.array(tree.value.cells(lifted(matrix(x, len(x)), largest) @ projection.value), pa.int64())
+        return pa.array(tree.value.cells(projection.value.points(matrix(x))), pa.int64())
 
     placed = written(vectors.withColumn("cell", F.arrow_udf(cell_of, "bigint")("embedding")), "cells")
-    sizes = placed.groupBy("cell").agg((1 + F.floor(F.count("*") / CHUNK)).alias("chunks"))  # 2^MAX_DEPTH rows at most
-    sizes = written(sizes, "sizes")
-    queries = placed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    blocks = 1 + queries.count() // BLOCK
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    points = placed.join(F.broadcast(sizes), "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks"))
-    points = points.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    key = ["cell", "chunk", "block"]
+    queries = placed.where(is_query).select("row", F.col("vec_id").alias("query_id"), "embedding")
 
     def search(asked: DataFrame) -> DataFrame:
-        asked = asked.join(F.broadcast(sizes), "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        asked = asked.withColumn("block", block).select(*key, "query_id", "query", "bound")
-        both = asked.groupBy(*key).cogroup(points.select(*key, "vec_id", "embedding").groupBy(*key))
-        return both.applyInArrow(_search(k, projection, largest), FOUND)
+        asked, points = _in_parts(asked, placed)
+        key = ["cell", "chunk", "block"]
+        return asked.groupBy(*key).cogroup(points.groupBy(*key)).applyInArrow(_search(k, projection), FOUND)
 
     # with h of the cells first, a query finds about k h rows there and k cells / h in the others
     homes = int(np.ceil(np.sqrt(1 << depth)))
@@ -189,30 +225,27 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     def cells_of(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                q = matrix(batch.column(1), batch.num_rows) if batch.num_rows else np.empty((0, d))
-                norm = np.sqrt((q * q).sum(1))
-                p = np.hstack([q / norm[:, None], np.zeros((len(q), 1))]) @ projection.value
+                if not batch.num_rows:
+                    continue
+                q = matrix(batch.column(2))
+                norm, p = norms(q), projection.value.queries(q)
                 at, cells = [], []
-                for i, bound in enumerate(batch.column(2).to_pylist()):
+                for i, bound in enumerate(batch.column(3).to_pylist()):
                     gaps = tree.value.gaps(p[i])
                     order = np.argsort(gaps, kind="stable")
                     own = order[:homes]
                     if not first:
                         own = order[homes:]
-                        own = own[gaps[own] <= CONFIDENCE_QUANTILE * max(0.0, 2 - 2 * bound / (largest * norm[i])) + 1e-12]
+                        own = own[gaps[own] <= projection.value.reach(bound, norm[i])]
                     at.append(np.full(len(own), i)), cells.append(own)
-                rows = batch.take(pa.array(np.concatenate(at) if at else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), rows.column(2), pa.array(np.concatenate(cells) if cells else [], pa.int64())], names=["query_id", "query", "bound", "cell"]
-                )
+                rows = batch.take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(cells), pa.int64())], names=["row", "query_id", "embedding", "bound", "cell"])
 
         return run
 
-    kind = "query_id bigint, query array<double>, bound double, cell bigint"
-    asked = queries.withColumn("bound", F.lit(NO_BOUND)).mapInArrow(cells_of(True), kind)
-    first = written(_ranked(search(asked), k), "first")
-    bounds = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    asked = queries.join(bounds, "query_id", "left").select("query_id", "query", F.coalesce("bound", F.lit(NO_BOUND)).alias("bound"))
-    asked = asked.mapInArrow(cells_of(False), kind)
-    found = _ranked(search(asked).unionByName(first.select("query_id", "vec_id", "score")), k)
+    kind = "row bigint, query_id bigint, embedding array<double>, bound double, cell bigint"
+    first = written(_ranked(search(queries.withColumn("bound", F.lit(NO_BOUND)).mapInArrow(cells_of(True), kind)), k), "first")
+    bounds = first.where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("bound"))
+    asked = queries.join(bounds, "row", "left").select("row", "query_id", "embedding", F.coalesce("bound", F.lit(NO_BOUND)).alias("bound"))
+    found = _ranked(search(asked.mapInArrow(cells_of(False), kind)).unionByName(first.drop("rank")), k)
     return found.select("query_id", "rank", "vec_id", "score")
