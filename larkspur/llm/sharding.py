@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.runtime import ensure_importable
+from larkspur.runtime import ensure_importable, written
 
 BUCKETS = 1024
 
@@ -56,9 +56,12 @@ def sharded(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str =
         F.col(key).cast("long").alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(key), F.lit("bucket")), F.lit(BUCKETS)).cast("int").alias("bucket"),
     )
+    # by size and checksum too, so that the rows of one much repeated id are spread
+    bucket = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.lit("bucket")), F.lit(BUCKETS)).cast("int")
+    placed = placed.withColumn("bucket", bucket)
     placed = placed.withColumn("shard", jump_shard(F.col("doc_id"), shards)).withColumn("grown_shard", jump_shard(F.col("doc_id"), shards + 1))
+    placed = written(placed, "placed")  # a few numbers for each text, so texts are read once
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
