@@ -13,7 +13,7 @@ from larkspur.llm.ngram_join import ngram_join
 from larkspur.llm.packing import packed
 from larkspur.llm.quality_model import quality_scores
 from larkspur.llm.quality_rules import quality_rules
-from larkspur.runtime import shared_dir
+from larkspur.runtime import shared_dir, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,9 +30,16 @@ def quality_line_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group linked at 0.8 on 5-grams."""
-    groups = ngram_join(docs, n=5, percent=80).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group linked at 0.8 on 5-grams: that of the smallest
+    id, null last. Rows are told apart by a key of their own, so rows without an
+    id, or with one that others have too, are grouped by their texts like all others."""
+    keyed = written(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    groups = ngram_join(keyed, n=5, percent=80, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    groups = written(groups.join(keyed.select("row_key", "doc_id"), "row_key"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("first")
+    several = groups.groupBy("component_id").agg(first, F.count("*").alias("n")).where("n > 1")
+    others = groups.join(several, "component_id").where("row_key <> first.row_key").select("row_key")
+    return keyed.join(others, "row_key", "left_anti").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of whole documents reach Python workers in batches of this size, unless the session says how.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "250", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def ensure_importable(spark: SparkSession) -> None:
@@ -25,21 +26,25 @@ def ensure_importable(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
-    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
-        spark.conf.set(BATCH_ROWS, "1000")
+    own = dict(spark.conf.getAll)
+    for key, value in BATCHES.items():
+        if key not in own:
+            spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) a local folder
-    is made and set.
+    Where the session names none, a local folder is made and set, but only in
+    local mode: executors on other machines wouldn't see it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
+        if not jsc.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
