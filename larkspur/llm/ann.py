@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.columns import picked
 from larkspur.runtime import ensure_importable, written
 
 DIMENSIONS = 16
@@ -43,6 +44,8 @@ CELL, MAX_DEPTH = 1024, 12
 #: Vectors of a cell, and queries, that meet in one task at most, about.
 CHUNK, BLOCK = 8192, 8192
 NO_BOUND = -1e300
+#: Vectors that are sent to cells in one batch: what a batch holds doesn't grow with the cells.
+SENT = 1 << 14
 
 
 class Tree:
@@ -116,7 +119,7 @@ def norms(x: np.ndarray) -> np.ndarray:
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(row, vec_id, embedding as doubles) of the vectors that take part."""
-    v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    v = picked(vectors, vec_id=vec_id, embedding=embedding).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     sound = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     v = v.where("vec_id is not null and embedding is not null").where(F.coalesce(sound, F.lit(False)))
     return v.withColumn("row", F.monotonically_increasing_id())
@@ -238,8 +241,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
                         own = order[homes:]
                         own = own[gaps[own] <= projection.value.reach(bound, norm[i])]
                     at.append(np.full(len(own), i)), cells.append(own)
-                rows = batch.take(pa.array(np.concatenate(at)))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(cells), pa.int64())], names=["row", "query_id", "embedding", "bound", "cell"])
+                at, cells = np.concatenate(at), np.concatenate(cells)
+                for start in range(0, len(at), SENT):  # a vector goes out once for each cell, but few at a time
+                    rows = batch.take(pa.array(at[start : start + SENT]))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cells[start : start + SENT], pa.int64())], names=["row", "query_id", "embedding", "bound", "cell"])
 
         return run
 

@@ -20,7 +20,7 @@ their parent, an unclosed script, style or comment ends with the page, a tag
 that has no > is text. If quotes hide the end of a tag up to the end of the page,
 quotes count for nothing from there on. Rows are extracted one by one, so
 repeated rows and null ids change nothing. An empty table gives an empty table.
-All other columns pass on; ``main_text`` replaces one of that name.
+All other columns pass on; ``main_text`` replaces those of that name in any case.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.columns import by_place, place, with_results
 from larkspur.runtime import ensure_importable
 
 TAGS, WORDS, MEASURES = 4096, 2048, 4
@@ -526,5 +527,9 @@ def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
     spark = pages.sparkSession
     ensure_importable(spark)
     model = spark.sparkContext.broadcast(trained())
-    own = [F.col(f"`{c}`") for c in pages.columns if c not in (html, "main_text")]
-    return pages.select(*own, F.arrow_udf(_texts(model), "string")(F.col(html)).alias("main_text"))
+    own = by_place(pages)
+    article = F.arrow_udf(_texts(model), "string")(F.col(f"c{place(pages.columns, html)}"))
+    found = with_results(own.withColumn("article", article), pages.columns, {"main_text": F.col("article")})
+    # by place again: a name may differ from another in case only
+    left = [(k, c) for k, c in enumerate(found.columns) if c != html]
+    return by_place(found).select(*(F.col(f"c{k}") for k, _ in left)).toDF(*(c for _, c in left))

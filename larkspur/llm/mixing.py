@@ -6,7 +6,11 @@ by weight, but none gets more than MAX_RATE times its own words, and what is
 over is shared again by weight. That has a closed form: with sources sorted by
 the level at which each would be full, one running sum gives the level.
 A document of a source with rate r is taken floor(r) times, and once more if a
-number in [0, 1) from a hash of its id and the seed is below the fraction.
+number in [0, 1) is below the fraction. That number comes from a hash of the seed, the
+id, the text's MD5 and the row's number among the rows of the same id, text and
+source, so rows are drawn one by one, however often an id or a row comes. Rows are
+numbered where they repeat only: a task numbers its own, and counts of the tasks before
+it are added, so no task sees all rows of a group.
 
 Up to MAX_BROADCAST sources are ordered in one window and broadcast; more are
 ordered by range, with sums of the ranges, and joined by a shuffle, but for the
@@ -14,7 +18,8 @@ fewer than HOT_PART sources that hold more than 1 / HOT_PART of the documents.
 
 Defined results: null text has size 0; documents of size 0 and sources without
 words have rate 0 where the source has no words, and take 0 words in any case.
-A null source is a source. Rows with equal ids draw the same number.
+A null source is a source. Of rows that repeat id, text and source, which one gets
+which number follows the table's parts; how many are taken doesn't.
 An empty table gives an empty table. ``rates`` passes on all columns but those
 named like its own results; ``mixed`` passes on exactly the columns it gets.
 """
@@ -24,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.columns import by_place, place, with_results
 from larkspur.runtime import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,20 +40,12 @@ HOT_PART = 1000
 RESULTS = ("mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
 
 
-def word_count(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _column(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
-def _own_name(docs: DataFrame, name: str) -> str:
-    """A column name that the table doesn't have."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
+def text_digest(text: Column) -> Column:
+    return F.coalesce(F.md5(text), F.lit("-"))
 
 
 def in_order(rows: DataFrame, order: list[Column], few: bool, *sums: str) -> DataFrame:
@@ -84,41 +82,60 @@ def targets(totals: DataFrame, few: bool = True) -> DataFrame:
     return t.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def rates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, size: Column | None = None) -> DataFrame:
+def _numbered(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``rows`` (key, ...) with ``number``, from 0, among the rows of a key; ``repeated`` has the keys of several rows."""
+    n_keys = repeated.count()
+    if not n_keys:
+        return rows.withColumn("number", F.lit(0).cast("long"))
+    held = F.broadcast(repeated) if n_keys <= MAX_BROADCAST else repeated
+    # written, so that each row keeps its task
+    several = written(rows.join(held, "key", "left_semi").withColumn("part", F.spark_partition_id()), "repeated")
+    counts = several.groupBy("key", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    starts = written(counts.select("key", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")), "starts")
+    own = F.row_number().over(Window.partitionBy("key", "part").orderBy("part"))
+    several = several.withColumn("own", own).join(F.broadcast(starts) if starts.count() <= MAX_BROADCAST else starts, ["key", "part"])
+    several = several.withColumn("number", F.col("start") + F.col("own") - 1).select(*rows.columns, "number")
+    return several.unionByName(rows.join(held, "key", "left_anti").withColumn("number", F.lit(0).cast("long")))
+
+
+def rates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, size: str | None = None, digest: str | None = None) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target, mix_rate and mix_copies.
 
-    ``size``: the words of a document, where they have been counted before.
+    ``size`` and ``digest``: columns with the words and the MD5 of a text, where they are known.
     """
-    words = word_count(f"`{text}`") if size is None else size
-    totals = docs.groupBy(_column(source).alias("source")).agg(F.sum(words).alias("source_size"), F.count("*").alias("rows"))
-    totals = written(totals, "totals")
+    names = docs.columns
+    col = lambda c: F.col(f"c{place(names, c)}")
+    words = word_count(col(text)) if size is None else col(size)
+    told = text_digest(col(text)) if digest is None else col(digest)
+    identity = F.concat(F.coalesce(col(doc_id).cast("string"), F.lit("")), F.lit(":"), told)
+    key = F.md5(F.concat_ws("|", identity, F.concat(F.lit("of:"), col(source))))
+    sized = by_place(docs).withColumns({"words": words, "identity": identity, "key": key})
+    groups = written(sized.groupBy(col(source).alias("source"), "key").agg(F.sum("words").alias("words"), F.count("*").alias("rows")), "groups")
+    totals = written(groups.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("rows")), "totals")
     n_sources, n_rows = totals.agg(F.count("*"), F.sum("rows")).first()
     few = n_sources <= MAX_BROADCAST
-    held = {c: _own_name(docs, f"__{c}") for c in ("source", "source_size", "target", "rate", "mix_size")}
-    found = written(targets(totals.select("source", "source_size"), few), "sources").select(*(F.col(c).alias(held[c]) for c in ("source", "source_size", "target", "rate")))
-    sized = docs.withColumn(held["mix_size"], words)
-    same = lambda t: _column(source).eqNullSafe(t[held["source"]])
+    found = written(targets(totals.select("source", "source_size"), few), "sources")
+    sized = _numbered(sized, groups.where("rows > 1").select("key").distinct())
+    same = lambda t: col(source).eqNullSafe(t["source"])
     if few:
         both = sized.join(F.broadcast(found), same(found))
     else:
-        hot = totals.where(F.col("rows") * HOT_PART > n_rows).select(F.col("source").alias(held["source"]))
-        often = found.join(F.broadcast(hot), found[held["source"]].eqNullSafe(hot[held["source"]]), "left_semi")
+        hot = totals.where(F.col("rows") * HOT_PART > n_rows).select("source")
+        often = found.join(F.broadcast(hot), found["source"].eqNullSafe(hot["source"]), "left_semi")
         both = sized.join(F.broadcast(often), same(often)).unionByName(sized.join(F.broadcast(hot), same(hot), "left_anti").join(found, same(found)))
-    seeded = F.concat(F.lit(f"{seed}:"), F.coalesce(_column(doc_id).cast("string"), F.lit("")))
+    seeded = F.concat(F.lit(f"{seed}:"), F.col("identity"), F.lit(":"), F.col("number").cast("string"))
     draw = F.conv(F.substring(F.md5(seeded), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    rate = F.col(held["rate"])
+    rate = F.col("rate")
     whole = F.floor(rate)
-    own = [_column(c) for c in docs.columns if c.lower() not in RESULTS]
-    got = (F.col(held["mix_size"]), F.col(held["source_size"]), F.col(held["target"]), rate, whole + (draw < rate - whole).cast("long"))
-    return both.select(*own, *(c.alias(name) for c, name in zip(got, RESULTS, strict=True)))
-
-
-def mixed(docs: DataFrame, **columns) -> DataFrame:
-    """The mix itself: every document as often as it is taken."""
-    names = {c: _own_name(docs, f"__own_{k}") for k, c in enumerate(docs.columns)}
-    given = {"doc_id": "doc_id", "text": "text", "source": "source"} | {k: v for k, v in columns.items() if k in ("doc_id", "text", "source")}
-    rest = {k: v for k, v in columns.items() if k not in given}
-    inner = docs.select(*(_column(c).alias(name) for c, name in names.items()))
-    taken = rates(inner, **{k: names[c] for k, c in given.items()}, **rest).where("mix_copies > 0")
+    got = (F.col("words"), F.col("source_size"), F.col("target"), rate, whole + (draw < rate - whole).cast("long"))
+    return with_results(both, names, dict(zip(RESULTS, got, strict=True)))
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **more) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with the columns that it came with."""
+    names = docs.columns
+    at = {k: f"c{place(names, c)}" for k, c in (("doc_id", doc_id), ("text", text), ("source", source))}
+    taken = rates(by_place(docs), **at, **more).where("mix_copies > 0")
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("mix_copy")
-    return taken.select(*names.values(), copies).select(*(F.col(name).alias(c) for c, name in names.items()))
+    return taken.select(*(f"c{k}" for k in range(len(names))), copies).drop("mix_copy").toDF(*names)

@@ -52,6 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.columns import picked
 from larkspur.llm.components import components
 from larkspur.runtime import ensure_importable, written
 
@@ -66,19 +67,23 @@ REMEMBERED = 1 << 18
 ROWS = 100_000
 #: Bytes of a text that are hashed at once, about.
 SEGMENT = 1 << 18
+#: Bytes of a word that is hashed by running sums.
+SHORT = 32
 PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 
 
 class Words:
     """64-bit hashes of the words of a text, all at once in numpy.
 
-    A word's hash is the sum of a random number for each byte times the power
-    of an odd number for its place, modulo 2^64; running sums over the text
-    give it for every word. A-Z have the numbers of a-z.
+    The hash of a word of up to SHORT bytes is the sum of a random number for each
+    byte times the power of an odd number for its place, modulo 2^64; running
+    sums over the text give it for every word. Sums of longer words can be equal
+    whatever the numbers are (from 1,024 bytes on), so longer words, few in any
+    language, are hashed one by one by XXH3. A-Z have the numbers of a-z.
     """
 
     def __init__(self, seed: int = 17):
-        r = np.random.default_rng(seed)
+        r, self.seed = np.random.default_rng(seed), seed
         self.letters = r.integers(0, 1 << 64, 256, np.uint64)
         self.letters[65:91] = self.letters[97:123]
         self.space = np.zeros(256, bool)
@@ -104,9 +109,17 @@ class Words:
             at = end
 
     def hashes(self, data: bytes) -> np.ndarray:
-        out = [self.sums(self.letters[b], *self.places(b)) for b in self.segments(data)]
+        out = [self.of_words(b, *self.places(b)) for b in self.segments(data)]
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint64)
 
+    def of_words(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the words from starts to ends."""
+        out = self.sums(self.letters[b], starts, ends)
+        long = np.flatnonzero(ends - starts > SHORT)
+        if len(long):
+            out[long] = [xxhash.xxh3_64_intdigest(b[i:j].tobytes().lower(), self.seed) for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        return out
+
     def places(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where words start and end."""
         inside = np.empty(len(b) + 2, np.int8)
@@ -521,7 +534,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
     ensure_importable(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = picked(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     profile = written(docs.mapInArrow(_profile(n), PROFILE), "profile")
     order = spark.sparkContext.broadcast(_order(profile))
     key = ["n", "f1", "f2"]

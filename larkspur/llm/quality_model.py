@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.columns import by_place, picked, place, with_results
 from larkspur.llm.ngram_join import Words
 from larkspur.runtime import ensure_importable, written
 
@@ -82,7 +83,7 @@ class Reader:
         kept = ~drop
         place = np.append(0, np.cumsum(kept))
         shapes = self.signs.sums(self.numbers[kind[kept]], place[starts], place[ends])
-        return self.words.sums(self.words.letters[b], starts, ends), shapes, ends - starts
+        return self.words.of_words(b, starts, ends), shapes, ends - starts
 
 
 def _part_of(hashes: np.ndarray, known: np.ndarray) -> int:
@@ -248,9 +249,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
 def quality_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with quality_score in [0, 1] and quality_kept."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, doc_id, text))
-    own = [c for c in docs.columns if c not in ("quality_score", "quality_kept")]
-    score = F.arrow_udf(_scores(model), "double")(F.col(text))
-    scored = docs.select(*(F.col(f"`{c}`") for c in own), score.alias("quality_score"))
-    has_words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return scored.withColumn("quality_kept", (F.col("quality_score") >= 0.5) & has_words)
+    model = spark.sparkContext.broadcast(train(picked(docs, doc_id=doc_id, text=text)))
+    own, body = by_place(docs), F.col(f"c{place(docs.columns, text)}")
+    scored = own.withColumn("score", F.arrow_udf(_scores(model), "double")(body))
+    has_words = F.coalesce(body, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return with_results(scored, docs.columns, {"quality_score": F.col("score"), "quality_kept": (F.col("score") >= 0.5) & has_words})

@@ -2,17 +2,18 @@
 
 Every line of a document is judged by three kinds of rules: punctuation
 (no sentence end on a short line, shouted or symbol-ridden words), navigation
-(separators between few words) and boilerplate (legal and interface phrases). A line
-of up to PHRASE_WORDS words is boilerplate if it holds a phrase; a longer one if
-its sentences with phrases make up more than half of its words, where a phrase
-counts for PHRASE_WORDS words of its sentence at most. Lines that fail are removed; a document that loses too large a part of its words is
-rejected, as is one that fails the base measures.
+(separators between few words) and boilerplate (legal and interface phrases in
+English, German, French and Spanish). A line of any length is boilerplate if its
+sentences with phrases make up more than half of its words, where a phrase counts
+for PHRASE_WORDS words of its sentence at most. Lines that fail are removed; a
+document that loses too large a part of its words is rejected, as is one that fails
+the base measures.
 
 Defined results: a null or empty text has no words, measures of 0, fails the
 base rule (too few words) and is rejected; its cleaned text is the same null or
 ''. Rows are judged one by one, so repeated rows, ties and null ids change
 nothing, an empty table gives an empty table, and columns of the input are all
-passed on (those named like an output column are replaced).
+passed on (those named like an output column, in any case, are replaced).
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.columns import by_place, place, with_results
 from larkspur.runtime import ensure_importable
 
 SYMBOLS = b"#*$%&|<>"
@@ -47,6 +49,12 @@ BOILERPLATE = re.compile(
     "|javascript is (?:disabled|required)|enable javascript|lorem ipsum|click here|sign up for|log ?in to"
     "|subscribe to our|share this (?:page|article|post)|powered by|back to top|skip to content"
     "|licensed under the|copyright (?:\\(c\\)|©)|© ?[12][0-9]{3}"
+    "|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|verwendet cookies|verwenden cookies|javascript ist deaktiviert"
+    "|hier klicken|klicken sie hier|newsletter abonnieren|zurück nach oben|zum seitenanfang|zum inhalt springen"
+    "|tous droits réservés|politique de confidentialité|conditions d['’]utilisation|utilise des cookies|utilisons des cookies"
+    "|javascript est désactivé|cliquez ici|abonnez-vous à|retour en haut|aller au contenu"
+    "|todos los derechos reservados|política de privacidad|política de cookies|términos de uso|condiciones de uso|utiliza cookies"
+    "|utilizamos cookies|javascript está desactivado|haz clic aquí|haga clic aquí|suscríbete a|volver arriba|saltar al contenido"
 )
 RESULT = (
     "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,"
@@ -102,7 +110,7 @@ def line_fails(line: bytes, words: list[bytes]) -> str:
     if n < SHORT_LINE and not SENTENCE_END.search(text):
         return "punctuation"
     text = text.lower()
-    if BOILERPLATE.search(text) and (n <= PHRASE_WORDS or 2 * phrase_words(text) > n):
+    if BOILERPLATE.search(text) and 2 * phrase_words(text) > n:
         return "boilerplate"
     return ""
 
@@ -167,6 +175,5 @@ def quality_rules(docs: DataFrame, text: str = "text", clean: bool = True) -> Da
     ensure_importable(docs.sparkSession)
     f = F.arrow_udf(_measures_and_text, RESULT.format(",cleaned_text:string")) if clean else F.arrow_udf(_measures, RESULT.format(""))
     names = [n.split(":")[0] for n in RESULT.format(",cleaned_text:string" if clean else "")[7:-1].split(",")]
-    own = [c for c in docs.columns if c not in names]
-    judged = docs.select(*(F.col(f"`{c}`") for c in own), f(F.col(text)).alias("__rules"))
-    return judged.select(*(F.col(f"`{c}`") for c in own), *(F.col(f"__rules.{n}").alias(n) for n in names))
+    own, body = by_place(docs), F.col(f"c{place(docs.columns, text)}")
+    return with_results(own.withColumn("rules", f(body)), docs.columns, {n: F.col(f"rules.{n}") for n in names})

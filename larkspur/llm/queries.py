@@ -43,8 +43,8 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # words are counted once; what is left of a document is small
-    docs = written(docs.select("doc_id", "source", mixing.word_count("text").alias("words")), "sizes")
-    return mixing.rates(docs, size=F.col("words")).select(
+    thin = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"), mixing.text_digest(F.col("text")).alias("told"))
+    return mixing.rates(written(thin, "sizes"), size="words", digest="told").select(
         "doc_id",
         F.col("mix_size").alias("size"),
         F.col("mix_source_size").alias("source_size"),
@@ -92,7 +92,11 @@ QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_neares
 #: on whole tables; tests hold them against brute force, round trips or held-out data.
 ORACLE_SQL: dict[str, str] = {
     "op8_mixing": """
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
+with d as (
+    select doc_id, source, coalesce(md5(text), '-') as told, row_number() over (partition by doc_id, text, source) - 1 as number,
+        coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size
+    from documents
+),
 w as (
     select source, source_size, [5, 2, 1][(row_number() over (order by source is null, source) - 1) % 3 + 1] as weight
     from (select source, sum(size)::bigint as source_size from d group by source) x
@@ -109,7 +113,7 @@ t as (
 ),
 r as (
     select doc_id, size, source_size, target, case when source_size > 0 then least(target / source_size, 3.0::double) else 0.0::double end as rate,
-        ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double as draw
+        ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '') || ':' || told || ':' || number), 1, 13))::bigint / 4503599627370496.0::double as draw
     from d join t on d.source is not distinct from t.source
 )
 select doc_id, size, source_size, target, ((floor(rate)::bigint + case when draw < rate - floor(rate) then 1 else 0 end) * size)::bigint as taken from r""",

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.columns import picked
 from larkspur.runtime import ensure_importable, written
 
 BUCKETS = 1024
@@ -51,9 +52,9 @@ def jump_shard(key: Column, shards: int) -> Column:
 def sharded(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
     ensure_importable(docs.sparkSession)
-    body = F.coalesce(F.col(text), F.lit(""))
-    placed = docs.select(
-        F.col(key).cast("long").alias("doc_id"),
+    body = F.coalesce(F.col("text"), F.lit(""))
+    placed = picked(docs, key=key, text=text).select(
+        F.col("key").cast("long").alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
     )

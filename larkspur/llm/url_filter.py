@@ -25,6 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.columns import picked
 from larkspur.runtime import written
 
 #: (verdict, host, path)
@@ -162,7 +163,7 @@ def fit(sample: DataFrame):
 
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and the trees' block_score."""
-    rows = lexical(ruled(pages.select("page_id", "url"), rules))
+    rows = lexical(ruled(picked(pages, page_id="page_id", url="url"), rules))
     labelled = rows.where("listed is not null").withColumn("label", (F.col("listed") == "block").cast("double"))
     counts = labelled.agg(F.count("*").alias("n"), F.avg("label").alias("mean")).first()
     mean, rates = suffix_rates(labelled)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.columns import picked
 from larkspur.runtime import ensure_importable, shared_dir
 
 #: Payloads of fewer bytes are never replaced by a revisit.
@@ -46,8 +47,8 @@ def _header(name: str, value: Column) -> Column:
 def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Write ``path``/payloads and ``path``/records."""
     ensure_importable(pages.sparkSession)
-    payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    pages = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), payload.alias("payload"))
+    payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
+    pages = picked(pages, page_id=page_id, url=url, html=html).select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     pages = pages.withColumn("sha256", F.sha2("payload", 256)).withColumn("payload_bytes", F.length("payload").cast("long"))
     # one row for each payload; equal ones meet on the map side first
     pages.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
