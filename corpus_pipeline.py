@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.columns import picked
 from larkspur.llm.mixing import mixed
 from larkspur.llm.ngram_join import ngram_join
 from larkspur.llm.packing import packed
@@ -18,22 +19,40 @@ from larkspur.runtime import shared_dir, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents, whatever other columns are called."""
+    return picked(docs, **{c: c for c in COLUMNS})
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier keeps."""
-    return quality_scores(docs).where("quality_kept").select(*COLUMNS)
+    """Documents that the weak-label classifier keeps.
+
+    Null and empty texts, and texts without words, go. Rows are judged one by one, so
+    rows that repeat stay or go together, and null or repeated ids change nothing but which
+    rows are drawn to train the scorer. An empty table gives an empty table. Only the
+    columns of documents are read and returned, so others can't clash."""
+    return quality_scores(_documents(docs)).where("quality_kept").select(*COLUMNS)
 
 
 def quality_line_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without the lines that failed."""
-    kept = quality_rules(docs).where("kept")
+    """Documents that the rules keep, without the lines that failed; n_chars is that of the text that stays.
+
+    Null and empty texts, and all of fewer words than the rules ask for, go. Rows are
+    judged one by one: repeated rows and null ids change nothing, and there are no ties. An
+    empty table gives an empty table. Only the columns of documents are read and returned."""
+    kept = quality_rules(_documents(docs)).where("kept")
     return kept.select("doc_id", F.col("cleaned_text").alias("text"), "lang", "source", F.length("cleaned_text").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at 0.8 on 5-grams: that of the smallest
-    id, null last. Rows are told apart by a key of their own, so rows without an
-    id, or with one that others have too, are grouped by their texts like all others."""
-    keyed = written(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    id, null last; of rows with that id, the first by a key of their own. Rows are told apart by
+    that key, so rows without an id, or with one that others have too, are grouped by their
+    texts like all others.
+
+    Null texts, and texts without words, are linked with nothing and stay. An empty table
+    gives an empty table. Only the columns of documents are read and returned."""
+    keyed = written(_documents(docs).withColumn("row_key", F.monotonically_increasing_id()), "keyed")
     groups = ngram_join(keyed, n=5, percent=80, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
     groups = written(groups.join(keyed.select("row_key", "doc_id"), "row_key"), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("first")
@@ -43,13 +62,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixed(docs.select(*COLUMNS))
+    """Documents as often as the mix takes them.
+
+    A null source is a source. Null and empty texts have size 0 and are taken at their
+    source's rate, or not at all where it has no words. Rows that repeat, and null and repeated
+    ids, are drawn one by one. An empty table gives an empty table. Only the columns of
+    documents are read and returned."""
+    return mixed(_documents(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces and their places in sequences."""
-    return packed(docs)
+    """Pieces and their places in sequences: the columns of ``packing.packed``.
+
+    Null text is the empty text: one piece of one token. Rows that repeat are packed as often
+    as they come, and null ids pass on. Pieces of one length are placed in the order of
+    the table. An empty table gives an empty table. Only id and text are read."""
+    return packed(_documents(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -60,7 +88,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packing),
 ]
 
-#: Trained scores, hashes and tokens aren't SQL; tests hold the stages against brute force.
+#: Trained scores, hashes and tokens aren't SQL. Tests hold rules, join and mixing against plain
+#: Python, the classifier against labels, packing against ids, places and bounds.
 ORACLE_SQL: str | None = None
 
 
