@@ -515,9 +515,10 @@ def _may_pair(percent: int):
 def _central_pairs(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Every set with the one nearest to the hub on each of its differences: one
     partner for each, after which most of a group is in one component."""
-    rows = _spread(_labelled(rows, labels), "hub", "gram")
+    rows = _labelled(rows, labels)
     own = ["x", "key", "label", "n", "d", "at", *PARITY]
-    best = rows.groupBy("hub", "gram").agg(F.min(F.struct(*own)).alias("best")).select("hub", "gram", *(F.col(f"best.{c}").alias(f"a_{c}") for c in own))
+    # differences within one component have no partner to find
+    best = rows.groupBy("hub", "gram").agg(F.min(F.struct(*own)).alias("best"), F.min("label").alias("x0"), F.max("label").alias("x1")).where("x0 < x1").select("hub", "gram", *(F.col(f"best.{c}").alias(f"a_{c}") for c in own))
     met = best.join(_other(rows, "hub", "gram"), ["hub", "gram"]).where(_may_pair(percent))
     return met.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
 
