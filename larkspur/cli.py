@@ -50,7 +50,7 @@ def run_scan(spark: SparkSession, a: argparse.Namespace) -> int:
     counts = counted(findings)
     if settings.incremental:
         saved_state.save(scanned.state, state_path)
-    return written_out(report.Report(findings, counts, facts, scanned.targets, began, datetime.now(UTC), settings.verbosity, home), settings.format, a.output)
+    return written_out(report.Report(findings, counts, facts, scanned.targets, began, datetime.now(UTC), settings.verbosity, home), settings.format, a.output or settings.output_path or None)
 
 
 def run_report(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -59,7 +59,7 @@ def run_report(spark: SparkSession, a: argparse.Namespace) -> int:
     findings = summaries.in_report_order(findings.withColumn("severity_rank", severity_rank(F.col("severity"))).withColumn("rule_id", F.lit(0))).cache()
     at = lambda name: datetime.fromisoformat(said[name]) if said[name] else datetime.fromtimestamp(0, UTC)
     facts = {k: said[k] or 0 for k in NO_FACTS}
-    return written_out(report.Report(findings, counted(findings), facts, list(said.targets_scanned or ()), at("started_at"), at("completed_at"), "verbose"), a.format, a.output)
+    return written_out(report.Report(findings, counted(findings), facts, [report.type_of(t) for t in said.targets_scanned or ()], at("started_at"), at("completed_at"), "verbose"), a.format, a.output)
 
 
 def main(argv: list[str] | None = None) -> int:

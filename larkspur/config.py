@@ -22,6 +22,17 @@ def in_home(path: str, home: str) -> str:
     return home if path == "~" else f"{home.rstrip('/')}/{path[2:]}" if path.startswith("~/") else path
 
 
+#: Tables of a settings file, and what their keys are called here.
+TABLES = {
+    "scan": {
+        "clipboard": "clipboard", "browser": "browser", "follow_symlinks": "follow_links", "max_file_size": "max_file_size", "max_depth": "max_depth", "dotfile_targets": "dotfiles",
+        "env_search_roots": "search_roots", "extra_paths": "extra_paths", "exclude_paths": "exclude_paths", "exclude_patterns": "exclude_patterns",
+    },
+    "detection": {"min_confidence": "min_confidence", "entropy_enabled": "use_entropy"},
+    "report": {"format": "format", "verbosity": "verbosity", "redact": "redact", "output_path": "output_path"},
+}
+
+
 class ConfigError(ValueError):
     """A setting that can't be read."""
 
@@ -51,6 +62,10 @@ class Settings:
     verbosity: str = "normal"
     redact: bool = True
     incremental: bool = True
+    output_path: str = ""
+    #: Read from files for the sake of shared ones; there are no such sources here.
+    clipboard: bool = False
+    browser: bool = False
 
     def merged(self, values: dict) -> Settings:
         """With the values that are given; unknown names are an error."""
@@ -67,10 +82,23 @@ class Settings:
             raise ConfigError("unknown format or verbosity")
         return replace(self, **own)
 
+    def from_file(self, values: dict) -> Settings:
+        """With the values of a settings file: flat ones, and those of the tables ``scan``, ``detection`` and
+        ``report``. Unknown keys of tables are left alone, as are unknown tables; confidences in tables are per cent."""
+        flat = {k: v for k, v in values.items() if not isinstance(v, dict)}
+        for table, names in TABLES.items():
+            own = values.get(table, {})
+            if not isinstance(own, dict):
+                raise ConfigError(f"{table} is not a table")
+            for key, name in names.items():
+                if key in own and not (key == "output_path" and own[key] == ""):
+                    flat[name] = min(1.0, own[key] / 100) if key == "min_confidence" else own[key]
+        return self.merged(flat)
+
     def at_home(self, home: str) -> Settings:
         """With ``~`` spelled out in all paths."""
         paths = ("dotfiles", "search_roots", "exclude_paths", "extra_paths")
-        return replace(self, **{k: tuple(in_home(p, home) for p in getattr(self, k)) for k in paths})
+        return replace(self, output_path=in_home(self.output_path, home), **{k: tuple(in_home(p, home) for p in getattr(self, k)) for k in paths})
 
 
 @dataclass
@@ -84,7 +112,7 @@ class Layers:
             if os.path.exists(path):
                 try:
                     with open(path, "rb") as f:
-                        s = s.merged(tomllib.load(f))
+                        s = s.from_file(tomllib.load(f))
                 except tomllib.TOMLDecodeError as e:
                     raise ConfigError(f"{path}: {e}") from e
         for name in ("min_confidence", "format", "verbosity", "max_file_size"):

@@ -29,15 +29,36 @@ REPORT = (
     "version string, scan struct<started_at:string,completed_at:string,files_scanned:bigint,files_cached:bigint,bytes_scanned:bigint,targets_scanned:array<string>>,"
     f"summary struct<critical:bigint,high:bigint,medium:bigint,low:bigint,info:bigint>, findings array<{FINDING}>"
 )
-#: Fixed values.
-SOURCE_TYPES = ("shell_history", "dotfile", "env_file", "cloud_config", "ssh_key", "application_config", "clipboard", "browser_storage")
+#: What reports call the sources.
+SOURCE_NAMES = {
+    "shell_history": "shell_history", "dotfile": "dotfile", "env_file": "env_file", "cloud_config": "cloud_config", "ssh_key": "ssh_key",
+    "application_config": "app_config", "clipboard": "clipboard", "browser_storage": "browser_storage",
+}
+#: Names that earlier reports of this library have.
+OLDER_NAMES = {"application_config": "application_config"}
+
+
+def source_name(source_type: Column) -> Column:
+    """What a report calls a source; sources of one's own keep their names."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in SOURCE_NAMES.items() for x in pair)), source_type), source_type)
+
+
+def source_type(name: Column) -> Column:
+    """The source that a report calls so, or null."""
+    back = {v: k for k, v in SOURCE_NAMES.items()} | OLDER_NAMES
+    return F.element_at(F.create_map(*(F.lit(x) for pair in back.items() for x in pair)), name)
+
+
+def type_of(name: str) -> str:
+    """``source_type`` for one name; unknown ones stay."""
+    return next((k for k, v in SOURCE_NAMES.items() if v == name), name)
 
 
 def finding_rows(findings: DataFrame) -> DataFrame:
-    """A JSON object for each finding; a report is written row by row."""
-    where = F.struct(F.col("path"), F.col("line_number").alias("line"), F.col("source_type"))
+    """A JSON object for each finding; a report is written row by row. A finding without a line has ``"line":null``."""
+    where = F.struct(F.col("path"), F.col("line_number").alias("line"), source_name(F.col("source_type")).alias("source_type"))
     row = F.struct("id", "secret_type", "severity", "confidence", "value", where.alias("location"), "description", "remediation")
-    return findings.select(F.to_json(row).alias("finding"))
+    return findings.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("finding"))
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
@@ -48,12 +69,11 @@ def write_findings(findings: DataFrame, path: str) -> None:
 def parse_findings(rows: DataFrame) -> DataFrame:
     """Rows of JSON -> findings; severity follows the confidence again, and
     findings with an unknown source or without the fields needed are dropped."""
-    f = F.from_json("finding", FINDING.replace("struct<id", "struct<id", 1))
-    rows = rows.select(f.alias("f")).select("f.*")
-    rows = rows.where("id is not null and confidence is not null and location.path is not null").where(F.col("location.source_type").isin(*SOURCE_TYPES))
+    rows = rows.select(F.from_json("finding", FINDING).alias("f")).select("f.*").withColumn("source_type", source_type(F.col("location.source_type")))
+    rows = rows.where("id is not null and confidence is not null and location.path is not null and source_type is not null")
     return rows.select(
         "id", "secret_type", scoring.severity(F.col("confidence")).alias("severity"), "confidence", "value",
-        F.col("location.path").alias("path"), F.col("location.line").alias("line_number"), F.col("location.source_type").alias("source_type"), "description", "remediation",
+        F.col("location.path").alias("path"), F.col("location.line").alias("line_number"), "source_type", "description", "remediation",
     )
 
 
@@ -101,7 +121,7 @@ class Report(NamedTuple):
 
 
 def json_report(r: Report) -> Iterator[str]:
-    scan = {"started_at": r.started_at.isoformat(), "completed_at": r.completed_at.isoformat(), **r.facts, "targets_scanned": r.targets}
+    scan = {"started_at": r.started_at.isoformat(), "completed_at": r.completed_at.isoformat(), **r.facts, "targets_scanned": [SOURCE_NAMES.get(t, t) for t in r.targets]}
     head = json.dumps({"version": VERSION, "scan": scan, "summary": r.counts}, indent=2)
     yield head.removesuffix("\n}") + ',\n  "findings": ['
     for k, row in enumerate(finding_rows(r.findings).toLocalIterator()):

@@ -177,6 +177,59 @@ def test_settings(tmp_path):
     assert (s.min_confidence, s.max_file_size, s.format, s.verbosity) == (1.0, 1000, "terminal", "quiet")
 
 
+def test_reports_keep_findings_of_all_sources(spark, tmp_path):
+    """Eight sources under the names of the format, a finding without a line, and the names of older reports."""
+    kind = "id string, secret_type string, severity string, confidence double, value string, path string, line_number int, source_type string, description string, remediation string"
+    rows = [(f"i{k}", "jwt", "high", 0.75, "v", f"/f{k}", k or None, t, "d", "r") for k, t in enumerate(report.SOURCE_NAMES)]
+    found = spark.createDataFrame(rows, kind)
+    docs = [json.loads(r.finding) for r in report.finding_rows(found).orderBy("finding").collect()]
+    assert {d["location"]["source_type"] for d in docs} == {"shell_history", "dotfile", "env_file", "cloud_config", "ssh_key", "app_config", "clipboard", "browser_storage"}
+    assert [d["location"]["line"] for d in docs] == [None, *range(1, 8)]
+    doc = {"version": "0.1.0", "scan": {"started_at": "2026-01-01T00:00:00+00:00", "completed_at": "2026-01-01T00:00:01+00:00", "files_scanned": 1, "bytes_scanned": 2, "targets_scanned": ["app_config", "dotfile"]}, "summary": {}, "findings": [*docs, docs[0] | {"id": "old", "location": {"path": "/x", "line": None, "source_type": "application_config"}}, docs[0] | {"location": {"path": "/x", "source_type": "nowhere"}}]}
+    path = str(tmp_path / "r.json")
+    open(path, "w").write(json.dumps(doc))
+    meta, back = report.read_report(spark, path)
+    got = {r.id: (r.source_type, r.line_number) for r in back.collect()}
+    assert got == {r[0]: (r[7], r[6]) for r in rows} | {"old": ("application_config", None)}
+    assert [report.type_of(t) for t in meta.first().targets_scanned] == ["application_config", "dotfile"]
+
+
+def test_settings_in_tables(tmp_path):
+    p = tmp_path / "c.toml"
+    p.write_text('''[scan]
+follow_symlinks = false
+max_file_size = "1MB"
+max_depth = 3
+dotfile_targets = ["~/.a"]
+env_search_roots = ["~/b"]
+extra_paths = ["~/c"]
+exclude_paths = ["~/d"]
+exclude_patterns = ["e"]
+unknown = 1
+[detection]
+min_confidence = 1
+entropy_enabled = false
+[report]
+format = "json"
+verbosity = "quiet"
+redact = false
+output_path = "~/out.json"
+[other]
+x = 1
+''')
+    s = Layers([str(p)], {}).load().at_home("/h")
+    assert (s.follow_links, s.max_file_size, s.max_depth, s.dotfiles, s.search_roots) == (False, 10**6, 3, ("/h/.a",), ("/h/b",))
+    assert (s.extra_paths, s.exclude_paths, s.exclude_patterns) == (("/h/c",), ("/h/d",), ("e",))
+    assert (s.min_confidence, s.use_entropy, s.format, s.verbosity, s.redact, s.output_path) == (0.01, False, "json", "quiet", False, "/h/out.json")
+    p.write_text('[detection]\nmin_confidence = 200\n[report]\noutput_path = ""\n')
+    s = Layers([str(p)], {}).load()
+    assert (s.min_confidence, s.output_path) == (1.0, "")
+    for bad in ("[report]\nformat = 'xml'", "scan = 3", "nonsense = 1"):
+        p.write_text(bad)
+        with pytest.raises(ConfigError):
+            Layers([str(p)], {}).load()
+
+
 def made(folder, **files):
     for name, body in files.items():
         path = folder / name
