@@ -5,6 +5,8 @@ Java patterns take the (?dU) flags: Unicode classes, and only \\n ends a line.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,11 +45,46 @@ def entropy(v: Column) -> Column:
     return F.aggregate(chars, F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _change(window: Column, following: Column) -> Column:
+    """What the sum of n log n over the characters of a window changes by when the
+    following character comes in and the first one goes: two terms, of their counts."""
+    terms = F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(WINDOW + 1)))
+    rest = F.substring(window, 2, WINDOW - 1)
+    times = lambda r, c: (WINDOW - 1) - F.length(F.replace(r, c, F.lit("")))
+    term = lambda n: F.get(terms, n)
+    grown = lambda n: term(n + 1) - term(n)
+    return _let(rest, lambda r: _let(times(r, following), grown) - _let(times(r, F.substring(window, 1, 1)), grown))
+
+
 def widest_entropy(v: Column) -> Column:
     """The largest entropy of the windows of WINDOW characters; of the whole
-    value if it has no more."""
-    windows = F.transform(F.sequence(F.lit(1), F.length(v) - (WINDOW - 1)), lambda i: F.substring(v, i, F.lit(WINDOW)))
-    return F.when(F.length(v) <= WINDOW, entropy(v)).otherwise(F.array_max(F.transform(windows, entropy)))
+    value if it has no more.
+
+    A window's entropy falls with the sum of n log n over its characters' counts. That
+    sum is rolled along the value by two terms a step; where it is least, the entropy is computed afresh,
+    so rounding errors of the steps don't add up in the result.
+    """
+    last = F.length(v) - WINDOW  # windows start at 1 to last + 1
+    places = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+    cut = lambda s, i, n: F.substring(s, i, F.lit(n)).cast("string")
+    steps = lambda s: F.transform(places, lambda i: _let(cut(s, i, WINDOW), lambda w: _change(w, cut(s, i + WINDOW, 1))))
+    # bytes are found by their places, characters by a search from the start
+    ascii_only = F.octet_length(v) == F.length(v)
+    changes = F.when(ascii_only, _let(F.encode(v, "UTF-8"), steps)).otherwise(steps(v))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("least"), F.lit(1).alias("at"), F.lit(1).alias("here"))
+
+    def step(s: Column, d: Column) -> Column:
+        total, here = s["sum"] + d, s["here"] + 1
+        less = total < s["least"]
+        return F.struct(total.alias("sum"), F.when(less, total).otherwise(s["least"]).alias("least"), F.when(less, here).otherwise(s["at"]).alias("at"), here.alias("here"))
+
+    best = F.aggregate(changes, start, step)["at"]
+    return F.when(F.length(v) <= WINDOW, entropy(v)).otherwise(_let(cut(v, best, WINDOW), entropy))
 
 
 def entropy_delta(v: Column) -> Column:

@@ -2,7 +2,7 @@
 
 A rule takes the first match in a line: its group 1, or all of it if the regex
 has no group. A regex is tried only on lines that hold one of the rule's
-literals; all regexes are literals of one projection, so each is compiled once
+literals, which are read off the regex where a rule names none; all regexes are literals of one projection, so each is compiled once
 and lines are read once. Rules whose regex can't be compiled are left out with a
 warning; the others keep their numbers.
 
@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions import scoring
+from larkspur.functions import literals, scoring
 from larkspur.functions.patterns import groups
 from larkspur.functions.rules import BUILT_IN, Rule, remediation
 from larkspur.functions.text import basename, fingerprint, redacted
@@ -45,23 +45,28 @@ class Signal(NamedTuple):
 
 
 def holds_literal(rule: Rule, line: Column) -> Column:
-    # ſ is an s to case-insensitive Unicode patterns
-    where = F.translate(F.lower(line), "ſ", "s") if rule.regex.startswith("(?i)") else line
-    out = F.lit(not rule.literals)  # a rule without literals is tried on every line
-    for literal in rule.literals:
-        out = out | F.contains(where, F.lit(literal))
+    """Whether a line may match: it holds one of the rule's literals, or, for a rule
+    without any, of the strings that its regex can't do without. If there are none,
+    the rule is tried on every line."""
+    strings, exactly = (rule.literals, not rule.regex.startswith("(?i)")) if rule.literals else literals.required(rule.regex)
+    where = line if exactly else literals.folded(line)
+    out = F.lit(not strings)
+    for s in strings:
+        out = out | F.contains(where, F.lit(s))
     return out
 
 
-def rule_matches(items: DataFrame, rules: Sequence[Rule] = BUILT_IN) -> DataFrame:
-    """Items with rule_id (from 1), rule and value: a row for each line and rule that match."""
+def rule_matches(items: DataFrame, rules: Sequence[Rule] = BUILT_IN, candidates: Column | None = None) -> DataFrame:
+    """Items with rule_id (from 1), rule and value: a row for each line and rule that match.
+    ``candidates``: the ids of the rules that are to be tried on a line, where they are known."""
     line, found = F.col("line"), []
     for k, r in enumerate(rules, 1):
         n = groups(scoring.FLAGS + r.regex)
         if n is None:
             warnings.warn(f"rule {r.name!r} is left out, its regex can't be compiled: {r.regex!r}", stacklevel=2)
             continue
-        value = F.when(holds_literal(r, line), F.regexp_extract(line, scoring.FLAGS + r.regex, min(n, 1)))
+        tried = holds_literal(r, line) if candidates is None else F.array_contains(candidates, k)
+        value = F.when(tried, F.regexp_extract(line, scoring.FLAGS + r.regex, min(n, 1)))
         found.append(F.struct(F.lit(k).alias("rule_id"), F.lit(r.name).alias("rule"), value.alias("value")))
     hits = F.array(*found) if found else F.array().cast("array<struct<rule_id:int,rule:string,value:string>>")
     hits = F.filter(hits, lambda x: x["value"] != "")

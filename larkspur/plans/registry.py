@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import scoring, text
-from larkspur.functions.rules import TOKEN_ASSIGNMENT
-from larkspur.operators import detect, ssh, state, summaries
+from larkspur.functions.rules import TOKEN_ASSIGNMENT, Rule
+from larkspur.operators import detect, line_index, ssh, state, summaries
 from larkspur.operators.lines import text_lines
 from larkspur.plans import corpus, sql
-from larkspur.runtime import table
+from larkspur.runtime import shared_dir, table
 from larkspur.sources import histories, report, structured
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -394,6 +395,58 @@ def scan_facts(spark, sf):
     return summaries.scan_facts(corpus.items(spark, sf).withColumn("source", F.col("source_type")).withColumn("cached", F.length("path") % 3 == 0))
 
 
+def _index(lines: DataFrame, name: str) -> str:
+    path = f"{shared_dir(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    line_index.add(lines, path)
+    return path
+
+
+@query(ORACLE_SQL["rule_match"])
+def indexed_match(spark, sf):
+    """All rules over lines that a trigram index has, each tried only where the index lets it."""
+    path = _index(corpus.items(spark, sf).select("path", "line_number", "line"), "line-index")
+    return line_index.indexed_matches(spark, path).select("path", "line_number", "rule_id", "rule", "value")
+
+
+#: Rules of one's own that documents match.
+NEW_RULES = (TOKEN_ASSIGNMENT, Rule("example-address", "address", 0.4, r"(?i)\b([a-z0-9._]+@mail[0-9]\.example\.com)", "Address", ()))
+
+
+@query(" union all ".join(f"select doc_id, cast(line_number as int) as line_number, '{r.name}' as rule, regexp_extract(line, {sql.text(r.regex)}, 1) as value from {_LINES} l where regexp_extract(line, {sql.text(r.regex)}, 1) <> ''" for r in NEW_RULES))
+def indexed_new_rules(spark, sf):
+    """Rules of one's own over an index of all documents."""
+    path = _index(_document_lines(spark, sf).select("doc_id", "line_number", "line"), "document-index")
+    return line_index.indexed_matches(spark, path, NEW_RULES).select("doc_id", "line_number", "rule", "value")
+
+
+#: Every ninth finding counts as one of a whole file, which has no line.
+_LINE = "case when line_number % 9 = 0 then null else line_number end"
+_NAME = "case source_type when 'application_config' then 'app_config' else source_type end"
+
+
+def _json_rows(spark, sf):
+    found = detect.findings(corpus.items(spark, sf)).withColumn("line_number", F.expr(_LINE))
+    return report.finding_rows(found)
+
+
+@query(f"select id, secret_type, severity, path, cast({_LINE} as string) as line, {_NAME} as source, value, description from {sql.findings()} f")
+def report_json_rows(spark, sf):
+    """The fields of the JSON that a report has for each finding."""
+    at = lambda name, key: F.get_json_object("finding", f"$.{key}").alias(name)
+    fields = (("id", "id"), ("secret_type", "secret_type"), ("severity", "severity"), ("path", "location.path"), ("line", "location.line"), ("source", "location.source_type"), ("value", "value"), ("description", "description"))
+    return _json_rows(spark, sf).select(*(at(*f) for f in fields))
+
+
+@query(f"select {_NAME} as name, source_type, count(*) as n, count_if({_LINE} is null) as n_without_line from {sql.findings()} f group by 1, 2")
+def source_names(spark, sf):
+    """What reports call the sources, written and read again; a finding without a line keeps the field, as null."""
+    rows = _json_rows(spark, sf)
+    name = F.get_json_object("finding", "$.location.source_type")
+    bare = F.contains("finding", F.lit('"line":null'))
+    named = rows.select(name.alias("name"), report.source_type(name).alias("source_type"), bare.alias("bare"))
+    return named.groupBy("name", "source_type").agg(F.count("*").alias("n"), F.count_if("bare").alias("n_without_line"))
+
+
 #: Names that queries had while a narrower one went by the plain name.
 for _name, _plain in (("entropy_window_all", "entropy_window"), ("report_order", "final_sort"), ("line_split_all", "line_split"), ("line_context_all", "line_context")):
     QUERIES[_name], ORACLE_SQL[_name] = QUERIES[_plain], ORACLE_SQL[_plain]
