@@ -50,7 +50,9 @@ def run_scan(spark: SparkSession, a: argparse.Namespace) -> int:
     counts = counted(findings)
     if settings.incremental:
         saved_state.save(scanned.state, state_path)
-    return written_out(report.Report(findings, counts, facts, scanned.targets, began, datetime.now(UTC), settings.verbosity, home), settings.format, a.output or settings.output_path or None)
+    shown = written_out(report.Report(findings, counts, facts, scanned.targets, began, datetime.now(UTC), settings.verbosity, home), settings.format, a.output or in_home(settings.output_path, home) or None)
+    scanned.close()
+    return shown
 
 
 def run_report(spark: SparkSession, a: argparse.Namespace) -> int:

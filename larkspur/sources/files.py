@@ -6,9 +6,7 @@ Files that are too large or binary are left out; text is UTF-8, else Latin-1.
 from __future__ import annotations
 
 import os
-import re
 import stat
-import warnings
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import summaries
 from larkspur.runtime import ensure_importable
+from larkspur.sources import tree
 
 MAX_BYTES = 10 * 1024 * 1024
 MAX_DEPTH = 10
@@ -43,82 +42,97 @@ def as_text(binary: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return rows.select(path.alias("path"), text.alias("text"), F.col("modificationTime").cast("long").alias("mtime"), F.col("length").alias("size"))
 
 
-ROWS = "path string, text string, mtime bigint, size bigint"
+LISTED = "path string, mtime bigint, size bigint"
+_LISTED = pa.schema([("path", pa.string()), ("mtime", pa.int64()), ("size", pa.int64())])
 
 
-def _read(max_bytes: int):
+def _stats(max_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for path in batch.column(0).to_pylist():
                 try:
                     info = os.stat(path)
-                    if not stat.S_ISREG(info.st_mode) or info.st_size > max_bytes:
-                        continue
-                    with open(path, "rb") as f:
-                        data = f.read()
                 except OSError:
                     continue  # gone or forbidden: no item
-                if b"\0" in data[:512]:
-                    continue
-                try:
-                    text = data.decode("utf-8")
-                except UnicodeDecodeError:
-                    text = data.decode("latin-1")
-                yield pa.RecordBatch.from_pydict({"path": [path], "text": [text], "mtime": [int(info.st_mtime)], "size": [info.st_size]})
+                if stat.S_ISREG(info.st_mode) and info.st_size <= max_bytes:
+                    rows.append((path, int(info.st_mtime), info.st_size))
+            columns = zip(*rows, strict=True) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LISTED, strict=True)], schema=_LISTED)
 
     return run
 
 
-def read_files(spark: SparkSession, paths: Iterable[str], max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The files of a list that exist, read by tasks from a mounted file system.
+def listed(spark: SparkSession, paths: Iterable[str], max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, mtime, size) of the files of a list that exist and aren't too large; none is opened."""
+    ensure_importable(spark)
+    rows = [(p,) for p in paths]
+    if not rows:
+        return spark.createDataFrame([], LISTED)
+    parts = min(len(rows), 4 * spark.sparkContext.defaultParallelism)
+    return spark.createDataFrame(rows, "path string").repartition(parts).mapInArrow(_stats(max_bytes), LISTED)
+
+
+def content(path: str, max_bytes: int) -> tuple[str, int, int] | None:
+    """(text, mtime, size) of one file, as it is when opened; None if it is gone, too large, no file or binary."""
+    try:
+        with open(path, "rb") as f:
+            info = os.fstat(f.fileno())
+            if not stat.S_ISREG(info.st_mode) or info.st_size > max_bytes:
+                return None
+            data = f.read()
+    except OSError:
+        return None
+    if b"\0" in data[:512]:
+        return None
+    try:
+        return data.decode("utf-8"), int(info.st_mtime), info.st_size
+    except UnicodeDecodeError:
+        return data.decode("latin-1"), int(info.st_mtime), info.st_size
+
+
+def _contents(names: list[str], max_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, path in enumerate(batch.column(0).to_pylist()):
+                if found := content(path, max_bytes):
+                    row = batch.slice(k, 1)
+                    own = [pa.array([v], t) for v, t in zip(found, (pa.string(), pa.int64(), pa.int64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*row.columns, *own], names=[*names, "text", "mtime", "size"])
+
+    return run
+
+
+def opened(listing: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The files of a listing, read by tasks from a mounted file system: their text, and time and
+    size as they are at that moment. Further columns are passed on.
 
     Spark's own file sources skip names that start with a dot, which is what
     most of these files have; ``as_text`` serves stores without such names.
     """
-    ensure_importable(spark)
-    rows = [(p,) for p in paths if os.path.isfile(p)]
-    if not rows:
-        return spark.createDataFrame([], ROWS)
-    return spark.createDataFrame(rows, "path string").repartition(min(len(rows), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(_read(max_bytes), ROWS)
-
-
-def env_paths(root: str, max_depth: int = MAX_DEPTH, folders: Iterable[str] = (), patterns: Iterable[str] = (), follow_links: bool = True) -> Iterator[str]:
-    """.env files below a folder; folders of dependencies, builds and excluded ones aren't entered, links only once on each way down."""
-    root = root.rstrip("/")
-    inside, held = [f.rstrip("/") for f in folders], []
-    for p in patterns:
-        try:
-            held.append(re.compile(p))
-        except re.error:
-            warnings.warn(f"not a pattern, left out: {p!r}", stacklevel=2)
-    out = lambda p: any(p == f or p.startswith(f + "/") for f in inside)
-
-    def enters(folder: str, name: str) -> bool:
-        path = f"{folder}/{name}"
-        if name in summaries.SKIPPED_FOLDERS or out(path):
-            return False
-        # a link to a folder above it would go round for ever
-        return not os.path.islink(path) or not f"{os.path.realpath(folder)}/".startswith(os.path.realpath(path) + "/")
-
-    for folder, below, names in os.walk(root, followlinks=follow_links):
-        depth = folder.count("/") - root.count("/")
-        below[:] = [d for d in sorted(below) if depth + 1 < max_depth and enters(folder, d)]
-        for name in sorted(names):
-            path = f"{folder}/{name}"
-            if (name == ".env" or name.startswith(".env.") or (name.endswith(".env") and len(name.encode()) > 4)) and not out(path) and not any(x.search(path) for x in held):
-                if follow_links or not os.path.islink(path):
-                    yield path
+    ensure_importable(listing.sparkSession)
+    names = ["path", *(c for c in listing.columns if c not in ("path", "text", "mtime", "size"))]
+    rows = listing.select(*names)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(_contents(names, max_bytes), f"{kinds}, text string, mtime bigint, size bigint")
+
+
+def read_files(spark: SparkSession, paths: Iterable[str], max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, text, mtime, size) of the files of a list that exist."""
+    return opened(listed(spark, paths, max_bytes), max_bytes).select("path", "text", "mtime", "size")
 
 
 def env_files(spark: SparkSession, roots: Iterable[str], max_bytes: int = MAX_BYTES, **walk) -> DataFrame:
-    """The .env files below those of the roots that are folders."""
-    return read_files(spark, dict.fromkeys(p for root in roots if os.path.isdir(root) for p in env_paths(root, **walk)), max_bytes)
+    """(path, mtime, size) of the .env files below those of the roots that are folders."""
+    walk = {"max_depth": MAX_DEPTH, "skipped": summaries.SKIPPED_FOLDERS} | walk
+    found = tree.walk(spark, roots, **walk).where(F.col("size") <= max_bytes)
+    return found.dropDuplicates(["path"])
 
 
 def targets(spark: SparkSession, home: str, table: tuple[tuple[str, str], ...], source_type: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Well-known files that exist, with the format of the table."""
     formats = F.create_map(*(F.lit(x) for p, f in table for x in (f"{home}/{p}", f)))
-    files = read_files(spark, [f"{home}/{p}" for p, _ in table], max_bytes)
+    files = listed(spark, [f"{home}/{p}" for p, _ in table], max_bytes)
     return files.withColumn("hint", F.element_at(formats, F.col("path"))).withColumn("source_type", F.lit(source_type))
 
 
