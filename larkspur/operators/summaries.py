@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.patterns import usable
 from larkspur.functions.scoring import FLAGS, RANK
-from larkspur.functions.text import below
 from larkspur.runtime import written
 
 SHOWN_FROM = {"quiet": 99, "normal": RANK["medium"], "verbose": 0}
@@ -65,11 +64,18 @@ def files_scanned(items: DataFrame) -> DataFrame:
     return items.groupBy("source_type").agg(F.countDistinct("path").alias("n")).agg(F.sum("n").cast("long").alias("files_scanned"))
 
 
+def ancestors(path: Column) -> Column:
+    """A path and all folders above it."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
 def excluded(path: Column, folders: list[str], patterns: list[str]) -> Column:
-    """Below one of the folders, or found by a pattern; patterns that can't be compiled are left out."""
-    out = F.lit(False)
-    for f in folders:
-        out = out | below(path, f)
+    """Below one of the folders, or found by a pattern; patterns that can't be compiled are left out.
+    A path's ancestors are looked up in the set of folders, so their number doesn't matter."""
+    out, names = F.lit(False), sorted({f.rstrip("/") for f in folders})
+    if names:
+        out = F.exists(ancestors(path), lambda a: a.isin(names))
     for p in usable([FLAGS + p for p in patterns]):
         out = out | path.rlike(p)
     return out

@@ -20,7 +20,8 @@ def ensure_importable(spark: SparkSession) -> None:
     take rows of whole documents in smaller batches unless the session says how.
 
     On a cluster the package is installed or sent with ``--py-files``; then
-    this entry of PYTHONPATH is one more place that is looked at.
+    this entry of PYTHONPATH is one more place that is looked at. The sizes of batches stay
+    set, for results are lazy and read them when they run; ``batches_as_before`` takes them back.
     """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
@@ -32,6 +33,13 @@ def ensure_importable(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def batches_as_before(spark: SparkSession) -> None:
+    """Take back the sizes of batches that ``ensure_importable`` has set, once results have been read."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) == value:
+            spark.conf.unset(key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 

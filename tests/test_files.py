@@ -3,11 +3,15 @@
 import os
 import random
 
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, Not, StringStartsWith
+from pyspark.sql.types import StructType
+
 from larkspur.config import Settings
 from larkspur.functions.rules import BUILT_IN
 from larkspur.operators import summaries
 from larkspur.plans.scan import SOURCES, scan
-from larkspur.sources import files, tree
+from larkspur.sources import file_source, files, tree
 
 
 def walked_by_hand(root, max_depth=10, folders=(), patterns=(), follow_links=True):
@@ -102,3 +106,54 @@ def test_scan_opens_only_new_files_and_agrees_with_itself(spark, tmp_path):
     assert (facts.files_scanned, facts.files_cached) == (3, 1)
     assert sorted(os.path.basename(r.path) for r in again.state.collect()) == ["a.env", "b.env", "c.env"]
     again.close()
+
+
+def test_excluded_folders_in_one_node(spark):
+    """Ten thousand folders are one set; whole names count, and the folder itself is out too."""
+    paths = ["/x/f77/a/b", "/x/f9999", "/x/f10000/a", "/x", "/y/x/f1", "/x/f7.log/z"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    out = df.select("path", summaries.excluded(F.col("path"), [f"/x/f{k}/" for k in range(10_000)], [r"\.log/"]).alias("out"))
+    assert [r.out for r in out.collect()] == [True, True, False, False, False, True]
+    assert "INSET" in out._jdf.queryExecution().toString() or "isin" in out._jdf.queryExecution().toString()
+    assert df.where(summaries.excluded(F.col("path"), ["/"], [])).count() == len(paths) and df.where(summaries.excluded(F.col("path"), [], [])).count() == 0
+
+
+def placed(tmp_path):
+    for name, body in (("a/.env", b"x=1\n"), ("a/.b/c.txt", b"caf\xe9"), ("old/d.txt", b"d"), ("bin", b"\0x"), ("large", b"z" * 5000), ("a/e.txt", "é\n".encode())):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+        os.utime(tmp_path / name, (100, 1000 if name == "old/d.txt" else 2000))
+    return str(tmp_path)
+
+
+def test_filters_decide_before_files_are_opened(tmp_path, monkeypatch):
+    root, opened, content = placed(tmp_path), [], files.content
+    monkeypatch.setattr(files, "content", lambda path, n: opened.append(os.path.relpath(path, root)) or content(path, n))
+
+    def run(filters=(), schema="path string, text string", **options):
+        opened.clear()
+        reader = file_source.FilesReader(StructType.fromDDL(schema), {"path": root, "max_bytes": "4000"} | options)
+        left = list(reader.pushFilters(list(filters)))
+        parts = reader.partitions()
+        rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        return {os.path.relpath(r["path"], root): r.get("text") for r in rows}, left, len(parts)
+
+    texts = {"a/.env": "x=1\n", "a/.b/c.txt": "café", "old/d.txt": "d", "a/e.txt": "é\n"}
+    assert run()[0] == texts and sorted(opened) == sorted([*texts, "bin"])
+    got, left, _ = run([Not(StringStartsWith(("path",), f"{root}/a/")), GreaterThan(("mtime",), 1500), EqualTo(("text",), "d")])
+    assert (got, opened, len(left)) == ({}, ["bin"], 1)
+    assert run(schema="path string, size bigint")[0].keys() == {*texts, "bin"} and opened == []
+    assert run(names="env")[0].keys() == {"a/.env"} and opened == ["a/.env"]
+    assert run(partition_bytes="1")[2] == 5 and run(max_depth="1")[0] == {} and run([GreaterThan(("size",), 3)])[0].keys() == {"a/.env", "a/.b/c.txt"}
+
+
+def test_files_as_a_format(spark, tmp_path):
+    root = placed(tmp_path)
+    file_source.register(spark)
+    df = spark.read.format(file_source.NAME).load(root)
+    name = lambda rows: sorted(os.path.relpath(r.path, root) for r in rows.collect())
+    assert name(df) == ["a/.b/c.txt", "a/.env", "a/e.txt", "large", "old/d.txt"]
+    later = df.where((F.col("mtime") > 1500) & ~F.col("path").startswith(f"{root}/a/.b") & (F.length("text") < 9))
+    assert name(later) == ["a/.env", "a/e.txt"]
+    assert spark.read.format(file_source.NAME).schema("path string, mtime bigint").load(root).count() == 6
+    assert df.where("false").count() == 0 and spark.read.format(file_source.NAME).load(f"{root}/none").count() == 0
