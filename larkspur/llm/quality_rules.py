@@ -56,6 +56,13 @@ BOILERPLATE = re.compile(
     "|todos los derechos reservados|política de privacidad|política de cookies|términos de uso|condiciones de uso|utiliza cookies"
     "|utilizamos cookies|javascript está desactivado|haz clic aquí|haga clic aquí|suscríbete a|volver arriba|saltar al contenido"
 )
+#: Every phrase above holds one of these, in lower case.
+FRAGMENTS = (
+    "rights reserved", "cookie", "privacy policy", "terms of", "javascript", "lorem ipsum", "click here", "sign up for", "log in to", "login to", "subscribe to our", "share this", "powered by", "back to top",
+    "skip to content", "licensed under the", "copyright", "©", "rechte vorbehalten", "datenschutzerkl", "nutzungsbedingungen", "hier klicken", "klicken sie hier", "newsletter abonnieren", "nach oben",
+    "zum seitenanfang", "zum inhalt springen", "droits r", "politique de confidentialit", "conditions d", "cliquez ici", "abonnez-vous", "retour en haut", "aller au contenu", "derechos reservados",
+    "tica de privacidad", "rminos de uso", "condiciones de uso", "clic aqu", "suscr", "volver arriba", "saltar al contenido",
+)
 RESULT = (
     "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,"
     "base_failed:boolean,kept:boolean,n_lines:bigint,n_lines_removed:bigint,n_words_removed:bigint,"
@@ -95,8 +102,13 @@ def phrase_words(text: str) -> int:
     return sum(min(words, PHRASE_WORDS * n) for n, words in hits)
 
 
-def line_fails(line: bytes, words: list[bytes]) -> str:
-    """Which kind of rule a line with words breaks, or ''."""
+def may_hold_phrase(text: str) -> bool:
+    """Whether a lower-case text can hold a boilerplate phrase at all: most texts can't."""
+    return any(f in text for f in FRAGMENTS)
+
+
+def line_fails(line: bytes, words: list[bytes], phrases: bool = True) -> str:
+    """Which kind of rule a line with words breaks, or ''; ``phrases``: whether it can hold one."""
     n = len(words)
     marks = sum(w in NAVIGATION_MARKS for w in words)
     if marks >= 2 and 5 * marks >= n:
@@ -109,6 +121,8 @@ def line_fails(line: bytes, words: list[bytes]) -> str:
     text = line.decode("utf-8", "replace").strip()
     if n < SHORT_LINE and not SENTENCE_END.search(text):
         return "punctuation"
+    if not phrases:
+        return ""
     text = text.lower()
     if BOILERPLATE.search(text) and 2 * phrase_words(text) > n:
         return "boilerplate"
@@ -124,6 +138,7 @@ def judge(data: bytes) -> tuple[tuple, list[bytes] | None]:
     symbols = len(data) - len(data.translate(None, SYMBOLS))
     repeat = repeated_words(words)
     lines = data.split(b"\n")
+    phrases = may_hold_phrase(data.decode("utf-8", "replace").lower())
     seen: set[bytes] = set()
     dup = removed = removed_words = 0
     lost = {"punctuation": 0, "navigation": 0, "boilerplate": 0}
@@ -134,7 +149,7 @@ def judge(data: bytes) -> tuple[tuple, list[bytes] | None]:
             if line in seen:
                 dup += 1
             seen.add(line)
-            if why := line_fails(line, own):
+            if why := line_fails(line, own, phrases):
                 lost[why] += 1
                 removed += 1
                 removed_words += len(own)

@@ -116,6 +116,18 @@ def test_boilerplate_has_one_measure_and_four_languages():
         assert fails(story * 3 + phrase) == "", phrase
 
 
+def test_every_phrase_holds_a_fragment():
+    for p in quality_rules.BOILERPLATE.pattern.split("|"):
+        for tried in (p, re.sub(r"\(\?:|\)|\\\\", "", p)):
+            for a, b in (("['’]", "'"), ("['’]", "’"), (" ?", ""), (" ?", " "), ("[12][0-9]{3}", "1999")):
+                tried = tried.replace(a, b)
+        if quality_rules.BOILERPLATE.search(tried):
+            assert quality_rules.may_hold_phrase(tried), p
+    for text in ("all rights reserved", "terms of use", "terms of service", "login to", "log in to", "share this post", "copyright (c)", "copyright ©", "© 2020", "©1999", "conditions d’utilisation", "conditions d'utilisation", *(f for f in FOREIGN if "[" not in f)):
+        assert quality_rules.BOILERPLATE.search(text) and quality_rules.may_hold_phrase(text), text
+    assert not quality_rules.may_hold_phrase("the river ran past the mill and on to the sea that day.")
+
+
 def odd_names(df):
     """Further columns whose names differ in case only, hold backticks and dots, or are those of results."""
     names = ["Kept", "__rules", "Main_Text", "a`b", "a.b", "TEXT", "Doc_Id", "rules", "c0", "r0", "Quality_Score", "MIX_size", "source "]
