@@ -77,11 +77,64 @@ def parse_findings(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Findings are elements of an array in an object: indented by four.
+INDENT = "    "
+
+
+def _own_lines(lines: DataFrame) -> DataFrame:
+    return lines.where(F.col("value").startswith(INDENT + "{") & (F.length("value") > len(INDENT) + 1))
+
+
 def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(metadata, findings) of a saved single-document report."""
-    doc = spark.read.schema(REPORT).option("multiLine", True).json(path)
+    """(metadata, findings) of a saved single-document report.
+
+    Reports with a finding on each line, as they are written here, and indented ones are read in
+    parallel, finding by finding, however large they are; of their other lines few are
+    left. Any other layout is read as one row.
+    """
+    lines = spark.read.text(path)
+    rows = None
+    if _own_lines(lines).head(1):
+        rows = _own_lines(lines).select(F.rtrim("value", F.lit(",")).alias("finding"))
+        rest = lines.where(~F.col("value").startswith(INDENT + "{"))
+    elif lines.where(F.col("value") == INDENT + "{").head(1):
+        # an element ends with a brace at its own depth; strings hold no raw line ends
+        parts = spark.read.option("lineSep", f"\n{INDENT}}}").text(path)
+        parts = parts.where(F.contains("value", F.lit(f"\n{INDENT}{{")))
+        rows = parts.select(F.concat(F.lit("{"), F.substring_index("value", f"\n{INDENT}{{", -1), F.lit("}")).alias("finding"))
+        deeper = F.col("value").rlike(r"^ {8}|^ {4}[{}]|^ {6}([}]|\x22[a-z_]+\x22:)")
+        rest = lines.where(~deeper)
+    if rows is None:
+        doc = spark.read.schema(REPORT).option("multiLine", True).json(path)
+        rows = doc.select(F.explode("findings").alias("f")).select(F.to_json("f").alias("finding"))
+    else:
+        head = "\n".join(r.value for r in rest.collect())  # the lines of the document that aren't findings
+        doc = spark.createDataFrame([(head,)], "value string").select(F.from_json("value", REPORT).alias("d")).select("d.*")
     meta = doc.select("version", "scan.*", "summary").withColumn("files_cached", F.coalesce("files_cached", F.lit(0)))
-    return meta, parse_findings(doc.select(F.explode("findings").alias("f")).select(F.to_json("f").alias("finding")))
+    return meta, parse_findings(rows)
+
+
+def write_report(r: Report, path: str) -> None:
+    """A report by tasks: ``path``/findings has its parts in report order, a finding on each line, and
+    ``path``/head the rest of the document. ``joined`` makes one document of them."""
+    spark = r.findings.sparkSession
+    finding_rows(r.findings).write.text(f"{path}/findings")
+    head, _ = _around(r)
+    spark.createDataFrame([(head,)], "head string").coalesce(1).write.parquet(f"{path}/head")
+
+
+def joined(spark: SparkSession, path: str) -> Iterator[str]:
+    """The document of a report written by tasks, part after part."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(f"{path}/findings")
+    parts = sorted(str(x.getPath()) for x in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root) if x.getPath().getName().startswith("part-"))
+    yield spark.read.parquet(f"{path}/head").first().head
+    first = True
+    for part in parts:
+        for row in spark.read.text(part).toLocalIterator():
+            yield ("" if first else ",") + f"\n{INDENT}" + row.value
+            first = False
+    yield END
 
 
 def label(name: Column) -> Column:
@@ -120,13 +173,22 @@ class Report(NamedTuple):
         return (self.completed_at - self.started_at).total_seconds()
 
 
-def json_report(r: Report) -> Iterator[str]:
+END = "\n  ]\n}\n"
+
+
+def _around(r: Report) -> tuple[str, str]:
+    """What comes before and after the findings of a document."""
     scan = {"started_at": r.started_at.isoformat(), "completed_at": r.completed_at.isoformat(), **r.facts, "targets_scanned": [SOURCE_NAMES.get(t, t) for t in r.targets]}
     head = json.dumps({"version": VERSION, "scan": scan, "summary": r.counts}, indent=2)
-    yield head.removesuffix("\n}") + ',\n  "findings": ['
+    return head.removesuffix("\n}") + ',\n  "findings": [', END
+
+
+def json_report(r: Report) -> Iterator[str]:
+    head, end = _around(r)
+    yield head
     for k, row in enumerate(finding_rows(r.findings).toLocalIterator()):
-        yield ("," if k else "") + "\n    " + row.finding
-    yield "\n  ]\n}\n"
+        yield ("," if k else "") + f"\n{INDENT}" + row.finding
+    yield end
 
 
 def terminal_report(r: Report) -> Iterator[str]:

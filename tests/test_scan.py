@@ -5,6 +5,7 @@ import random
 import re
 import stat
 import time
+from datetime import UTC, datetime
 
 import duckdb
 import pytest
@@ -194,6 +195,33 @@ def test_reports_keep_findings_of_all_sources(spark, tmp_path):
     assert [report.type_of(t) for t in meta.first().targets_scanned] == ["application_config", "dotfile"]
 
 
+def test_reports_are_read_and_written_by_tasks(spark, tmp_path):
+    """One finding a line, indented, sorted keys, and all on one line: the same findings and metadata."""
+    lines = [f"export K{k}=AKIAQZXCWSREDFVTGBY{'ABCDEFGH'[k % 8]}" for k in range(40)] + ['x = "sk_live_' + "a1" * 14 + '", {"y": [1]},', "    },", "    {"]
+    found = summaries.in_report_order(detect.findings(items(spark, *lines, path="/a {b}, c")))
+    at = datetime(2026, 1, 1, tzinfo=UTC)
+    r = report.Report(found, {"critical": 40, "high": 0, "medium": 1, "low": 0, "info": 0}, {"files_scanned": 1, "files_cached": 0, "bytes_scanned": 9}, ["dotfile", "application_config"], at, at)
+    report.write_report(r, str(tmp_path / "parts"))
+    text_ = "".join(report.joined(spark, str(tmp_path / "parts")))
+    assert text_ == "".join(report.json_report(r)) and len(os.listdir(tmp_path / "parts/findings")) > 1
+    doc = json.loads(text_)
+    want = [(f["id"], f["location"]["line"], f["value"], f["description"]) for f in doc["findings"]]
+    assert len(want) == found.count() > 40
+    layouts = {"own": text_, "indented": json.dumps(doc, indent=2), "sorted": json.dumps(doc, indent=2, sort_keys=True), "line": json.dumps(doc), "wide": json.dumps(doc, indent=7)}
+    for name, body in layouts.items():
+        path = str(tmp_path / f"{name}.json")
+        open(path, "w").write(body)
+        meta, back = report.read_report(spark, path)
+        got = back.collect()
+        assert sorted((x.id, x.line_number, x.value, x.description) for x in got) == sorted(want), name
+        m = meta.first()
+        assert (m.version, m.files_scanned, list(m.targets_scanned), m.summary.critical) == ("0.1.0", 1, ["dotfile", "app_config"], 40), name
+    empty = str(tmp_path / "empty.json")
+    open(empty, "w").write(json.dumps(doc | {"findings": []}, indent=2))
+    meta, back = report.read_report(spark, empty)
+    assert back.count() == 0 and meta.first().files_scanned == 1
+
+
 def test_settings_in_tables(tmp_path):
     p = tmp_path / "c.toml"
     p.write_text('''[scan]
