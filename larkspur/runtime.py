@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,10 +67,29 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _RUNS:
+        _RUNS[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_RUNS: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete what is ``written`` inside, once it is over: the intermediate tables of operators, whose
+    results are lazy and must have been written or read by then. Outside of it, they stay."""
+    own: list[str] = []
+    _RUNS.append(own)
+    try:
+        yield
+    finally:
+        _RUNS.remove(own)
+        for path in own:
+            removed(spark, path)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate tables, wherever it is."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, Not, StringStartsWith
 from pyspark.sql.types import StructType
 
+from larkspur import runtime
 from larkspur.config import Settings
 from larkspur.functions.rules import BUILT_IN
 from larkspur.operators import summaries
@@ -157,3 +158,21 @@ def test_files_as_a_format(spark, tmp_path):
     assert name(later) == ["a/.env", "a/e.txt"]
     assert spark.read.format(file_source.NAME).schema("path string, mtime bigint").load(root).count() == 6
     assert df.where("false").count() == 0 and spark.read.format(file_source.NAME).load(f"{root}/none").count() == 0
+
+
+def test_intermediate_tables_go_with_their_run(spark):
+    folder = runtime.shared_dir(spark).removeprefix("file:")
+    names = lambda: {n for n in os.listdir(folder) if n.startswith("gone-")}
+    with runtime.temporary(spark):
+        assert runtime.written(spark.range(3), "gone").count() == 3 and len(names()) == 1
+        with runtime.temporary(spark):
+            runtime.written(spark.range(3), "gone")
+        assert len(names()) == 1
+    assert names() == set()
+    runtime.written(spark.range(3), "gone")
+    assert len(names()) == 1
+    set_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None)
+    runtime.ensure_importable(spark)
+    runtime.batches_as_before(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") in (set_before, "10000")
+    runtime.ensure_importable(spark)
