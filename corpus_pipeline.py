@@ -14,7 +14,7 @@ from larkspur.llm.ngram_join import ngram_join
 from larkspur.llm.packing import packed
 from larkspur.llm.quality_model import quality_scores
 from larkspur.llm.quality_rules import quality_rules
-from larkspur.runtime import shared_dir, written
+from larkspur.runtime import shared_dir, temporary, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -94,10 +94,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written and read again."""
+    """All stages over ``documents``; each is written and read again, and its intermediate tables go."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
