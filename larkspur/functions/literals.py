@@ -43,7 +43,9 @@ def fold(s: str) -> str:
 def folded(line: Column) -> Column:
     """``fold`` as a column; İ lower-cases to i and a dot above, which goes."""
     letters = [k for k, v in ALIKE.items() if v] + [k for k, v in ALIKE.items() if not v]
-    return F.translate(F.lower(line), "".join(letters), "".join(v for v in ALIKE.values() if v))
+    lower = F.lower(line)
+    # ASCII lines, which are most, hold none of those letters
+    return F.when(F.octet_length(line) == F.length(line), lower).otherwise(F.translate(lower, "".join(letters), "".join(v for v in ALIKE.values() if v)))
 
 
 class Part(NamedTuple):

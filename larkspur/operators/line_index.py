@@ -20,21 +20,26 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.literals import Condition, folded, trigrams
 from larkspur.functions.rules import BUILT_IN, Rule
 from larkspur.operators.detect import rule_matches
-from larkspur.runtime import written
+from larkspur.runtime import ensure_importable, written
 
 #: Lines of a block: a posting has at most so many.
 BLOCK = 1 << 14
 #: Blocks in a folder of lines, and folders of postings.
 FOLDER, BUCKETS = 1 << 8, 64
 GRAM = 3
+#: Bytes of lines whose grams a task sorts at once.
+MOST_BYTES = 1 << 21
 #: Grams of an alternative that are looked up.
 RAREST = 3
 #: Folders of lines that are broadcast at most.
@@ -45,11 +50,39 @@ def bucket(gram: str) -> int:
     return zlib.crc32(gram.encode()) % BUCKETS
 
 
-def grams(line: Column) -> Column:
-    """The distinct trigrams of a folded line."""
-    f = folded(line)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(f) - (GRAM - 1), F.lit(1))), lambda i: F.length(f) >= GRAM)
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(f, i, F.lit(GRAM))))
+def _of_lines(rows: pa.Table) -> pa.RecordBatch | None:
+    """(gram, block, places) of lines, each gram of a line once: windows of three letters, sorted by gram."""
+    lengths = pc.utf8_length(rows["folded"]).to_numpy()
+    letters = np.frombuffer("".join(rows["folded"].to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
+    line = np.repeat(np.arange(len(lengths)), lengths)
+    inside = line[: 1 - GRAM] == line[GRAM - 1 :]
+    gram = np.bitwise_or.reduce([letters[k : len(letters) - GRAM + 1 + k] << 21 * (GRAM - 1 - k) for k in range(GRAM)])[inside] if inside.any() else letters[:0]
+    if not len(gram):
+        return None
+    order = np.argsort(gram, kind="stable")
+    gram, line = gram[order], line[: 1 - GRAM][inside][order]
+    block = rows["block"].to_numpy()[line]
+    differs = lambda *columns: np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+    once = differs(gram, line)
+    gram, line, block = gram[once], line[once], block[once]
+    starts = np.flatnonzero(differs(gram, block))
+    spelled = np.stack([gram[starts] >> 21 * (GRAM - 1 - k) & (1 << 21) - 1 for k in range(GRAM)], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(gram)), pa.int32()), pa.array(rows["place"].to_numpy()[line], pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array([spelled[k : k + GRAM] for k in range(0, len(spelled), GRAM)], pa.string()), pa.array(block[starts], pa.int64()), places], ["gram", "block", "places"])
+
+
+def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of the lines (folded, block, place) of a task, for each MOST_BYTES of lines."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= MOST_BYTES:
+            if (out := _of_lines(pa.Table.from_batches(held))) is not None:
+                yield out
+            held, n = [], 0
+    if held and (out := _of_lines(pa.Table.from_batches(held))) is not None:
+        yield out
 
 
 def add(lines: DataFrame, path: str) -> str:
@@ -63,12 +96,15 @@ def add(lines: DataFrame, path: str) -> str:
     numbered = lines.where(F.col("line").isNotNull()).withColumn("at", at).withColumn("block", F.shiftright("at", BLOCK.bit_length() - 1))
     numbered.withColumn("folder", F.floor(F.col("block") / FOLDER)).write.partitionBy("folder").parquet(f"{path}/lines/segment={segment}")
     stored = spark.read.parquet(f"{path}/lines/segment={segment}")
-    postings = stored.select("block", F.col("at").bitwiseAND(BLOCK - 1).cast("int").alias("place"), F.explode(grams(F.col("line"))).alias("gram"))
-    # equal grams of a block meet in the task that reads it before anything is shuffled
-    postings = postings.groupBy("gram", "block").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    by = ["bucket", "gram", "block"]
-    postings = postings.withColumn("bucket", (F.crc32("gram") % BUCKETS).cast("int")).repartitionByRange(*by).sortWithinPartitions(*by)
-    postings.write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    ensure_importable(spark)
+    asked = stored.select(folded(F.col("line")).alias("folded"), "block", F.col("at").bitwiseAND(BLOCK - 1).cast("int").alias("place"))
+    # equal grams of a block meet in the task that reads it before anything is shuffled; a shuffle by
+    # bucket and folder brings together blocks that more than one task has read
+    parts = asked.mapInArrow(postings, "gram string, block bigint, places array<int>")
+    parts = parts.withColumn("bucket", (F.crc32("gram") % BUCKETS).cast("int")).withColumn("of", F.floor(F.col("block") / FOLDER)).repartition("bucket", "of")
+    whole = parts.groupBy("bucket", "of", "gram", "block").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places")).drop("of")
+    whole = whole.sortWithinPartitions("bucket", "gram", "block")
+    whole.write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
     spark.createDataFrame([(segment,)], "name string").coalesce(1).write.mode("append").parquet(f"{path}/whole")
     return segment
 

@@ -188,3 +188,20 @@ def test_rolling_entropy_takes_milliseconds(spark):
     began = time.time()
     run()
     assert (time.time() - began) / len(rows) < 0.05
+
+
+def test_index_of_long_lines_takes_time_in_proportion(spark, tmp_path):
+    """Lines of 4,000 letters: folded once, not once for each of their trigrams; all postings are those by hand."""
+    import time
+
+    r = random.Random(5)
+    rows = [(k, "".join(r.choices("abcdeé💡 K", k=4000))) for k in range(2000)] + [(2000, ""), (2001, "ab"), (2002, "abc"), (2003, None)]
+    lines = spark.createDataFrame(rows, "k int, line string").repartition(3)
+    began = time.time()
+    line_index.add(lines, str(tmp_path / "index"))
+    assert time.time() - began < 30
+    stored = {(x.block, x.at % line_index.BLOCK): x.line for x in spark.read.parquet(str(tmp_path / "index/lines")).collect()}
+    postings = spark.read.parquet(str(tmp_path / "index/postings"))
+    assert postings.count() == postings.select("gram", "block").distinct().count()
+    got = {(x.gram, x.block, place) for x in postings.where("gram in ('abc', 'é💡 ', 'k k')").collect() for place in x.places}
+    assert got == {(g, block, place) for (block, place), line in stored.items() for g in ("abc", "é💡 ", "k k") if g in literals.fold(line)}
