@@ -44,12 +44,12 @@ class Signal(NamedTuple):
     fires: Callable[[Match], Column]
 
 
-def holds_literal(rule: Rule, line: Column) -> Column:
+def holds_literal(rule: Rule, line: Column, folded: Column | None = None) -> Column:
     """Whether a line may match: it holds one of the rule's literals, or, for a rule
     without any, of the strings that its regex can't do without. If there are none,
-    the rule is tried on every line."""
+    the rule is tried on every line. ``folded``: the folded line, where it is known."""
     strings, exactly = (rule.literals, not rule.regex.startswith("(?i)")) if rule.literals else literals.required(rule.regex)
-    where = line if exactly else literals.folded(line)
+    where = line if exactly else literals.folded(line) if folded is None else folded
     out = F.lit(not strings)
     for s in strings:
         out = out | F.contains(where, F.lit(s))
@@ -59,18 +59,33 @@ def holds_literal(rule: Rule, line: Column) -> Column:
 def rule_matches(items: DataFrame, rules: Sequence[Rule] = BUILT_IN, candidates: Column | None = None) -> DataFrame:
     """Items with rule_id (from 1), rule and value: a row for each line and rule that match.
     ``candidates``: the ids of the rules that are to be tried on a line, where they are known."""
-    line, found = F.col("line"), []
+    line, usable = F.col("line"), {}
     for k, r in enumerate(rules, 1):
         n = groups(scoring.FLAGS + r.regex)
         if n is None:
             warnings.warn(f"rule {r.name!r} is left out, its regex can't be compiled: {r.regex!r}", stacklevel=2)
             continue
-        tried = holds_literal(r, line) if candidates is None else F.array_contains(candidates, k)
-        value = F.when(tried, F.regexp_extract(line, scoring.FLAGS + r.regex, min(n, 1)))
-        found.append(F.struct(F.lit(k).alias("rule_id"), F.lit(r.name).alias("rule"), value.alias("value")))
-    hits = F.array(*found) if found else F.array().cast("array<struct<rule_id:int,rule:string,value:string>>")
-    hits = F.filter(hits, lambda x: x["value"] != "")
-    return items.withColumn("hit", F.explode(hits)).select(*items.columns, "hit.*")
+        usable[k] = (r, min(n, 1))
+    if candidates is None:
+        # the line is folded once, compiled code looks for all literals, and only the rules that it may match go on
+        ids = [F.when(holds_literal(r, line, F.col("__folded")), F.lit(k)) for k, (r, _) in usable.items()]
+        tried = items.withColumn("__folded", literals.folded(line)).select(*items.columns, F.array(*ids).cast("array<int>").alias("__tried"))
+        candidates = F.col("__tried")
+    else:
+        tried = items
+    # outer, for a filter on empty arrays would look for all literals once more
+    tried = tried.select(*items.columns, F.explode_outer(candidates).alias("rule_id")).where(F.col("rule_id").isin(list(usable)))
+
+    def value(k: Column) -> Column:
+        out = F
+        for at, (r, n) in usable.items():
+            out = out.when(k == at, F.regexp_extract(line, scoring.FLAGS + r.regex, n))
+        return out if usable else F.lit(None).cast("string")
+
+    # inside of a function of arrays only the regex of the row's own rule is read, and none is part of the compiled code
+    hits = F.filter(F.transform(F.array("rule_id"), value), lambda v: v != "")
+    of_rule = F.element_at(F.array(*(F.lit(r.name) for r in rules)), F.col("rule_id"))
+    return tried.select(*items.columns, "rule_id", of_rule.alias("rule"), F.explode(hits).alias("value"))
 
 
 def scored(
