@@ -6,10 +6,15 @@ Java patterns take the (?dU) flags: Unicode classes, and only \\n ends a line.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larkspur.functions import literals
+
 FLAGS = "(?dU)"
 # Thresholds and lengths of the entropy test.
 ENTROPY_LIMITS = {"hex": (3.0, 32), "base64": (4.5, 20), "alphanumeric": (4.0, 16)}
@@ -41,8 +46,8 @@ def entropy(v: Column) -> Column:
     """Bits per character, summed in character order."""
     n = F.length(v)
     share = lambda c: (n - F.length(F.replace(v, c, F.lit("")))) / n
-    chars = F.array_sort(F.array_distinct(F.filter(F.split(v, ""), lambda c: c != "")))
-    return F.aggregate(chars, F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
+    chars = F.sort_array(F.array_distinct(F.filter(F.split(v, ""), lambda c: c != "")))
+    return F.aggregate(F.transform(chars, share), F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
 
 def _let(value: Column, f) -> Column:
@@ -101,13 +106,23 @@ def context_text(before: Column, after: Column) -> Column:
     return F.array_join(F.slice(F.concat(before, after), 1, 3), "\x01")
 
 
+def found(c: Column, regex: str, strings: Sequence[str] = ()) -> Column:
+    """Whether a context pattern is found; it is tried only where the folded text holds one of ``strings``, or,
+    if there are none, of the strings that the pattern can't do without."""
+    strings = strings or literals.required(regex)[0]
+    tried = c.rlike(FLAGS + regex)
+    if not strings:
+        return tried
+    return _let(literals.folded(c), lambda f: reduce(or_, (F.contains(f, F.lit(s)) for s in strings))) & tried
+
+
 def signals(value: Column, line: Column, before: Column, after: Column, name: Column) -> list[tuple[str, Column]]:
     """(name, whether it fires) of each context signal, in order."""
-    on = lambda c, signal: c.rlike(FLAGS + signal[1])
+    on = lambda c, signal: found(c, signal[1])
     at = F.instr(line, value)
     slash = (F.substring(line, at - 1, F.lit(1)) == "/") & (at > 1) | (F.substring(line, at + F.length(value), F.lit(1)) == "/")
     return [
-        ("key_value", on(line, KEY_VALUE)),
+        ("key_value", found(line, KEY_VALUE[1], "=:")),
         ("keyword", on(line, KEYWORD) | on(context_text(before, after), KEYWORD)),
         ("file_name", on(name, FILE_NAME)),
         ("assignment", on(line, ASSIGNMENT)),

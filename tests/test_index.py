@@ -205,3 +205,19 @@ def test_index_of_long_lines_takes_time_in_proportion(spark, tmp_path):
     assert postings.count() == postings.select("gram", "block").distinct().count()
     got = {(x.gram, x.block, place) for x in postings.where("gram in ('abc', 'é💡 ', 'k k')").collect() for place in x.places}
     assert got == {(g, block, place) for (block, place), line in stored.items() for g in ("abc", "é💡 ", "k k") if g in literals.fold(line)}
+
+
+def test_rules_are_tried_in_time_on_lines_that_hold_no_literal(spark):
+    """A line is folded once for all rules, and no row of a rule is made where the line holds none of its strings."""
+    plan = detect.rule_matches(corpus.items(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
+
+
+def test_context_patterns_are_tried_only_where_their_strings_are(spark):
+    lines = ["a" * 3000, "key: v", "KEY = v", '"a": "b"', "ſECRET", "TOKEN", "toKen", "", None, "AUTHORİZATION", "export x", "ſet a=b", "x = y", "Teſt", "<a>", "TODO", "your_", "plain", "sha256:ab"]
+    df = spark.createDataFrame([(s,) for s in lines], "s string")
+    for _, regex in (scoring.KEY_VALUE, scoring.KEYWORD, scoring.ASSIGNMENT, scoring.PLACEHOLDER, scoring.VERSION_HASH):
+        strings = "=:" if regex == scoring.KEY_VALUE[1] else ()
+        rows = df.select("s", scoring.found(F.col("s"), regex, strings).alias("got"), F.col("s").rlike(scoring.FLAGS + regex).alias("expected")).collect()
+        assert [r.got for r in rows] == [r.expected for r in rows]
+        assert any(r.got for r in rows)
