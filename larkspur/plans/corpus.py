@@ -75,22 +75,23 @@ NAMES = ("/.env", "/deploy.sh", "/credentials", "/app.py", "/notes.txt", "/.env.
 SOURCE_TYPES = ("env_file", "dotfile", "cloud_config", "dotfile", "dotfile", "env_file", "application_config")
 
 
-def _columns(engine: str) -> tuple[list[str], list[str]]:
-    """SELECT lists over ``orders``, and over the first one's result: (k, path, source_type, line)."""
-    case = lambda values: " ".join(f"when {k} then {v}" for k, v in enumerate(values))
-    quoted = lambda values: [f"'{v}'" for v in values]
-    first = [
-        "o_orderkey as k", "md5(cast(o_orderkey as string)) as h",
-        ("sha2(cast(o_orderkey as string), 256)" if engine == "spark" else "sha256(cast(o_orderkey as string))") + " as s",
-        f"case o_orderkey % {len(NAMES)} {case(quoted(SOURCE_TYPES))} end as source_type",
-        f"'/home/u' || cast(o_custkey as string) || case o_orderkey % {len(NAMES)} {case(quoted(NAMES))} end as path",
-    ]
-    return first, ["k", "source_type", "path", f"case k % {len(SHAPES)} {case(SHAPES)} end as line"]
+def _case(key: str, values) -> str:
+    return f"case {key} % {len(values)} " + " ".join(f"when {k} then {v}" for k, v in enumerate(values)) + " end"
+
+
+#: SQL of a key's file, the same in both engines.
+PLACE = (
+    _case("o_orderkey", [f"'{v}'" for v in SOURCE_TYPES]) + " as source_type",
+    "'/home/u' || cast(o_custkey as string) || " + _case("o_orderkey", [f"'{v}'" for v in NAMES]) + " as path",
+)
+#: SQL of a key's line.
+LINE = _case("k", SHAPES)
 
 
 def items_sql() -> str:
     """DuckDB's lines with context, by windows."""
-    first, second = _columns("duckdb")
+    first = ["o_orderkey as k", "md5(cast(o_orderkey as string)) as h", "sha256(cast(o_orderkey as string)) as s", *PLACE]
+    second = ["k", "source_type", "path", f"{LINE} as line"]
     frame = lambda a, b: f"coalesce(list(line) over (partition by path order by k rows between {a} and {b}), [])"
     return f"""
     select path, source_type, k, cast(row_number() over (partition by path order by k) as int) as line_number, line,
@@ -99,10 +100,17 @@ def items_sql() -> str:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, source_type, rows): the lines of each path, as array<struct<k, line>>."""
-    first, second = _columns("spark")
-    made = table(spark, sf_dir, "orders").selectExpr(*first).selectExpr(*second)
-    return made.groupBy("path", "source_type").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("rows"))
+    """(path, source_type, rows): the lines of each path, as array<struct<k, line>>.
+
+    Only keys are shuffled and sorted; their lines are made in the arrays, where of the many
+    shapes the one that is asked for is read, and none is part of the compiled code.
+    """
+    keys = table(spark, sf_dir, "orders").selectExpr("o_orderkey as k", *PLACE)
+    # by a number of its own: keys are few bytes, and Spark would join their partitions for fewer tasks than there are cores
+    keys = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    keys = keys.groupBy("path", "source_type").agg(F.sort_array(F.collect_list(F.struct("k")))["k"].alias("keys"))
+    line = f"get(transform(array(md5(cast(k as string))), h -> get(transform(array(sha2(cast(k as string), 256)), s -> {LINE}), 0)), 0)"
+    return keys.select("path", "source_type", F.expr(f"transform(keys, k -> named_struct('k', k, 'line', {line}))").alias("rows"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,3 +221,9 @@ def test_context_patterns_are_tried_only_where_their_strings_are(spark):
         rows = df.select("s", scoring.found(F.col("s"), regex, strings).alias("got"), F.col("s").rlike(scoring.FLAGS + regex).alias("expected")).collect()
         assert [r.got for r in rows] == [r.expected for r in rows]
         assert any(r.got for r in rows)
+
+
+def test_only_keys_of_the_lines_are_shuffled(spark):
+    plan = corpus.items(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan[plan.index("RepartitionByExpression") :] and "md5" in plan
+    assert corpus.files(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
