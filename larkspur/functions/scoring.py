@@ -42,19 +42,18 @@ def charset(v: Column) -> Column:
     )
 
 
-def entropy(v: Column) -> Column:
-    """Bits per character, summed in character order."""
-    n = F.length(v)
-    share = lambda c: (n - F.length(F.replace(v, c, F.lit("")))) / n
-    chars = F.sort_array(F.array_distinct(F.filter(F.split(v, ""), lambda c: c != "")))
-    return F.aggregate(F.transform(chars, share), F.lit(0.0), lambda a, p: a - p * F.log2(p))
-
-
 def _let(value: Column, f) -> Column:
     """f(value), with the value computed once, however often f uses it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def entropy(v: Column) -> Column:
+    """Bits per character, summed in character order: of the sorted characters, each run is one character's count."""
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(v, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    shares = _let(F.length(v), lambda n: F.transform(runs, lambda r: F.length(r) / n))
+    return F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+
+
 def _change(window: Column, following: Column) -> Column:
     """What the sum of n log n over the characters of a window changes by when the
     following character comes in and the first one goes: two terms, of their counts."""

@@ -1,8 +1,10 @@
 """Strings and trigrams read off regexes, and the index of lines by trigrams."""
 
+import math
 import random
 import re
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,6 +225,19 @@ def test_context_patterns_are_tried_only_where_their_strings_are(spark):
         assert any(r.got for r in rows)
 
 
+def test_entropy_of_many_characters_takes_time_in_proportion(spark):
+    """Each character was looked for in the whole value."""
+    letters = [chr(0x4E00 + k) for k in range(6000)]
+    values = ["".join(letters[k:] + letters[:k]) for k in range(40)]
+    df = spark.createDataFrame([(v,) for v in [*values, "", "a\n\na😀😀𝒳"]], "v string").coalesce(1).cache()
+    assert df.count() == 42
+    began = time.monotonic()
+    got = {r.v: r.h for r in df.select("v", scoring.entropy(F.col("v")).alias("h")).collect()}
+    assert time.monotonic() - began < 4
+    assert all(got[v] == pytest.approx(math.log2(6000)) for v in values)
+    assert got[""] == 0 and got["a\n\na😀😀𝒳"] == pytest.approx(-sum(p * math.log2(p) for p in (2 / 7, 2 / 7, 2 / 7, 1 / 7)))
+
+
 def test_only_keys_of_the_lines_are_shuffled(spark):
     plan = corpus.items(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "md5" not in plan[plan.index("RepartitionByExpression") :] and "md5" in plan
