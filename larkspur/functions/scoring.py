@@ -9,6 +9,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,13 +34,20 @@ SEVERITIES = (("critical", 0.90), ("high", 0.70), ("medium", 0.50), ("low", 0.30
 RANK = {name: 4 - k for k, (name, _) in enumerate(SEVERITIES)}
 
 
+def _charsets(v: Column) -> list[tuple[str, Column]]:
+    """(name, whether it fits) of the sets of characters; the first that fits counts."""
+    return [
+        ("hex", v.rlike(r"^[0-9A-Fa-f]+\z")),
+        ("base64", v.rlike(r"^[A-Za-z0-9+/=]+\z") & v.rlike("[+/=]")),
+        ("alphanumeric", v.rlike(r"^[A-Za-z0-9]+\z")),
+    ]
+
+
 def charset(v: Column) -> Column:
-    return (
-        F.when(v.rlike(r"^[0-9A-Fa-f]+\z"), "hex")
-        .when(v.rlike(r"^[A-Za-z0-9+/=]+\z") & v.rlike("[+/=]"), "base64")
-        .when(v.rlike(r"^[A-Za-z0-9]+\z"), "alphanumeric")
-        .otherwise("other")
-    )
+    out = F
+    for name, fits in _charsets(v):
+        out = out.when(fits, name)
+    return out.otherwise("other")
 
 
 def _let(value: Column, f) -> Column:
@@ -92,12 +100,14 @@ def widest_entropy(v: Column) -> Column:
 
 
 def entropy_delta(v: Column) -> Column:
-    n, kind = F.octet_length(v), charset(v)
+    """Never below 0. The characters are looked at once, and the entropy is computed only where it can count."""
+    n, need = F.octet_length(v), F
+    for name, fits in _charsets(v):
+        least, length = ENTROPY_LIMITS[name]
+        need = need.when(fits, F.when(n >= length, least))
     measured = F.when(n > WINDOW_OVER, widest_entropy(v)).otherwise(entropy(v))
-    out = F.lit(0.0)
-    for name, (least, length) in ENTROPY_LIMITS.items():
-        out = F.when((kind == name) & (n >= length), F.when(measured >= least, ENTROPY_DELTA).otherwise(0.0)).otherwise(out)
-    return out
+    # on the left, for where it is null the right side isn't computed
+    return F.when(need <= measured, ENTROPY_DELTA).otherwise(0.0)
 
 
 def context_text(before: Column, after: Column) -> Column:
@@ -105,29 +115,47 @@ def context_text(before: Column, after: Column) -> Column:
     return F.array_join(F.slice(F.concat(before, after), 1, 3), "\x01")
 
 
-def found(c: Column, regex: str, strings: Sequence[str] = ()) -> Column:
+def found(c: Column, regex: str, strings: Sequence[str] = (), folded: Column | None = None) -> Column:
     """Whether a context pattern is found; it is tried only where the folded text holds one of ``strings``, or,
-    if there are none, of the strings that the pattern can't do without."""
+    if there are none, of the strings that the pattern can't do without. ``folded``: the folded text, where it is known."""
     strings = strings or literals.required(regex)[0]
     tried = c.rlike(FLAGS + regex)
     if not strings:
         return tried
-    return _let(literals.folded(c), lambda f: reduce(or_, (F.contains(f, F.lit(s)) for s in strings))) & tried
+    holds = lambda f: reduce(or_, (F.contains(f, F.lit(s)) for s in strings))
+    return (_let(literals.folded(c), holds) if folded is None else holds(folded)) & tried
+
+
+class Texts(NamedTuple):
+    """What the context patterns look at, and the same folded."""
+
+    value: Column
+    line: Column
+    near: Column
+    name: Column
+    folded_value: Column | None = None
+    folded_line: Column | None = None
+    folded_near: Column | None = None
+    folded_name: Column | None = None
 
 
 def signals(value: Column, line: Column, before: Column, after: Column, name: Column) -> list[tuple[str, Column]]:
     """(name, whether it fires) of each context signal, in order."""
-    on = lambda c, signal: found(c, signal[1])
-    at = F.instr(line, value)
-    slash = (F.substring(line, at - 1, F.lit(1)) == "/") & (at > 1) | (F.substring(line, at + F.length(value), F.lit(1)) == "/")
+    return signals_of(Texts(value, line, context_text(before, after), name))
+
+
+def signals_of(t: Texts) -> list[tuple[str, Column]]:
+    """``signals`` of texts that are columns already, which compiled code then reads."""
+    at = F.instr(t.line, t.value)
+    slash = (F.substring(t.line, at - 1, F.lit(1)) == "/") & (at > 1) | (F.substring(t.line, at + F.length(t.value), F.lit(1)) == "/")
     return [
-        ("key_value", found(line, KEY_VALUE[1], "=:")),
-        ("keyword", on(line, KEYWORD) | on(context_text(before, after), KEYWORD)),
-        ("file_name", on(name, FILE_NAME)),
-        ("assignment", on(line, ASSIGNMENT)),
-        ("comment", on(line, COMMENT)),
-        ("placeholder", on(value, PLACEHOLDER)),
-        ("version_hash", on(value, VERSION_HASH)),
+        ("key_value", found(t.line, KEY_VALUE[1], "=:", t.folded_line)),
+        ("keyword", found(t.line, KEYWORD[1], (), t.folded_line) | found(t.near, KEYWORD[1], (), t.folded_near)),
+        ("file_name", found(t.name, FILE_NAME[1], (), t.folded_name)),
+        ("assignment", found(t.line, ASSIGNMENT[1], (), t.folded_line)),
+        ("comment", found(t.line, COMMENT[1], (), t.folded_line)),
+        ("placeholder", found(t.value, PLACEHOLDER[1], (), t.folded_value)),
+        ("version_hash", found(t.value, VERSION_HASH[1], (), t.folded_value)),
         ("url_segment", (at > 0) & slash),
     ]
 

@@ -27,7 +27,7 @@ def truncated(line: Column) -> Column:
 
 
 def basename(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def extension(path: Column) -> Column:

@@ -90,20 +90,35 @@ def rule_matches(items: DataFrame, rules: Sequence[Rule] = BUILT_IN, candidates:
 
 def scored(
     matches: DataFrame, rules: Sequence[Rule] = BUILT_IN, use_entropy: bool = True, use_context: bool = True,
-    entropy: Callable[[Column], Column] = scoring.entropy_delta, more: Sequence[Signal] = (),
+    entropy: Callable[[Column], Column] = scoring.entropy_delta, more: Sequence[Signal] = (), least: float | None = None,
 ) -> DataFrame:
-    """Matches with confidence (unrounded), severity and severity_rank."""
+    """Matches with confidence (unrounded), severity and severity_rank. ``least``: matches of less
+    confidence are left out, and where the other terms reach it, the entropy isn't computed to know."""
     base = F.element_at(F.array(*(F.lit(r.confidence) for r in rules)), F.col("rule_id"))
-    value = F.col("value")
-    score = base + entropy(value) if use_entropy else base
+    found, deltas = matches, []
     if use_context:
-        for name, fires in scoring.signals(value, F.col("line"), F.col("context_before"), F.col("context_after"), basename(F.col("path"))):
-            score = score + F.when(fires, scoring.DELTAS[name]).otherwise(0.0)
-        own = Match(value, *map(F.col, ("line", "context_before", "context_after", "path", "rule")))
-        for signal in more:
-            score = score + F.when(signal.fires(own), float(signal.delta)).otherwise(0.0)
-    # through a generator, so that filters on the score don't compute it again
-    out = matches.select("*", F.inline(F.array(F.struct(scoring.clamped(score).alias("confidence")))))
+        # texts are columns before they are looked at, so that compiled code looks at them
+        texts = {"value": F.col("value"), "line": F.col("line"), "near": scoring.context_text(F.col("context_before"), F.col("context_after")), "name": basename(F.col("path"))}
+        found = found.select("*", *(c.alias(f"__{k}") for k, c in texts.items()))
+        found = found.select("*", *(literals.folded(F.col(f"__{k}")).alias(f"__folded_{k}") for k in texts))
+        given = scoring.Texts(*(F.col(f"__{k}") for k in texts), *(F.col(f"__folded_{k}") for k in texts))
+        own = Match(*map(F.col, ("value", "line", "context_before", "context_after", "path", "rule")))
+        fires = [(c, scoring.DELTAS[k]) for k, c in scoring.signals_of(given)] + [(s.fires(own), float(s.delta)) for s in more]
+        deltas = [F.col(f"__delta{k}") for k in range(len(fires))]
+        # through a generator, so that filters on sums don't compute their terms again
+        found = found.select("*", F.inline(F.array(F.struct(*(F.when(c, d).otherwise(0.0).alias(f"__delta{k}") for k, (c, d) in enumerate(fires))))))
+    bare = scoring.clamped(sum(deltas, base))
+    full = scoring.clamped(sum(deltas, base + entropy(F.col("value")))) if use_entropy else bare
+    # the built-in measure only adds, and sums of doubles keep the order of their terms
+    adds = use_entropy and entropy is scoring.entropy_delta
+    confidence = F.when(bare >= 1.0, 1.0).otherwise(full) if adds else full
+    if least is None:
+        # through a generator again, for filters on the confidence
+        found = found.withColumn("__confidence", confidence)
+        out = found.select(*matches.columns, F.inline(F.array(F.struct(F.col("__confidence").alias("confidence")))))
+    else:
+        enough = (bare >= least) | (full >= least) if adds else full >= least
+        out = found.where(enough).select(*matches.columns, confidence.alias("confidence"))
     out = out.withColumn("severity", scoring.severity(F.col("confidence")))
     return out.withColumn("severity_rank", scoring.severity_rank(F.col("severity")))
 
