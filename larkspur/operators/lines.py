@@ -26,11 +26,11 @@ def with_context(df: DataFrame, entries: Column, keep: list[str], line: str = "l
     )
 
 
-def numbered(texts: Column) -> Column:
-    """Array of strings -> array of struct<line_number, line>, from 1."""
-    return F.transform(texts, lambda s, i: F.struct((i + 1).alias("line_number"), truncated(s).alias("line")))
+def numbered(texts: Column, cut: bool = True) -> Column:
+    """Array of strings -> array of struct<line_number, line>, from 1; without ``cut``, lines stay whole."""
+    return F.transform(texts, lambda s, i: F.struct((i + 1).alias("line_number"), (truncated(s) if cut else s).alias("line")))
 
 
-def text_lines(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("path", "source_type")) -> DataFrame:
+def text_lines(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("path", "source_type"), cut: bool = True) -> DataFrame:
     """One row for each line of each text. Null and empty texts have none."""
-    return with_context(df, numbered(lines(F.col(text))), list(keep))
+    return with_context(df, numbered(lines(F.col(text)), cut), list(keep))

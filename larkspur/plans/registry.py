@@ -194,9 +194,10 @@ def cache_upsert(spark, sf):
 _LINES = "(select doc_id, source, unnest(parts) as line, generate_subscripts(parts, 1) as line_number from (select doc_id, source, case when list_extract(parts, -1) = '' then parts[:-2] else parts end as parts from (select doc_id, source, string_split_regex(text, '\\r?\\n') as parts from documents) a) b)"
 
 
-def _document_lines(spark, sf):
+def _document_lines(spark, sf, cut=False):
+    """Whole lines of documents; ``cut`` as a scan cuts them."""
     docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("source_type"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
-    return text_lines(docs, keep=("doc_id", "path", "source_type"))
+    return text_lines(docs, keep=("doc_id", "path", "source_type"), cut=cut)
 
 
 #: The byte cut: as many whole characters as fit into 4096 bytes.
@@ -207,7 +208,7 @@ _CUT_LINES = f"(select doc_id, line_number, strlen(line) > 4096 as too_long, {_W
 @query(f"select doc_id, cast(line_number as int) as line_number, too_long, md5(line) as line_md5 from {_CUT_LINES} l")
 def line_split(spark, sf):
     """Every line with the digest of its cut text, those of non-ASCII lines too."""
-    return _document_lines(spark, sf).select("doc_id", "line_number", (F.octet_length("line") > text.MAX_LINE_BYTES).alias("too_long"), F.md5(F.encode("line", "UTF-8")).alias("line_md5"))
+    return _document_lines(spark, sf, cut=True).select("doc_id", "line_number", (F.octet_length("line") > text.MAX_LINE_BYTES).alias("too_long"), F.md5(F.encode("line", "UTF-8")).alias("line_md5"))
 
 
 @query(
@@ -216,7 +217,7 @@ def line_split(spark, sf):
 )
 def line_context(spark, sf):
     """Context of every line of every document, cut lines among them."""
-    return _document_lines(spark, sf).select("doc_id", "line_number", "context_before", "context_after")
+    return _document_lines(spark, sf, cut=True).select("doc_id", "line_number", "context_before", "context_after")
 
 
 @query(f"select doc_id, cast(line_number as int) as line_number, regexp_extract(line, {sql.text(TOKEN_ASSIGNMENT.regex)}, 1) as value from {_LINES} l where regexp_extract(line, {sql.text(TOKEN_ASSIGNMENT.regex)}, 1) <> ''")

@@ -242,3 +242,19 @@ def test_only_keys_of_the_lines_are_shuffled(spark):
     plan = corpus.items(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "md5" not in plan[plan.index("RepartitionByExpression") :] and "md5" in plan
     assert corpus.files(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_new_rules_match_whole_lines(spark, tmp_path):
+    """Matches behind the 4,096th byte of a line count, as in the query's SQL."""
+    import duckdb
+
+    from larkspur.plans import registry
+
+    hit = 'token = "' + "0123456789" * 4 + '"'
+    texts = ["é" * 2050 + f" {hit} x", "a " * 3000 + "to me@mail1.example.com\nshort " + hit, "plain " * 2000, None]
+    spark.createDataFrame([(k, "en", "web", t) for k, t in enumerate(texts)], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name, n in (("indexed_new_rules", 3), ("doc_custom_rule", 2)):
+        expected = sorted(con.execute(registry.ORACLE_SQL[name]).fetchall())
+        assert sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())) == expected and len(expected) == n
