@@ -9,9 +9,11 @@ prunes. Two sets with Jaccard similarity of at least t share an n-gram among the
 first n - ceil(t n) + 1 of each; sets meet on those prefix n-grams.
 
 1. One pass over the texts: size and fingerprint of each document's set, and the
-   counters (a fixed 1 MiB a task, summed by Spark, then broadcast).
-2. A second pass emits prefix n-grams, once per task and set. N-grams that only
-   one row has go at once.
+   counters (packed: fewer bytes than a task has n-grams; summed by Spark, then
+   broadcast). At 30 GB a counter has some 400 n-grams, give or take 20, so one of
+   more than a hundred sets still stands out, and stays out of prefixes.
+2. A second pass emits prefix n-grams, once per task and set, which are shuffled by
+   n-gram once. N-grams that only one set has go there.
 3. Every set is compared with one hub of each of its n-grams. An n-gram of few
    sets has one hub, which meets those that pass the length and positional
    filters. One of many sets has a hub for each size band, of the sets in it and
@@ -49,17 +51,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.columns import picked
 from larkspur.llm.components import components
-from larkspur.runtime import ensure_importable, written
+from larkspur.runtime import dropped, ensure_importable, written
 
 #: Counters of the table that orders n-grams; fixed, so its size is too.
-COUNTERS, BLOCK = 1 << 18, 1 << 12
+COUNTERS, BLOCK = 1 << 24, 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: An n-gram of more rows has hubs that its sets are compared with by differences.
+#: An n-gram of more sets has hubs that its sets are compared with by differences.
 FEW = 64
 #: Sets that a task remembers, so as to emit each once.
 REMEMBERED = 1 << 18
@@ -183,50 +185,57 @@ PARITY = ["s0", "s1", "s2", "s3"]
 PROFILE = "doc_id bigint, n int, f1 bigint, f2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, block int, counts binary"
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A block of counters, in as few bytes each as its largest needs, compressed."""
+    least = counts.astype(np.min_scalar_type(counts.max()))
+    return bytes([least.itemsize]) + pa.compress(least.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[1:], BLOCK * data[0], codec="zstd", asbytes=True), f"u{data[0]}")
+
+
 def _profile(n: int):
     names = ["doc_id", "n", "f1", "f2", *PARITY, "block", "counts"]
     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Words(), np.zeros(COUNTERS, np.int64)
+        words, counts = Words(), np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            rows, own = [], []
+            rows = []
             for i, data in _rows(batch):
                 s = shingles(data, n, words)
                 rows.append((i, len(s), *fingerprint(s), *map(int, parity(s)), None, None))
                 if i is not None:
-                    own.append(_counter(s))
-            if own:
-                counts += np.bincount(np.concatenate(own), minlength=COUNTERS)
+                    np.add.at(counts, _counter(s), np.uint32(1))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-        k = COUNTERS // BLOCK
-        blocks = [counts[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(k)]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds[:-2]), pa.array(range(k), pa.int32()), pa.array(blocks, pa.binary())], names=names)
+        blocks = {k: _packed(own) for k in range(COUNTERS // BLOCK) if (own := counts[k * BLOCK : (k + 1) * BLOCK]).any()}
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(blocks), t) for t in kinds[:-2]), pa.array(list(blocks), pa.int32()), pa.array(list(blocks.values()), pa.binary())], names=names)
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the counters of a task's rows, block by block: COUNTERS longs at most."""
+    """Sums the counters of a task's rows, block by block: COUNTERS of four bytes at most, which stop at the largest number."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(counts, np.int64)
-            sums[block] = sums[block] + own if block in sums else own
+            own = _unpacked(counts).astype(np.uint32)
+            sums[block] = sums[block] + np.minimum(own, ~sums[block]) if block in sums else own
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"]
+        [pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], names=["block", "counts"]
     )
 
 
 def _order(profile: DataFrame) -> np.ndarray:
-    """The counters summed over the corpus: 2 MiB, whatever the corpus."""
+    """The counters summed over the corpus: 32 MiB, whatever the corpus."""
     blocks = profile.where("block is not null").select("block", "counts")
     blocks = blocks.mapInArrow(_summed, "block int, counts binary").repartition(16, "block").mapInArrow(_summed, "block int, counts binary")
-    total = np.zeros(COUNTERS, np.int64)
+    total = np.zeros(COUNTERS, np.uint16)
     for row in blocks.collect():
-        total[row.block * BLOCK : (row.block + 1) * BLOCK] += np.frombuffer(row.counts, np.int64)
-    return np.minimum(total, (1 << 31) - 1)
+        total[row.block * BLOCK : (row.block + 1) * BLOCK] = np.minimum(_unpacked(row.counts).astype(np.uint32), (1 << 16) - 1)
+    return total
 
 
 PREFIX = "gram bigint, doc_id bigint, key bigint, n int, at int"
@@ -255,7 +264,7 @@ def _prefixes(n: int, percent: int, order):
                 if i is None or not size or seen.met(f := fingerprint(s)[0]):
                     continue
                 k = size - (percent * size + 99) // 100 + 1
-                rare = (counts[_counter(s)] << 32) | np.arange(size)
+                rare = (counts[_counter(s)].astype(np.int64) << 32) | np.arange(size)
                 rare = np.sort(np.partition(rare, k - 1)[:k]) & 0xFFFFFFFF
                 grams.append(s[rare].view(np.int64))
                 ids.append(np.full(k, i)), keys.append(np.full(k, f)), sizes.append(np.full(k, size, np.int32)), places.append(np.arange(k, dtype=np.int32))
@@ -396,14 +405,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, per
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("a_grams")), "a")
     both = both.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("b_grams")), "b")
     found = both.withColumn("found", F.arrow_udf(_compared(percent, order), COMPARED)("a_grams", "b_grams", "many"))
-    return written(found.select("a", "b", "many", "found.*"), "compared")
+    compared = written(found.select("a", "b", "many", "found.*"), "compared")
+    dropped(pairs, wanted, sets)
+    return compared
 
 
 def _meetings(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
-    """Sets on their prefix n-grams, without n-grams of a single row; ``together`` counts the rows of the n-gram."""
-    rows = written(docs.mapInArrow(_prefixes(n, percent, order), PREFIX), "prefixes")
-    counts = rows.groupBy("gram").agg(F.count("*").alias("together")).where("together > 1")
-    rows = rows.join(counts, "gram").groupBy("gram", "key", "n").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.first("together").alias("together"))
+    """Sets on their prefix n-grams, without n-grams of a single set; ``together`` counts the sets of the n-gram."""
+    # dealt out by n-gram once: what follows needs no other shuffle
+    rows = docs.mapInArrow(_prefixes(n, percent, order), PREFIX).repartition("gram")
+    rows = rows.groupBy("gram", "key", "n").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"))
+    rows = rows.withColumn("together", F.count("*").over(Window.partitionBy("gram"))).where("together > 1")
     # sizes of similar sets differ by one band at most; a little more than 100 / percent a band is safe from rounding
     band = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int")
     return written(rows.withColumn("band", band), "meetings")
@@ -435,7 +447,7 @@ def _around_hubs(compared: DataFrame, percent: int) -> DataFrame:
     ``star``: surely similar to the set ``centre`` of least x. ``bound``: the
     least x of a set that such a one may still have to be compared with.
     """
-    own = compared.where("many").select(F.col("a").alias("hub"), F.col("b").alias("key"), _excess(percent).alias("x"), "n", "d", "tokens", "s0", "s1", "s2", "s3")
+    own = compared.where("many").select(F.col("a").alias("hub"), F.col("b").alias("key"), _excess(percent).alias("x"), "n", "d", *PARITY)
     least = own.groupBy("hub").agg(F.min(F.struct("x", "key")).alias("least"))
     own = own.join(least, "hub").withColumn("star", F.col("x") + F.col("least.x") <= 0)
     outside = own.where("not star").groupBy("hub").agg(F.min("x").alias("outside"))
@@ -493,15 +505,20 @@ def _worth_comparing(pairs: DataFrame, classes: DataFrame, percent: int) -> Data
     return pairs.join(side("a"), "a").join(side("b"), "b").where(_near(percent)).select("a", "b")
 
 
-def _few_pairs(meet: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    few = written(_spread(_labelled(meet.where(f"together <= {FEW}"), labels), "gram"), "few").select("gram", "key", "label", "n", "at")
+def _few(meet: DataFrame, labels: DataFrame) -> DataFrame:
+    """Few sets on an n-gram that are still in several components."""
+    return written(_spread(_labelled(meet.where(f"together <= {FEW}"), labels), "gram").select("gram", "key", "label", "n", "at"), "few")
+
+
+def _few_pairs(few: DataFrame, percent: int) -> DataFrame:
     one = few.select("gram", *(F.col(c).alias(f"a_{c}") for c in ("key", "label", "n", "at")))
     met = one.join(_other(few, "gram"), "gram").where("a_label < b_label").where(_may_link(percent, "a", "b"))
     return _shared(percent, met.withColumn("a", F.col("a_key")).withColumn("b", F.col("b_key")))
 
 
-def _difference_rows(around: DataFrame, percent: int) -> DataFrame:
-    rows = around.where("bound is not null").select("hub", "key", "n", "d", "x", "bound", "tokens", *PARITY)
+def _difference_rows(around: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
+    tokens = compared.where("many").select(F.col("a").alias("hub"), F.col("b").alias("key"), "tokens")
+    rows = around.where("bound is not null").join(tokens, ["hub", "key"]).select("hub", "key", "n", "d", "x", "bound", "tokens", *PARITY)
     return written(rows.mapInArrow(_differences(percent), DIFFERENCES), "differences")
 
 
@@ -539,28 +556,42 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
     profile = written(docs.mapInArrow(_profile(n), PROFILE), "profile")
     order = spark.sparkContext.broadcast(_order(profile))
     key = ["n", "f1", "f2"]
-    sets = profile.where("block is null").select("doc_id", *key)
-    known = profile.where("block is null").where("n > 0 and doc_id is not null")
+    known = profile.where("n > 0 and doc_id is not null")
     classes = written(known.groupBy(*key).agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in PARITY)), "classes")
+    sets = written(profile.where("block is null").select("doc_id", *key), "documents")
+    dropped(profile)
 
     meet = _meetings(docs, n, percent, order)
     compared = _verified(_hub_pairs(meet, classes, percent), docs, classes, n, percent, order)
     around = _around_hubs(compared, percent)
     sure = around.where("star and key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b"))
     # an id of several sets is one document
+    known = sets.where("n > 0 and doc_id is not null")
     ids = known.groupBy("doc_id").agg(F.min("f1").alias("a"), F.max("f1").alias("top")).where("a < top")
     ids = known.join(ids, "doc_id").select("a", F.col("f1").alias("b")).where("a <> b").distinct()
     links = written(compared.where("linked").select("a", "b").unionByName(sure).unionByName(ids), "links")
+    rows = _difference_rows(around, compared, percent)
+    dropped(compared, around)
     labels = written(components(links), "labels")
-
-    compare = lambda pairs: _verified(pairs.withColumn("many", F.lit(False)), docs, classes, n, percent, order).where("linked").select("a", "b")
-    grown = lambda more: written(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more)), "labels")
-    rows = _difference_rows(around, percent)
-    labels = grown(compare(_central_pairs(rows, labels, percent)))
-    few = _worth_comparing(_few_pairs(meet, labels, percent), classes, percent)
-    labels = grown(compare(few.unionByName(_many_pairs(rows, labels, percent)).distinct()))
-
+    dropped(links)
+
+    def grown(labels: DataFrame, pairs: DataFrame, *read: DataFrame) -> DataFrame:
+        """Labels with the links among the pairs; ``read`` are the tables that the pairs are made of."""
+        compared = _verified(pairs.withColumn("many", F.lit(False)), docs, classes, n, percent, order)
+        dropped(*read)
+        known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+        more = written(components(known.unionByName(compared.where("linked").select("a", "b"))), "labels")
+        dropped(compared, labels)
+        return more
+
+    labels = grown(labels, _central_pairs(rows, labels, percent))
+    few = _few(meet, labels)
+    dropped(meet)
+    pairs = _worth_comparing(_few_pairs(few, percent), classes, percent)
+    labels = grown(labels, pairs.unionByName(_many_pairs(rows, labels, percent)).distinct(), rows, few)
     found = _least(classes, labels)
+    dropped(classes, labels)
+
     out = sets.join(found, key, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,10 +71,21 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     if _RUNS:
         _RUNS[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 _RUNS: list[list[str]] = []
+#: Where the tables are that ``written`` has returned.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` has returned, once nothing reads them any more: all that was
+    made of them has been written itself."""
+    for df in tables:
+        removed(df.sparkSession, _PATHS.pop(df))
 
 
 @contextmanager

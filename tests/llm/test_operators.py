@@ -11,12 +11,14 @@ from html import unescape
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from larkspur import runtime
 from larkspur.llm import ann, html_extract, mixing, ngram_join, packing, quality_model, quality_rules, queries, sharding, url_filter, warc_store
 
 SF = "/root/testdata/sf0.001"
@@ -236,6 +238,37 @@ def dense_components(rows, n, percent):
         label = new
 
 
+def test_ngram_join_keeps_little_on_disk(spark, tmp_path, monkeypatch):
+    """Equal sets in many tasks share their n-grams with nobody else; intermediate tables go when they have been read;
+    counters tell n-grams of a hundred sets from rare ones among more n-grams than a small table has counters for."""
+    copies = spark.createDataFrame([(k, " ".join(f"w{k % 3}x{j}" for j in range(200))) for k in range(60)], "doc_id long, text string").repartition(20)
+    order = spark.sparkContext.broadcast(np.zeros(ngram_join.COUNTERS, np.uint16))
+    assert ngram_join._meetings(copies, 4, 85, order).count() == 0
+
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: str(tmp_path))
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(copies, 4, 85).collect()}
+    assert got == {k: k % 3 for k in range(60)}
+    assert {p.name.rpartition("-")[0] for p in tmp_path.iterdir()} == {"documents", "components", "links"}
+
+    common = "of the and that in it"
+    texts = spark.range(0, 3000, 1, 8).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.when(F.col("id") < 100, common), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(300)), lambda j: F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("_"), j.cast("string"))), " ")).alias("text"))
+    counts = ngram_join._order(texts.mapInArrow(ngram_join._profile(4), ngram_join.PROFILE))
+    assert counts.sum() == 3000 * 298 + 100 * 6 and counts[ngram_join._counter(ngram_join.shingles(common.encode(), 4, ngram_join.Words()))].min() >= 100
+    assert (counts >= 100).sum() == 3
+
+
+def test_packed_counters():
+    r = np.random.default_rng(3)
+    for top in (2, 300, 1 << 20):
+        a, b = (r.integers(0, top, ngram_join.BLOCK, np.uint32) for _ in range(2))
+        assert (ngram_join._unpacked(ngram_join._packed(a)) == a).all()
+        batch = lambda x: pa.RecordBatch.from_arrays([pa.array([5], pa.int32()), pa.array([ngram_join._packed(x)], pa.binary())], names=["block", "counts"])
+        (out,) = ngram_join._summed(iter([batch(a), batch(b)]))
+        assert out.column(0).to_pylist() == [5] and (ngram_join._unpacked(out.column(1)[0].as_py()) == a + b).all()
+        (out,) = ngram_join._summed(iter([batch(a), batch(np.full(ngram_join.BLOCK, 0xFFFFFFFF, np.uint32))]))
+        assert (ngram_join._unpacked(out.column(1)[0].as_py()) == 0xFFFFFFFF).all()
+
+
 def test_ngram_join_of_a_large_group(spark):
     """2,000 near copies, most of them just beyond the limit of all others, in several lengths; ids that repeat and null ids."""
     rnd = random.Random(9)
