@@ -10,8 +10,8 @@ first n - ceil(t n) + 1 of each; sets meet on those prefix n-grams.
 
 1. One pass over the texts: size and fingerprint of each document's set, and the
    counters (packed: fewer bytes than a task has n-grams; summed by Spark, then
-   broadcast). At 30 GB a counter has some 800 n-grams, give or take 30, so one of
-   two hundred sets still stands out, and stays out of prefixes.
+   broadcast). At 30 GB a counter has some 3,300 n-grams, give or take 60, so one of
+   a few hundred sets still stands out, and stays out of prefixes.
 2. A second pass emits prefix n-grams, once per task and set, which are shuffled by
    n-gram once. N-grams that only one set has go there.
 3. Every set is compared with one hub of each of its n-grams. An n-gram of few
@@ -59,7 +59,7 @@ from larkspur.llm.components import components
 from larkspur.runtime import dropped, ensure_importable, written
 
 #: Counters of the table that orders n-grams; fixed, so its size is too.
-COUNTERS, BLOCK = 1 << 23, 1 << 16
+COUNTERS, BLOCK = 1 << 21, 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: An n-gram of more sets has hubs that its sets are compared with by differences.
 FEW = 64
@@ -229,7 +229,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _order(profile: DataFrame) -> np.ndarray:
-    """The counters summed over the corpus: 16 MiB, whatever the corpus."""
+    """The counters summed over the corpus: 4 MiB, whatever the corpus."""
     blocks = profile.where("block is not null").select("block", "counts")
     blocks = blocks.mapInArrow(_summed, "block int, counts binary").repartition(16, "block").mapInArrow(_summed, "block int, counts binary")
     total = np.zeros(COUNTERS, np.uint16)
